@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, huffman
+from quarry.llm import bpe, chat, huffman, mixing, quality, tiff
 from quarry.llm.common import table
 
 #: The public tokenizer that the contracts name.
@@ -21,9 +21,25 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_files(huffman.token_files(spark, table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.features(tiff.media(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op5_bpe)}
-SQL: dict[str, str] = {}
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_chats(chat.with_hostile(spark, table(spark, sf_dir, "conversations"))))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(spark, table(spark, sf_dir, "documents"), mixing.Mix())
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_tiff, op5_bpe, op6_chat, op7_mixing, op10_quality)}
+SQL = {"op6_chat": chat.sql(), "op7_mixing": mixing.sql(mixing.Mix()), "op10_quality": quality.sql()}
