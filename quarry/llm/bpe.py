@@ -31,7 +31,7 @@ from quarry.llm.common import text_bytes
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_RANK = np.iinfo(np.int32).max
 #: Chunks that a worker's cache holds at most, and rows encoded together.
-CACHE, ROWS = 250_000, 512
+CACHE, ROWS = 500_000, 512
 
 
 def byte_letters() -> list[str]:
@@ -166,10 +166,12 @@ def encode_texts(texts: list[bytes], cache: dict[bytes, bytes], encode_chunks: C
     """Ids of each text as bytes, by way of a cache of chunks that never holds much more than CACHE."""
     for at in range(0, len(texts), ROWS):
         split = [t.split() for t in texts[at : at + ROWS]]  # of bytes: at ASCII white space only
-        new = list(set().union(*split).difference(cache))
-        if len(cache) + len(new) > CACHE:
+        met = set().union(*split)
+        new = list(met.difference(cache))
+        if len(cache) + len(new) > CACHE:  # what these rows don't use goes
+            kept = {c: cache[c] for c in met.intersection(cache)}
             cache.clear()
-            new = list(set().union(*split))
+            cache.update(kept)
         cache.update(zip(new, encode_chunks(new), strict=True))
         for chunks in split:
             yield b"".join(map(cache.__getitem__, chunks))

@@ -19,10 +19,13 @@ one doc_id stay in the order of their ids' bytes. Other columns are not read. An
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -140,19 +143,47 @@ def read_file(raw: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray, np.n
     return docs, ids if (size == block).all() else ids[(np.arange(block) < size[:, None]).ravel()]
 
 
+#: Letters that are composed, have one lower-case form and stand in no other normal form; then ASCII marks.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+)([!-/:-@\\[-`{-~]*)")
+JOINED = 128
+
+
 @lru_cache(2)
 def library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's to share out
     from tokenizers import Tokenizer
 
     tok, cache = Tokenizer.from_file(path), {}
     tok.no_truncation()
     tok.no_padding()
+    size = tok.get_vocab_size(with_added_tokens=True)
+    ends = np.array([(tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def encode(text: str) -> np.ndarray:
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def words(plain: list[str]) -> Iterator[bytes]:
+        """Words of letters alone are encoded many at a time, and told apart by their word ends."""
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            ids = encode(" ".join(part))
+            cut = np.flatnonzero(ends[ids]) + 1
+            if len(cut) != len(part):
+                yield from (encode(w).tobytes() for w in part)
+                continue
+            raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+            yield from (raw[a:b] for a, b in pairwise(cut))
 
     def chunks(texts: list[bytes]) -> list[bytes]:
-        got = tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+        """Marks after letters are a word of their own, and case doesn't count: words are encoded once for all their forms."""
+        said = [t.decode() for t in texts]
+        split = [m.groups() if (m := PLAIN.fullmatch(s)) else None for s in said]
+        plain = list({m[0].lower() for m in split if m})
+        known = dict(zip(plain, words(plain), strict=True))
+        mark = {c: encode(c).tobytes() for c in {m[1] for m in split if m}}
+        return [known[m[0].lower()] + mark[m[1]] if m else encode(s).tobytes() for m, s in zip(split, said, strict=True)]
 
-    return chunks, cache, tok.get_vocab_size(with_added_tokens=True)
+    return chunks, cache, size
 
 
 def encode(df: DataFrame, vocabulary: str) -> DataFrame:
@@ -186,8 +217,9 @@ def count_ids(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                got = np.bincount(unpack(packed), minlength=len(total))
+            packed = batch.column(0).to_pylist()
+            for at in range(0, len(packed), 64):
+                got = np.bincount(np.concatenate([unpack(p) for p in packed[at : at + 64]]), minlength=len(total))
                 got[: len(total)] += total
                 total = got
         used = np.flatnonzero(total)
