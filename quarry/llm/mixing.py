@@ -80,13 +80,15 @@ def _deal(nodes: DataFrame, parent: list[str], child: str, weights: dict[str, in
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """leaves: domain, language, origin, tokens. Adds each leaf's budget."""
     rooms = leaves.withColumn("room", F.col("tokens") * mix.max_epochs)
-    of = leaves.agg((F.sum("tokens") * mix.budget[0]).alias("budget")).select(F.expr(f"budget div {mix.budget[1]}").alias("budget"))
     at: DataFrame | None = None
     for k, child in enumerate(LEVELS):
         parent = list(LEVELS[:k])
-        nodes = rooms.groupBy(*parent, child).agg(F.sum("room").alias("room"))
-        # The root is one row.
-        nodes = nodes.join(at, parent) if parent else nodes.join(F.broadcast(of))
+        nodes = rooms.groupBy(*parent, child).agg(F.sum("room").alias("room"), F.sum("tokens").alias("tokens"))
+        if parent:
+            nodes = nodes.join(at, parent)
+        else:  # the whole budget, on every child of the root
+            whole = F.sum("tokens").over(Window.partitionBy(F.lit(0))) * mix.budget[0]
+            nodes = nodes.withColumn("whole", whole).withColumn("budget", F.expr(f"whole div {mix.budget[1]}"))
         at = _deal(nodes, parent, child, mix.weights.get(child, {}))
     return leaves.join(at, list(LEVELS))
 
