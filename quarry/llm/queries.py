@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, html, huffman, mixing, quality, simhash, tiff
+from quarry.llm import bpe, chat, html, huffman, mixing, quality, simhash, tiff, urlfilter, warc
 from quarry.llm.common import table
 
 #: The public tokenizer that the contracts name.
@@ -29,6 +29,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -45,9 +49,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.report(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_tiff, op3_html, op5_bpe, op6_chat, op7_mixing, op8_simhash, op10_quality)}
-SQL = {"op6_chat": chat.sql(), "op7_mixing": mixing.sql(mixing.Mix()), "op10_quality": quality.sql()}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_tiff, op3_html, op4_warc, op5_bpe, op6_chat, op7_mixing, op8_simhash, op9_urlfilter, op10_quality)}
+SQL = {"op6_chat": chat.sql(), "op7_mixing": mixing.sql(mixing.Mix()), "op9_urlfilter": urlfilter.sql(), "op10_quality": quality.sql()}
