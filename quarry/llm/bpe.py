@@ -166,15 +166,18 @@ def encode_texts(texts: list[bytes], cache: dict[bytes, bytes], encode_chunks: C
     """Ids of each text as bytes, by way of a cache of chunks that never holds much more than CACHE."""
     for at in range(0, len(texts), ROWS):
         split = [t.split() for t in texts[at : at + ROWS]]  # of bytes: at ASCII white space only
-        met = set().union(*split)
-        new = list(met.difference(cache))
+        found = [list(map(cache.get, chunks)) for chunks in split]
+        holes = [[k for k, ids in enumerate(f) if ids is None] for f in found]
+        new = list({chunks[k] for chunks, at_ in zip(split, holes, strict=True) for k in at_})
         if len(cache) + len(new) > CACHE:  # what these rows don't use goes
-            kept = {c: cache[c] for c in met.intersection(cache)}
+            used = {c: ids for chunks, f in zip(split, found, strict=True) for c, ids in zip(chunks, f, strict=True) if ids is not None}
             cache.clear()
-            cache.update(kept)
+            cache.update(used)
         cache.update(zip(new, encode_chunks(new), strict=True))
-        for chunks in split:
-            yield b"".join(map(cache.__getitem__, chunks))
+        for chunks, f, at_ in zip(split, found, holes, strict=True):
+            for k in at_:
+                f[k] = cache[chunks[k]]
+            yield b"".join(f)
 
 
 @lru_cache(2)

@@ -32,12 +32,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarry.llm.bpe import encode_texts
+from quarry.llm.bpe import ROWS, encode_texts
 from quarry.llm.common import Workspace, text_bytes
 
 MAGIC, HEAD = b"QHF1", "<4s4I2Q"
 #: Longest code in bits, symbols of a block, and ids of a file (a document is never split).
-LIMIT, BLOCK, FILE_IDS = 18, 256, 2_000_000
+LIMIT, BLOCK, FILE_IDS = 18, 256, 1_000_000
+#: Ids that the writer handles at once: a multiple of BLOCK.
+STEP = 64 * BLOCK
 END_ID = 1
 
 
@@ -84,19 +86,26 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def write_file(docs: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> bytes:
     ids = np.concatenate(docs) if docs else np.empty(0, np.int64)
-    size = lengths[ids].astype(np.int64)
-    at = np.cumsum(size) - size
-    bits = int(size.sum())
-    # Code k starts in 32-bit word at >> 5 and may run into the next; the parts don't overlap, so sums are unions.
-    word, shift = at >> 5, 64 - (at & 31) - size
-    wide = codes[ids] << shift
-    n = (bits + 31) // 32 + 1
-    high = np.bincount(word, weights=wide >> 32, minlength=n)
-    low = np.bincount(word + 1, weights=wide & 0xFFFFFFFF, minlength=n)
-    words = (high[:n] + low[:n]).astype(np.uint64).astype(">u4")
-    marks = at[::BLOCK].astype("<u8")
+    n = int(np.bincount(lengths[ids], minlength=1) @ np.arange(int(lengths[ids].max(initial=0)) + 1)) // 32 + 2
+    words, marks, bits = np.zeros(n), [], 0
+    for k in range(0, len(ids), STEP):  # steps that stay in the processor's cache
+        part = ids[k : k + STEP]
+        size = lengths[part].astype(np.int64)
+        at = np.cumsum(size)
+        total = int(at[-1])
+        at += bits - size
+        marks.append(at[::BLOCK])
+        # A code starts in 32-bit word at >> 5 and may run into the next; the parts don't overlap, so sums are unions.
+        first = bits >> 5
+        word = (at >> 5) - first
+        wide = codes[part] << (64 - (at & 31) - size)
+        span = int(word[-1]) + 2
+        words[first : first + span] += np.bincount(word, weights=wide >> 32, minlength=span)
+        words[first + 1 : first + span] += np.bincount(word, weights=wide & 0xFFFFFFFF, minlength=span - 1)
+        bits += total
+    marks = np.concatenate(marks or [np.empty(0, np.int64)]).astype("<u8")
     head = struct.pack(HEAD, MAGIC, len(lengths), BLOCK, len(docs), len(marks), len(ids), bits)
-    return b"".join([head, lengths.astype(np.uint8).tobytes(), np.array([len(d) for d in docs], "<u4").tobytes(), marks.tobytes(), words.tobytes()])
+    return b"".join([head, lengths.astype(np.uint8).tobytes(), np.array([len(d) for d in docs], "<u4").tobytes(), marks.tobytes(), words.astype(np.uint64).astype(">u4").tobytes()])
 
 
 @lru_cache(2)
@@ -104,10 +113,10 @@ def decode_table(lengths: bytes) -> tuple[int, np.ndarray]:
     """Width, and for each run of so many bits: id << 8 | length of the code that it starts with."""
     size = np.frombuffer(lengths, np.uint8)
     width = max(1, int(size.max(initial=1)))
-    table = np.zeros(1 << width, np.int64)
+    table = np.zeros(1 << width, np.uint32)
     used = np.flatnonzero(size)
     used = used[np.argsort(size[used], kind="stable")]  # by length, then id: as the codes run
-    fill = np.repeat(used << 8 | size[used], 1 << (width - size[used].astype(np.int64)))
+    fill = np.repeat((used << 8 | size[used]).astype(np.uint32), 1 << (width - size[used].astype(np.int64)))
     table[: len(fill)] = fill
     return width, table
 
@@ -129,7 +138,7 @@ def read_file(raw: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray, np.n
     size = np.full(n_blocks, block, np.int64)
     size[-1:] = n - block * (n_blocks - 1)
     size = size[blocks]
-    out = np.zeros((block, len(marks)), np.int64)
+    out = np.zeros((block, len(marks)), np.uint32)
     pos, last = marks.copy(), size.min(initial=block)
     mask, back = np.int64((1 << width) - 1), 64 - width
     for k in range(int(size.max(initial=0))):
@@ -143,8 +152,9 @@ def read_file(raw: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray, np.n
     return docs, ids if (size == block).all() else ids[(np.arange(block) < size[:, None]).ravel()]
 
 
-#: Letters that are composed, have one lower-case form and stand in no other normal form; then ASCII marks.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+)([!-/:-@\\[-`{-~]*)")
+#: Letters that are composed and stand in no other normal form: the tokenizer makes one word of them.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+").fullmatch
+MARKS = re.compile(rb"(?<=[a-z])([.,]+)(?=[ \n])")
 JOINED = 128
 
 
@@ -175,57 +185,68 @@ def library(path: str):
             yield from (raw[a:b] for a, b in pairwise(cut))
 
     def chunks(texts: list[bytes]) -> list[bytes]:
-        """Marks after letters are a word of their own, and case doesn't count: words are encoded once for all their forms."""
         said = [t.decode() for t in texts]
-        split = [m.groups() if (m := PLAIN.fullmatch(s)) else None for s in said]
-        plain = list({m[0].lower() for m in split if m})
+        plain = [s for s in said if PLAIN(s)]
         known = dict(zip(plain, words(plain), strict=True))
-        mark = {c: encode(c).tobytes() for c in {m[1] for m in split if m}}
-        return [known[m[0].lower()] + mark[m[1]] if m else encode(s).tobytes() for m, s in zip(split, said, strict=True)]
+        return [known[s] if s in known else encode(s).tobytes() for s in said]
 
     return chunks, cache, size
 
 
+def simpler(text: bytes) -> bytes:
+    """A text with the same ids and fewer distinct chunks: case doesn't count, and marks after a letter are a word of their own."""
+    return text if b"<|" in text else MARKS.sub(rb" \1", text.lower())
+
+
 def encode(df: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids (with the end id; unsigned 32-bit, under zstd) and n, by the tokenizers library."""
+    """doc_id, ids (with the end id; packed) and counts: null, but for each task's last row (ids null), its counts of all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, cache, _ = library(vocabulary)
-        pack, end = zstandard.ZstdCompressor(1), END_ID.to_bytes(4, "little")
+        chunks, cache, size = library(vocabulary)
+        zip_, end, total = zstandard.ZstdCompressor(1), END_ID.to_bytes(4, "little"), np.zeros(size, np.int64)
+
+        def rows(doc_ids: pa.Array, packed: list[bytes | None], counts: bytes | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array(packed, pa.binary()), pa.array([counts] * len(packed), pa.binary())], ["doc_id", "ids", "counts"])
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            raw = [ids + end for ids in encode_texts(texts, cache, chunks)]
-            packed = [pack.compress(halves(r)) for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array([len(r) // 4 for r in raw], pa.int64())], ["doc_id", "ids", "n"])
+            for at in range(0, batch.num_rows, ROWS):
+                texts = [simpler(t) for t in batch.column(1).slice(at, ROWS).to_pylist()]
+                raw = [ids + end for ids in encode_texts(texts, cache, chunks)]
+                total += np.bincount(np.frombuffer(b"".join(raw), "<u4"), minlength=size)
+                yield rows(batch.column(0).slice(at, ROWS), [zip_.compress(halves(r)) for r in raw])
+        yield rows(pa.nulls(1, pa.int64()), [None], total.tobytes())
 
-    return text_bytes(df, "doc_id").mapInArrow(run, "doc_id long, ids binary, n long")
+    return text_bytes(df, "doc_id").mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def halves(raw: bytes) -> bytes:
-    """Low halves of all ids, then high halves: those are mostly zeros and take no room."""
-    return np.frombuffer(raw, "<u2").reshape(-1, 2).T.tobytes()
+    """Low halves of all ids, then the high halves if there is one that isn't zero; the first byte tells."""
+    half = np.frombuffer(raw, "<u2").reshape(-1, 2)
+    return b"\1" + half[:, 0].tobytes() if not half[:, 1].any() else b"\2" + half.T.tobytes()
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    half = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u2").reshape(2, -1).astype(np.int64)
-    return half[0] | half[1] << 16
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    low = np.frombuffer(raw, "<u2", offset=1)
+    if raw[0] == 1:
+        return low
+    low, high = low.reshape(2, -1).astype(np.uint32)
+    return low | high << np.uint32(16)
 
 
-def count_ids(encoded: DataFrame) -> DataFrame:
-    """id, count over all documents; each task sends one row for each id it met."""
+def count_ids(encoded: DataFrame, size: int) -> DataFrame:
+    """id, count over all documents: the sums of the tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            packed = batch.column(0).to_pylist()
-            for at in range(0, len(packed), 64):
-                got = np.bincount(np.concatenate([unpack(p) for p in packed[at : at + 64]]), minlength=len(total))
-                got[: len(total)] += total
-                total = got
+            for counts in batch.column(0).to_pylist():
+                total += np.frombuffer(counts, np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "count"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    counts = encoded.where("counts IS NOT NULL").select("counts")
+    return counts.mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def write_files(encoded: DataFrame, lengths: np.ndarray, partitions: int) -> DataFrame:
@@ -255,7 +276,7 @@ def write_files(encoded: DataFrame, lengths: np.ndarray, partitions: int) -> Dat
         if docs:
             yield file()
 
-    ordered = encoded.select("doc_id", "ids").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = encoded.where("counts IS NULL").select("doc_id", "ids").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")
     return ordered.mapInArrow(run, "path string, n_ids long, doc_ids array<long>, content binary")
 
 
@@ -289,7 +310,7 @@ def token_files(spark: SparkSession, df: DataFrame, vocabulary: str) -> DataFram
     work = Workspace(spark, "token-files")
     encoded = work.put(encode(df, vocabulary), "ids")
     counts = np.zeros(library(vocabulary)[2], np.int64)
-    for row in count_ids(encoded).toLocalIterator():
+    for row in count_ids(encoded, len(counts)).toLocalIterator():
         counts[row["id"]] = row["count"]
     if not counts.any():
         counts[END_ID] = 1
