@@ -65,7 +65,8 @@ def ledger(df: DataFrame, name: str = "ledger") -> DataFrame:
     x = x.withColumn("n_repeat_words", F.when(F.col("repeats"), F.aggregate(covered, F.lit(0).cast("long"), lambda a, b: a + b)).otherwise(F.lit(0).cast("long")))
     x = x.withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     bits = sum((F.when(F.expr(rule), F.lit(BIT[k])).otherwise(F.lit(0)).cast("long") for k, rule in RULES.items()), F.lit(0).cast("long"))
-    return x.select("row", F.struct(*MEASURES, bits.alias("failures")).alias("ledger")).select("row.*", F.col("ledger").alias(name))
+    # Through a generator: else a filter on the bits would be pushed down with all of the above written out in it, many times over.
+    return x.select("row", F.explode(F.array(F.struct(*MEASURES, bits.alias("failures")))).alias("ledger")).select("row.*", F.col("ledger").alias(name))
 
 
 def passes(failures: Column, policy: int) -> Column:
