@@ -1,5 +1,52 @@
-"""placeholder"""
-STAGES = []
+"""A training corpus from raw documents: quality rules, near-duplicate removal, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
+the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.llm import bpe, mixing, quality, simhash
+from quarry.llm.common import Workspace, table
+from quarry.llm.queries import vocabulary
+
+#: Nine tenths of the tokens that are left, each document once at most, at the usual weights.
+MIX = mixing.Mix(budget=(9, 10), max_epochs=1)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the latest policy."""
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies (five-word shingles, similarity 0.8 or more)."""
+    return simhash.keep(spark, docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within their leaf's budget."""
+    return mixing.keep(spark, docs, MIX)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded text."""
+    return bpe.encode_decode(docs, vocabulary())
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]
+
+#: Near-duplicate groups are beyond SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table documents."""
+    docs, work = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = work.put(docs, name)
+    return docs
