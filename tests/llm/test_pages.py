@@ -1,0 +1,151 @@
+"""HTML extraction and WARC derivatives."""
+
+from __future__ import annotations
+
+import gzip
+import html as entities
+import re
+import uuid
+import zlib
+from datetime import UTC, datetime
+
+import numpy as np
+import pytest
+
+from quarry.llm import html, queries, warc
+
+
+@pytest.fixture(scope="module")
+def model():
+    return html.trained()
+
+
+def test_held_out_accuracy(model):
+    rng = np.random.default_rng(2024)
+    wrong = n = 0
+    for _ in range(300):
+        found = html.blocks(html.training_page(rng)[0])
+        want = np.array(["\x01" in b.text for b in found])
+        for b in found:
+            b.text = b.text.replace("\x01", "").strip() or "."
+        wrong += int(((model.label([found])[0] > 0.5) != want).sum())
+        n += len(want)
+    assert wrong / n < 0.015
+
+
+def test_gradients_are_right():
+    rng = np.random.default_rng(0)
+    m = html.Labeller(rng)
+    for k in m.p:
+        m.p[k] = m.p[k].astype(np.float64)
+    x, mask, y = rng.standard_normal((4, 2, html.WIDTH)), np.array([[1, 1], [1, 1], [1, 0], [1, 0]], float), rng.integers(0, 2, (4, 2)).astype(float)
+
+    def loss():
+        own = {d: (x.reshape(-1, html.WIDTH) @ m.p[f"w{d}"][: html.WIDTH] + m.p[f"b{d}"]).reshape(4, 2, -1) for d in "fb"}
+        p = m.forward(own, mask)[0]
+        return -((y * np.log(p) + (1 - y) * np.log(1 - p)) * mask).sum() / mask.sum()
+
+    g = m.gradients(x, mask, y)
+    for name, at in (("wf", (3, 5)), ("wb", (html.WIDTH + 2, 40)), ("bf", (1,)), ("wo", (30, 0)), ("bo", (0,))):
+        old = m.p[name][at]
+        m.p[name][at] = old + 1e-3
+        up = loss()
+        m.p[name][at] = old - 1e-3
+        down = loss()
+        m.p[name][at] = old
+        assert abs((up - down) / 2e-3 - g[name][at]) < 1e-3
+
+
+def test_op3_over_the_table(spark, data):
+    """The test pages hold their article in one element of that name."""
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = queries.op3_html(spark, data).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        inner = re.search("<article>(.*)</article>", pages[r["page_id"]]["html"], re.S)[1]
+        blocks = (" ".join(entities.unescape(re.sub("<[^>]*>", " ", s)).split()) for s in re.split("</?(?:p|h1)>", inner))
+        assert r["text"] == "\n".join(b for b in blocks if b)
+        assert r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
+
+
+def texts(page):
+    return [b.text for b in html.blocks(page)]
+
+
+def test_blocks_of_broken_markup():
+    assert texts("") == []
+    assert texts("plain &amp; simple &lt;b&gt;\n  x") == ["plain & simple <b> x"]
+    assert texts("<p>a<p>b<br>c<div>d") == ["a", "b c", "d"]
+    assert texts("<script>var x='</p>'</script>y<style>z") == ["y"]
+    assert texts("a<!-- <p>b -->c<!-- no end <p>d") == ["ac"]
+    assert texts("<p class='x>y'>a</p></div></p>b<textarea>c</textarea>") == ["a", "b"]
+    assert texts("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == ["a", "b", "c", "d"]
+    assert texts("<p>a < b &copy 1 &#233; &#x1F600;</p>") == ["a < b © 1 é 😀"]
+    assert texts("<head><title>t</title><body><form><select><option>o</select><button>b</button></form>x") == ["x"]
+    assert len(texts("<div>" * 3000 + "deep")) == 1
+    assert texts('<a href="' * 50 + "x") is not None
+
+
+def test_op3_on_odd_rows(spark, model):
+    df = spark.createDataFrame([(1, None, None, 5), (None, "u", "", 6), (2, "u", "<article><p>" + "word " * 60_000 + "</p></article>", 7)], "page_id long, url string, html string, n_chars int")
+    got = {r["page_id"]: r for r in html.extract(df, model).collect()}
+    assert got[1]["text"] == "" and got[None]["n_chars"] == 0 and got[2]["n_chars"] == 60_000 * 5 - 1
+    assert html.extract(df.limit(0), model).count() == 0
+
+
+WHEN = datetime(2024, 5, 6, tzinfo=UTC)
+
+
+def chunked(body):
+    return b"%x\r\n%s\r\n0\r\n\r\n" % (len(body), body)
+
+
+@pytest.mark.parametrize(
+    ("http", "body"),
+    [
+        (None, b"<p>a</p><p>b &amp; c</p>"),
+        ([("Content-Type", "text/html"), ("Content-Encoding", "gzip")], gzip.compress(b"<p>a</p><p>b &amp; c</p>")),
+        ([("Content-Type", "text/html"), ("Content-Encoding", "deflate"), ("Transfer-Encoding", "chunked")], chunked(zlib.compress(b"<p>a</p><p>b &amp; c</p>"))),
+        ([("Content-Type", 'text/html; charset="latin-1"')], b"<p>a</p><p>b &amp; c</p>"),
+    ],
+)
+def test_derivatives_refer_and_keep(http, body):
+    source = warc.response("http://x.org/", WHEN, body, http)
+    (meta, text), error = warc.derive(next(warc.parse_records(source.to_bytes())))
+    assert error is None and text.block == b"a\nb & c"
+    own = source.get("WARC-Record-ID")
+    assert meta.get("WARC-Refers-To") == text.get("WARC-Refers-To") == own
+    assert meta.get("WARC-Concurrent-To") == text.get("WARC-Record-ID") and text.get("WARC-Concurrent-To") == meta.get("WARC-Record-ID")
+    fields = dict(line.split(": ", 1) for line in meta.block.decode().splitlines())
+    assert fields["source-payload-digest"] == source.get("WARC-Payload-Digest") == warc.digest(body)
+    assert fields["http-status"] == "HTTP/1.1 200 OK"
+    for k, v in http or []:
+        assert fields[f"http-header-{k.lower()}"] == v
+    assert text.get("WARC-Block-Digest") == warc.digest(text.block)
+    uuid.UUID(own[10:-1])
+
+
+def test_what_gives_no_text(spark):
+    image = warc.response("u", WHEN, b"\x89PNG", [("Content-Type", "image/png")])
+    broken = warc.response("u", WHEN, b"xx", [("Content-Type", "text/html"), ("Content-Encoding", "gzip")])
+    request = warc.Record([("WARC-Type", "request")], b"GET /")
+    whole = warc.response("u", WHEN, b"hi").to_bytes()
+    rows = [(1, bytearray(image.to_bytes())), (2, bytearray(broken.to_bytes())), (3, bytearray(request.to_bytes())), (4, bytearray(whole[:-9])), (5, None), (6, bytearray(b"junk")), (7, bytearray(gzip.compress(whole) + gzip.compress(request.to_bytes() + whole)))]
+    got = {}
+    for r in warc.derivatives(spark.createDataFrame(rows, "page_id long, warc binary")).collect():
+        got.setdefault(r["page_id"], []).append((r["record_type"], bool(r["error"])))
+    assert got == {1: [("metadata", True)], 2: [("metadata", True)], 4: [(None, True)], 6: [(None, True)], 7: [("metadata", False), ("conversion", False)] * 2}
+
+
+def test_op4_over_the_table_and_files(spark, data):
+    n = spark.read.parquet(f"{data}/pages.parquet").count()
+    got = queries.op4_warc(spark, data)
+    assert {r["record_type"]: r["count"] for r in got.groupBy("record_type").count().collect()} == {"metadata": n, "conversion": n}
+    assert got.where("error IS NOT NULL").count() == 0
+    meta, text = (got.where(f"record_type = '{k}'").alias(k[:1]) for k in ("metadata", "conversion"))
+    assert meta.join(text, "refers_to").where("m.concurrent_to = c.record_id AND c.concurrent_to = m.record_id").count() == n
+    made = warc.derivatives(warc.page_responses(spark.read.parquet(f"{data}/pages.parquet")))
+    files = [r for f in warc.pack(made).collect() for r in warc.parse_records(bytes(f["content"]))]
+    assert len(files) == 2 * n
+    odd = spark.createDataFrame([(None, None, None, 1), (3, "a\nb", "<p>x", 2)], "page_id long, url string, html string, record int")
+    assert warc.report(odd).count() == 4 and warc.report(odd.limit(0)).count() == 0
