@@ -30,8 +30,8 @@ from quarry.llm.common import text_bytes
 #: The characters of Unicode's White_Space property.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_RANK = np.iinfo(np.int32).max
-#: Chunks that a worker's cache holds at most, and rows encoded together.
-CACHE, ROWS = 500_000, 512
+#: Chunks that a worker's cache holds at most (about 190 bytes each), and rows encoded together.
+CACHE, ROWS = 400_000, 512
 
 
 def byte_letters() -> list[str]:
@@ -162,14 +162,15 @@ class BPE:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def encode_texts(texts: list[bytes], cache: dict[bytes, bytes], encode_chunks: Callable[[list[bytes]], list[bytes]]) -> Iterator[bytes]:
-    """Ids of each text as bytes, by way of a cache of chunks that never holds much more than CACHE."""
+def encode_texts(texts: list[bytes], cache: dict[bytes, bytes], encode_chunks: Callable[[list[bytes]], list[bytes]], most: int | None = None) -> Iterator[bytes]:
+    """Ids of each text as bytes, by way of a cache of chunks that never holds much more than ``most`` (CACHE)."""
+    most = most or CACHE
     for at in range(0, len(texts), ROWS):
         split = [t.split() for t in texts[at : at + ROWS]]  # of bytes: at ASCII white space only
         found = [list(map(cache.get, chunks)) for chunks in split]
         holes = [[k for k, ids in enumerate(f) if ids is None] for f in found]
         new = list({chunks[k] for chunks, at_ in zip(split, holes, strict=True) for k in at_})
-        if len(cache) + len(new) > CACHE:  # what these rows don't use goes
+        if len(cache) + len(new) > most:  # what these rows don't use goes
             used = {c: ids for chunks, f in zip(split, found, strict=True) for c, ids in zip(chunks, f, strict=True) if ids is not None}
             cache.clear()
             cache.update(used)

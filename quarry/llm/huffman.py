@@ -41,6 +41,9 @@ LIMIT, BLOCK, FILE_IDS = 18, 256, 1_000_000
 #: Ids that the writer handles at once: a multiple of BLOCK.
 STEP = 64 * BLOCK
 END_ID = 1
+#: Chunks in a worker's cache, at about 190 bytes: so many as a worker's later tasks meet again.
+CACHE = 1_000_000
+UNZIP = zstandard.ZstdDecompressor()
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -86,8 +89,7 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def write_file(docs: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> bytes:
     ids = np.concatenate(docs) if docs else np.empty(0, np.int64)
-    n = int(np.bincount(lengths[ids], minlength=1) @ np.arange(int(lengths[ids].max(initial=0)) + 1)) // 32 + 2
-    words, marks, bits = np.zeros(n), [], 0
+    words, marks, bits = np.zeros(len(ids) * int(lengths.max(initial=0)) // 32 + 2), [], 0
     for k in range(0, len(ids), STEP):  # steps that stay in the processor's cache
         part = ids[k : k + STEP]
         size = lengths[part].astype(np.int64)
@@ -105,7 +107,7 @@ def write_file(docs: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -
         bits += total
     marks = np.concatenate(marks or [np.empty(0, np.int64)]).astype("<u8")
     head = struct.pack(HEAD, MAGIC, len(lengths), BLOCK, len(docs), len(marks), len(ids), bits)
-    return b"".join([head, lengths.astype(np.uint8).tobytes(), np.array([len(d) for d in docs], "<u4").tobytes(), marks.tobytes(), words.astype(np.uint64).astype(">u4").tobytes()])
+    return b"".join([head, lengths.astype(np.uint8).tobytes(), np.array([len(d) for d in docs], "<u4").tobytes(), marks.tobytes(), words[: (bits + 31) // 32 + 1].astype(np.uint64).astype(">u4").tobytes()])
 
 
 @lru_cache(2)
@@ -211,7 +213,7 @@ def encode(df: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 texts = [simpler(t) for t in batch.column(1).slice(at, ROWS).to_pylist()]
-                raw = [ids + end for ids in encode_texts(texts, cache, chunks)]
+                raw = [ids + end for ids in encode_texts(texts, cache, chunks, CACHE)]
                 total += np.bincount(np.frombuffer(b"".join(raw), "<u4"), minlength=size)
                 yield rows(batch.column(0).slice(at, ROWS), [zip_.compress(halves(r)) for r in raw])
         yield rows(pa.nulls(1, pa.int64()), [None], total.tobytes())
@@ -226,7 +228,7 @@ def halves(raw: bytes) -> bytes:
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
+    raw = UNZIP.decompress(packed)
     low = np.frombuffer(raw, "<u2", offset=1)
     if raw[0] == 1:
         return low
