@@ -49,7 +49,7 @@ COPY_SHINGLE, SIMILARITY, WORD_TAU = 5, 0.8, 7
 #: Shingle sets that a task compares with each other.
 SETS = 400
 #: Fingerprints of a bucket (or of a chunk of the grid) that one task compares with each other.
-BUCKET = 2_000
+BUCKET = 16_000
 #: Relative costs of sending a row and of comparing a pair.
 ROW_COST, PAIR_COST = 400.0, 1.0
 LANES = np.uint64(0x0101010101010101)
@@ -200,28 +200,24 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def forest(fps: np.ndarray, tau: int, left: np.ndarray | None = None, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, tau: int, left: np.ndarray | None = None, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of the pairs within tau bits; with ``left`` (booleans), of those across only."""
-    root = np.arange(len(fps))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
+    label = np.arange(len(fps))
     a, b = [], []
     for at in range(0, len(fps), block):
         part = fps[at : at + block]
         near = np.bitwise_count(part[:, None] ^ fps[None, at:]) <= tau
         if left is not None:
             near &= left[at : at + block, None] != left[None, at:]
-        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            x, y = find(i + at), find(j + at)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                a.append(i + at)
-                b.append(j + at)
+        near &= label[at : at + block, None] != label[None, at:]
+        for i in np.flatnonzero(near.any(1)).tolist():
+            others = np.flatnonzero(near[i]) + at
+            labels, first = np.unique(label[others], return_index=True)
+            for other, j in zip(labels.tolist(), others[first].tolist(), strict=True):
+                if other != label[i + at]:
+                    label[label == other] = label[i + at]
+                    a.append(i + at)
+                    b.append(j)
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
