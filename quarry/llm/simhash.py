@@ -410,7 +410,8 @@ def similar_groups(spark: SparkSession, df: DataFrame) -> DataFrame:
     many = named.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     candidates = work.put(named.join(many, "root").select("digest", "first", "root", "n"), "candidates")
     # A candidate's text is that of its first row; where a doc_id is repeated, the digest tells the right one.
-    whole = text_bytes(df, "doc_id").join(candidates.withColumnRenamed("first", "doc_id"), "doc_id")
+    # Candidates grow with the corpus: both sides meet by a sorted shuffle at every size, never by a broadcast.
+    whole = text_bytes(df, "doc_id").join(candidates.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id")
     sets = shingle_sets(whole.select(F.col("digest").alias("node"), "root", "n", "text"))
     cells = grid(work.put(sets, "sets"), F.col("root"), F.col("n"), F.col("node"), SETS, "node", "hashes")
     edges = work.put(compare_sets(cells).distinct(), "edges")
@@ -427,6 +428,6 @@ def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
     """
     found = similar_groups(spark, df)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays"))
-    out = df.join(stay, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
+    out = df.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
     repeated = df.groupBy("doc_id").count().where("count > 1").limit(1)
     return out.dropDuplicates(["doc_id", "text"]) if repeated.count() else out
