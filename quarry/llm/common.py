@@ -32,6 +32,9 @@ class Workspace:
         self.n += 1
         path = f"{self.at}/{self.n}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.n == 1:  # what no one drops goes with the driver's process
+            top = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+            top.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(top)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quarry_path = path
         return out
