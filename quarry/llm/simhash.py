@@ -20,9 +20,11 @@ Candidate search (over the distinct fingerprints, so copies count once):
 Components come from alternating large-star and small-star rounds over edges written to the shared folder.
 
 ``similar_groups`` is for corpora: near copies are texts whose sets of five-word shingles have a Jaccard similarity
-of 0.8 or more. Fingerprints of the sets of words (an edit changes one word, but five shingles) within WORD_TAU
-bits give candidate groups; within those, shingle sets are compared exactly. On the test tables 99 % of the pairs
-at 0.8 or more are within WORD_TAU bits; a pair beyond it is missed unless others connect it.
+of 0.8 or more. Each text has KINDS fingerprints of its set of words (an edit changes one word, but five shingles),
+of the same word hashes mixed differently. Those within WORD_TAU bits in any kind give candidate groups; within
+those, shingle sets are compared exactly. Groups of the same members under several kinds are compared once. On the
+test tables 3 % of the pairs at 0.8 or more are further apart in one kind, and 0.04 % in all three; such a pair is
+missed unless others connect it.
 
 Rows: a null text counts as empty; without a word the fingerprint is zero and links like any other. Repeated
 rows and copies share a fingerprint. A null doc_id doesn't count as the smallest unless its component has no
@@ -33,7 +35,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -44,8 +46,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quarry.llm.common import Workspace, text_bytes
 
 SHINGLE, SEED, TAU = 3, 42, 3
-#: Near copies: shingle, similarity, and the bits within which fingerprints of word sets are candidates.
-COPY_SHINGLE, SIMILARITY, WORD_TAU = 5, 0.8, 7
+#: Near copies: shingle, similarity, fingerprints of a text's word set, and the bits within which those are candidates.
+COPY_SHINGLE, SIMILARITY, KINDS, WORD_TAU = 5, 0.8, 3, 6
 #: Shingle sets that a task compares with each other.
 SETS = 400
 #: Fingerprints of a bucket (or of a chunk of the grid) that one task compares with each other.
@@ -72,15 +74,30 @@ def word_hashes(text: bytes) -> Iterator[int]:
     return map(partial(xxhash.xxh64_intdigest, seed=SEED), set(text.lower().split()))
 
 
-def majority(texts: list[bytes], hashes_of: Callable[[bytes], Iterator[int]] = shingle_hashes) -> np.ndarray:
-    """Fingerprints: a bit is 1 if it is in more than half of the text's hashes."""
+def mixed(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """Other hashes of the same things (SplitMix64 steps from the hash); kind 0 is the hash itself."""
+    if not kind:
+        return hashes
+    x = hashes + np.uint64(kind * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def majority(texts: list[bytes], hashes_of: Callable[[bytes], Iterator[int]] = shingle_hashes, kinds: int = 1) -> np.ndarray:
+    """Fingerprints, a row for each kind: a bit is 1 if it is in more than half of the text's hashes."""
     each = [np.fromiter(hashes_of(t), np.uint64) for t in texts]
     n = np.array([len(e) for e in each], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    hashes = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    return np.stack([vote(mixed(hashes, k), n) for k in range(kinds)])
+
+
+def vote(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Majorities over the first n[0] hashes, the next n[1], and so on; zero where there are none."""
+    out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
-    hashes = np.concatenate(each)
     # Eight counters of a byte in each 64-bit word: sums of at most 255 rows fit.
     starts = np.cumsum(n) - n
     pieces = -(-n[full] // 255)
@@ -95,17 +112,22 @@ def majority(texts: list[bytes], hashes_of: Callable[[bytes], Iterator[int]] = s
     return out
 
 
-def fingerprints(df: DataFrame, hashes_of: Callable[[bytes], Iterator[int]] = shingle_hashes) -> DataFrame:
-    """doc_id, the fingerprint as a signed long, and a 128-bit digest of the text."""
+def fingerprint_columns(kinds: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, kinds))]
+
+
+def fingerprints(df: DataFrame, hashes_of: Callable[[bytes], Iterator[int]] = shingle_hashes, kinds: int = 1) -> DataFrame:
+    """doc_id, the fingerprints as signed longs, and a digest of the text: XXH64 as Spark's xxhash64, then XXH3, in hex."""
+    columns = fingerprint_columns(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column(1).slice(at, 256).to_pylist()
-                fps, digests = majority(texts, hashes_of), list(map(xxhash.xxh3_128_hexdigest, texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(fps.view(np.int64)), pa.array(digests, pa.string())], ["doc_id", "fp", "digest"])
+                fps, digests = majority(texts, hashes_of, kinds).view(np.int64), [xxhash.xxh64_hexdigest(t, SEED) + xxhash.xxh3_64_hexdigest(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *map(pa.array, fps), pa.array(digests, pa.string())], ["doc_id", *columns, "digest"])
 
-    return text_bytes(df, "doc_id").mapInArrow(run, "doc_id long, fp long, digest string")
+    return text_bytes(df, "doc_id").mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in columns), "digest string"]))
 
 
 # --- plan -----------------------------------------------------------------------------------------------------
@@ -258,12 +280,16 @@ def compare(rows: DataFrame, tau: int) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def link(work: Workspace, fps: DataFrame, tau: int = TAU) -> DataFrame:
-    """Links that connect all distinct fingerprints within tau bits, as they connect."""
-    n, both = bit_counts(fps)
-    masks = plan(n, both, tau)
-    probes = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for k, m in enumerate(masks))))
-    rows = fps.select("fp", probes.alias("p")).select("fp", F.xxhash64("p.k", "p.v").alias("bucket"))
+def probes(fps: DataFrame, tau: int, kind: int) -> DataFrame:
+    """fp and bucket: each fingerprint under each mask of the plan."""
+    masks = plan(*bit_counts(fps), tau)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for k, m in enumerate(masks))))
+    return fps.select("fp", each.alias("p")).select("fp", F.xxhash64(F.lit(kind), "p.k", "p.v").alias("bucket"))
+
+
+def link(work: Workspace, kinds: list[DataFrame], tau: int = TAU) -> DataFrame:
+    """Links that connect, in each kind, all distinct fingerprints within tau bits, as they connect."""
+    rows = reduce(DataFrame.union, (probes(fps, tau, k) for k, fps in enumerate(kinds)))
 
     def counted(x: DataFrame) -> DataFrame:
         sizes = x.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -314,7 +340,7 @@ def components(spark: SparkSession, df: DataFrame, tau: int = TAU) -> DataFrame:
     work = Workspace(spark, "simhash")
     docs = work.put(fingerprints(df).drop("digest"), "fingerprints")
     fps = work.put(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = stars(work, link(work, fps, tau)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    roots = stars(work, link(work, [fps], tau)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     named = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = work.put(named.join(smallest, "root").select("fp", "component_id"), "groups")
@@ -333,17 +359,17 @@ def report(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def shingle_sets(df: DataFrame) -> DataFrame:
-    """node, bucket columns as they are, and the sorted distinct hashes of the text's five-word shingles as bytes."""
+    """node and groups as they are, and the sorted distinct hashes of the text's five-word shingles as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = partial(shingle_hashes, size=COPY_SHINGLE)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [np.unique(np.fromiter(of(t), np.uint64)).tobytes() for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["node", "root", "n", "hashes"])
+                sets = [np.unique(np.fromiter(of(t), np.uint64)).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sets, pa.binary())], ["node", "groups", "hashes"])
 
-    return df.mapInArrow(run, "node string, root long, n long, hashes binary")
+    return df.mapInArrow(run, "node string, groups array<struct<root: long, n: long>>, hashes binary")
 
 
 def similar_pairs(nodes: list[str], sets: list[np.ndarray], side: list[int], least: float = SIMILARITY) -> Iterator[tuple[str, str]]:
@@ -383,12 +409,14 @@ def compare_sets(rows: DataFrame) -> DataFrame:
                 if b != bucket:
                     yield links()
                     bucket, nodes, side, sets = b, [], [], []
+                elif node == nodes[-1]:  # the same row again
+                    continue
                 nodes.append(node)
                 side.append(s)
                 sets.append(np.frombuffer(raw, np.uint64))
         yield links()
 
-    ordered = rows.select("bucket", "node", "side", "hashes").repartition("bucket").sortWithinPartitions("bucket")
+    ordered = rows.select("bucket", "node", "side", "hashes").repartition("bucket").sortWithinPartitions("bucket", "node")
     return ordered.mapInArrow(run, "u string, v string")
 
 
@@ -403,17 +431,26 @@ def grid(rows: DataFrame, by: Column, n: Column, node: Column, chunk: int, *keep
 def similar_groups(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A row for each row of df: doc_id, digest of its text, and component_id, the smallest doc_id of its group of copies and near copies."""
     work = Workspace(spark, "copies")
-    docs = work.put(fingerprints(df, word_hashes), "fingerprints")
-    texts = work.put(docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
-    roots = stars(work, link(work, texts.select("fp").distinct(), WORD_TAU))
-    named = texts.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("digest", "first", F.coalesce("root", "fp").alias("root"))
-    many = named.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    candidates = work.put(named.join(many, "root").select("digest", "first", "root", "n"), "candidates")
-    # A candidate's text is that of its first row; where a doc_id is repeated, the digest tells the right one.
+    docs = work.put(fingerprints(df, word_hashes, KINDS), "fingerprints")
+    columns = fingerprint_columns(KINDS)
+    texts = work.put(docs.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in columns)), "texts")
+    roots = stars(work, link(work, [texts.select(F.col(c).alias("fp")).distinct() for c in columns], WORD_TAU))
+    # Without words a text's fingerprints are all zero, which counts once.
+    each = texts.select("digest", "first", F.explode(F.array_distinct(F.array(*columns))).alias("fp"))
+    named = each.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("digest", "first", F.coalesce("root", "fp").alias("root"))
+    # Kinds often find the same group: one name for the same members, so they are compared once.
+    members = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("digest")), F.bit_xor(F.xxhash64("digest", F.lit(1))))
+    many = named.groupBy("root").agg(F.count("*").alias("n"), members.alias("group")).where("n > 1")
+    in_groups = named.join(many, "root").groupBy("digest", "first").agg(F.collect_set(F.struct(F.col("group").alias("root"), "n")).alias("groups"))
+    candidates = work.put(in_groups, "candidates")
+    # A candidate's text is that of its first row; where a doc_id is null or repeated, the hash tells the right one.
     # Candidates grow with the corpus: both sides meet by a sorted shuffle at every size, never by a broadcast.
-    whole = text_bytes(df, "doc_id").join(candidates.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id")
-    sets = shingle_sets(whole.select(F.col("digest").alias("node"), "root", "n", "text"))
-    cells = grid(work.put(sets, "sets"), F.col("root"), F.col("n"), F.col("node"), SETS, "node", "hashes")
+    hashed = text_bytes(df, "doc_id").withColumn("hash", hex_fingerprint(F.xxhash64("text")))
+    right = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("hash") == F.substring("digest", 1, 16))
+    whole = hashed.join(candidates.hint("merge"), right)
+    sets = work.put(shingle_sets(whole.select(F.col("digest").alias("node"), "groups", "text")), "sets")
+    placed = sets.select("node", "hashes", F.explode("groups").alias("g"))
+    cells = grid(placed, F.col("g.root"), F.col("g.n"), F.col("node"), SETS, "node", "hashes")
     edges = work.put(compare_sets(cells).distinct(), "edges")
     groups = texts.join(stars(work, edges).select(F.col("u").alias("digest"), "v"), "digest", "left").select("digest", "first", F.coalesce("v", "digest").alias("group"))
     smallest = groups.groupBy("group").agg(F.min("first").alias("component_id"))

@@ -62,7 +62,7 @@ def test_links_connect_what_is_near(spark, monkeypatch, tau, bucket):
     fps = np.unique(np.concatenate([base] + [np.bitwise_xor.reduce(np.r_[b, np.uint64(1) << f]).reshape(1) for b in base for f in flips]))
     df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long").repartition(3)
     work = Workspace(spark, "test")
-    got = {r["u"]: r["v"] for r in simhash.stars(work, simhash.link(work, df, tau)).collect()}
+    got = {r["u"]: r["v"] for r in simhash.stars(work, simhash.link(work, [df], tau)).collect()}
     ids = fps.view(np.int64).tolist()
     want = smallest(brute_groups(len(ids), near(fps, tau)), ids)
     assert [got.get(i, i) for i in ids] == want
@@ -132,3 +132,25 @@ def test_keep_on_odd_rows(spark):
     assert got.columns == df.columns
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 3, 5]
     assert simhash.keep(spark, df.limit(0)).count() == 0
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    def text(name, change=None):
+        return " ".join(change if change and k == 70 else f"{name}{k}" for k in range(90))
+
+    rows = [(None, text("a")), (None, text("a", "x")), (None, text("b")), (7, text("c")), (7, text("d")), (9, text("d", "y")), (9, text("d", "y"))]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    got = simhash.similar_groups(spark, df).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0)] * 3 + [(7, 7)] * 2 + [(9, 7)] * 2
+    # Only the null rows and those of id 7 stay; none is the smallest of a group with an id.
+    kept = [r["doc_id"] for r in simhash.keep(spark, df).collect()]
+    assert sorted(k or 0 for k in kept) == [0, 0, 0, 7, 7]
+
+
+def test_kinds_of_fingerprints_differ_but_are_all_zero_without_words():
+    fps = simhash.majority([b"", b" \n", b"one", b"one two three"], simhash.word_hashes, 3)
+    assert fps.shape == (3, 4)
+    assert not fps[:, :2].any()
+    assert len({int(f) for f in fps[:, 2:].ravel()}) == 6
+    assert fps[0, 2] == next(simhash.word_hashes(b"one"))
