@@ -20,11 +20,16 @@ Candidate search (over the distinct fingerprints, so copies count once):
 Components come from alternating large-star and small-star rounds over edges written to the shared folder.
 
 ``similar_groups`` is for corpora: near copies are texts whose sets of five-word shingles have a Jaccard similarity
-of 0.8 or more. Each text has KINDS fingerprints of its set of words (an edit changes one word, but five shingles),
-of the same word hashes mixed differently. Those within WORD_TAU bits in any kind give candidate groups; within
-those, shingle sets are compared exactly. Groups of the same members under several kinds are compared once. On the
-test tables 3 % of the pairs at 0.8 or more are further apart in one kind, and 0.04 % in all three; such a pair is
-missed unless others connect it.
+of 0.8 or more, all of them. Candidates come from two sources, and their shingle sets are compared exactly:
+
+1. Each text has KINDS fingerprints of its set of words (an edit changes one word, but five shingles), of the same
+   word hashes mixed differently. Those within WORD_TAU bits in any kind give candidate groups. Groups of the same
+   members under several kinds are compared once. This finds large groups cheaply, but not every pair.
+2. Pairs in no common group come from an exact prefix filter: in any fixed order of all shingles, two sets of that
+   similarity share one of their first n - ceil(0.8 n) + 1, and the first that they share leaves enough after it in
+   both. The order is by hash, with shingles that are frequent in a sample of texts last; which those are changes
+   the cost, not the result. Shingles of that list whose texts aren't all of one group are split over the grid.
+   Counts of each set's shingles by their last bits bound what two sets can share, which drops most other pairs.
 
 Rows: a null text counts as empty; without a word the fingerprint is zero and links like any other. Repeated
 rows and copies share a fingerprint. A null doc_id doesn't count as the smallest unless its component has no
@@ -48,6 +53,8 @@ from quarry.llm.common import Workspace, text_bytes
 SHINGLE, SEED, TAU = 3, 42, 3
 #: Near copies: shingle, similarity, fingerprints of a text's word set, and the bits within which those are candidates.
 COPY_SHINGLE, SIMILARITY, KINDS, WORD_TAU = 5, 0.8, 3, 6
+#: Frequent shingles: share of texts to count (one in), the least count there, and the most that are listed.
+SAMPLED, FREQUENT, LISTED = 64, 4, 65_536
 #: Shingle sets that a task compares with each other.
 SETS = 400
 #: Fingerprints of a bucket (or of a chunk of the grid) that one task compares with each other.
@@ -112,6 +119,11 @@ def vote(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_digest(text: bytes) -> str:
+    """XXH64 as Spark's xxhash64, then XXH3, in hex."""
+    return xxhash.xxh64_hexdigest(text, SEED) + xxhash.xxh3_64_hexdigest(text)
+
+
 def fingerprint_columns(kinds: int) -> list[str]:
     return ["fp", *(f"fp{k}" for k in range(1, kinds))]
 
@@ -124,7 +136,7 @@ def fingerprints(df: DataFrame, hashes_of: Callable[[bytes], Iterator[int]] = sh
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column(1).slice(at, 256).to_pylist()
-                fps, digests = majority(texts, hashes_of, kinds).view(np.int64), [xxhash.xxh64_hexdigest(t, SEED) + xxhash.xxh3_64_hexdigest(t) for t in texts]
+                fps, digests = majority(texts, hashes_of, kinds).view(np.int64), [text_digest(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *map(pa.array, fps), pa.array(digests, pa.string())], ["doc_id", *columns, "digest"])
 
     return text_bytes(df, "doc_id").mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in columns), "digest string"]))
@@ -372,6 +384,137 @@ def shingle_sets(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "node string, groups array<struct<root: long, n: long>>, hashes binary")
 
 
+def frequent_shingles(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles in a sample of texts, in order of their hashes, and their counts: LISTED at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = partial(shingle_hashes, size=COPY_SHINGLE)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.fromiter(of(t), np.uint64)).view(np.int64))], ["key"])
+
+    sample = text_bytes(df).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    counts = sample.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    found = sorted((r["key"] % 2**64, r["n"]) for r in counts.orderBy(F.desc("n"), "key").limit(LISTED).collect())
+    return np.array([k for k, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """Of sorted distinct shingles, those that a set of the least similarity shares one of; and how many are not frequent."""
+    listed, counts = frequent
+    n = np.zeros(len(shingles), np.int64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, shingles), len(listed) - 1)
+        n = np.where(listed[at] == shingles, counts[at], 0)
+    order = np.argsort(n, kind="stable")[: len(n) - math.ceil(SIMILARITY * len(n) - 1e-9) + 1]
+    return shingles[order], int((n[order] == 0).sum())
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Numbers of shingles by their last bits, two to four each on average; empty if one doesn't fit a byte."""
+    counts = np.bincount((shingles & np.uint64((1 << (len(shingles) // 4).bit_length()) - 1)).astype(np.int64))
+    return counts.astype(np.uint8).tobytes().ljust(1 << (len(shingles) // 4).bit_length(), b"\0") if len(counts) and counts.max() < 256 else b""
+
+
+def may_reach(a: bytes, b: bytes, sizes: int) -> bool:
+    """Whether sets with these sketches and this sum of sizes can have the least similarity."""
+    if not a or not b:
+        return True
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    shared = int(np.minimum(x, y.reshape(-1, len(x)).sum(0, dtype=np.int64)).sum())
+    return shared >= SIMILARITY / (1 + SIMILARITY) * sizes - 1e-9
+
+
+def prefixes(df: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """digest of each text, the number of its shingles, its sketch, its prefix and how many in that are not frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = partial(shingle_hashes, size=COPY_SHINGLE)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                texts = batch.column(0).slice(at, 256).to_pylist()
+                sets = [np.unique(np.fromiter(of(t), np.uint64)) for t in texts]
+                first = [prefix(s, frequent) for s in sets]
+                keys = pa.array([k.view(np.int64) for k, _ in first], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(map(text_digest, texts), pa.string()), pa.array(map(len, sets), pa.int32()), pa.array([c for _, c in first], pa.int32()), pa.array(map(sketch, sets), pa.binary()), keys], ["digest", "size", "rare", "sketch", "keys"])
+
+    return text_bytes(df).mapInArrow(run, "digest string, size int, rare int, sketch binary, keys array<long>")
+
+
+def prefix_matches(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's rows, in order of size, of different roots and with enough left in both from the shared shingle on."""
+    left = size - pos
+    for at in range(0, len(node), block):
+        end = min(at + block, len(node))
+        last = int(np.searchsorted(size, size[end - 1] / SIMILARITY + 1e-9, "right"))
+        a, b = np.arange(at, end)[:, None], np.arange(at, last)[None, :]
+        need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (size[a] + size[b]) - 1e-9)
+        near = (a < b) & (root[a] != root[b]) & (np.minimum(left[a], left[b]) >= need) & ((side[a] != side[b]) | (side[a] < 0))
+        i, j = np.nonzero(near)
+        yield node[i + at], node[j + at]
+
+
+def compare_prefixes(rows: DataFrame) -> DataFrame:
+    """rows: bucket, node, root, size, pos and side. Pairs u < v of nodes that may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matches(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            end, root = np.r_[start[1:], len(bucket)], columns[1]
+            several = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+            found = []
+            for s, e in zip(start[several].tolist(), end[several].tolist(), strict=True):
+                for u, v in prefix_matches(*(c[s:e] for c in columns)):
+                    if len(u):
+                        found.append((np.minimum(u, v), np.maximum(u, v)))
+                    if sum(len(u) for u, _ in found[-64:]) > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
+                        found = []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
+
+        held: list[tuple[np.ndarray, ...]] = []  # the last bucket, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            if held[0][0][0] == held[-1][0][-1]:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield from matches(*(c[:cut] for c in columns))
+            held = [tuple(c[cut:] for c in columns)]
+        if held:
+            yield from matches(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    ordered = rows.select("bucket", "node", "root", "size", "pos", "side").repartition("bucket").sortWithinPartitions("bucket", "size")
+    return ordered.mapInArrow(run, "u long, v long")
+
+
+def prefix_pairs(work: Workspace, df: DataFrame, roots: DataFrame) -> DataFrame:
+    """u, v: pairs of texts with different roots that may be similar, by the prefix filter. roots: digest, node and root."""
+    each = prefixes(df, frequent_shingles(df)).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("size", "rare", "sketch", "keys")))
+    table = work.put(each.join(roots, "digest").drop("digest"), "prefixes")
+    rows = table.select("node", "root", "size", "rare", F.posexplode("keys").alias("pos", "key"))
+    frequent = rows.where("pos >= rare")
+    mixed = frequent.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
+    columns = ["node", "root", "size", "pos"]
+    cells = grid(frequent.join(mixed, "key"), F.col("key"), F.col("n"), F.col("node"), BUCKET, *columns).select("bucket", "side", *columns)
+    rare = rows.where("pos < rare").select(F.col("key").alias("bucket"), F.lit(-1).alias("side"), *columns)
+    found = work.put(compare_prefixes(rare.union(cells)).distinct(), "pairs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [may_reach(a, b, n) for a, b, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    u, v = (table.select(F.col("node").alias(e), F.col("sketch").alias(f"{e}_sketch"), F.col("size").alias(f"{e}_size")) for e in "uv")
+    both = found.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "u_sketch", "v_sketch", (F.col("u_size") + F.col("v_size")).alias("sizes"))
+    out = work.put(both.mapInArrow(run, "u long, v long"), "pairs")
+    work.drop(table, found)
+    return out
+
+
 def similar_pairs(nodes: list[str], sets: list[np.ndarray], side: list[int], least: float = SIMILARITY) -> Iterator[tuple[str, str]]:
     """Links of a spanning forest of the pairs at or above the similarity; with sides 0 and 1, of pairs across only."""
     order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), nodes[k]))
@@ -441,8 +584,17 @@ def similar_groups(spark: SparkSession, df: DataFrame) -> DataFrame:
     # Kinds often find the same group: one name for the same members, so they are compared once.
     members = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("digest")), F.bit_xor(F.xxhash64("digest", F.lit(1))))
     many = named.groupBy("root").agg(F.count("*").alias("n"), members.alias("group")).where("n > 1")
-    in_groups = named.join(many, "root").groupBy("digest", "first").agg(F.collect_set(F.struct(F.col("group").alias("root"), "n")).alias("groups"))
-    candidates = work.put(in_groups, "candidates")
+    in_groups = named.join(many, "root").select("digest", "first", F.col("group").alias("root"), "n")
+    # Pairs of the prefix filter that are in no group together are groups of two.
+    by_node = lambda x: x.withColumn("node", F.xxhash64("digest"))
+    main = by_node(texts).select("digest", "node", "fp").join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
+    pairs = prefix_pairs(work, df, main.select("digest", "node", F.coalesce("root", "fp").alias("root")))
+    all_roots = by_node(named).groupBy("node", "digest", "first").agg(F.collect_set("root").alias("roots"))
+    ends = [all_roots.select(F.col("node").alias(end), F.struct("digest", "first").alias(f"{end}_text"), F.col("roots").alias(f"{end}_roots")) for end in "uv"]
+    apart = pairs.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v").where(~F.arrays_overlap("u_roots", "v_roots"))
+    twos = apart.select(F.explode(F.array("u_text", "v_text")).alias("t"), F.xxhash64("u", "v").alias("root")).select("t.digest", "t.first", "root", F.lit(2).cast("long").alias("n"))
+    placing = F.collect_set(F.struct("root", "n")).alias("groups")
+    candidates = work.put(in_groups.union(twos).groupBy("digest", "first").agg(placing), "candidates")
     # A candidate's text is that of its first row; where a doc_id is null or repeated, the hash tells the right one.
     # Candidates grow with the corpus: both sides meet by a sorted shuffle at every size, never by a broadcast.
     hashed = text_bytes(df, "doc_id").withColumn("hash", hex_fingerprint(F.xxhash64("text")))

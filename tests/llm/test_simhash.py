@@ -154,3 +154,45 @@ def test_kinds_of_fingerprints_differ_but_are_all_zero_without_words():
     assert not fps[:, :2].any()
     assert len({int(f) for f in fps[:, 2:].ravel()}) == 6
     assert fps[0, 2] == next(simhash.word_hashes(b"one"))
+
+
+def test_near_copies_that_differ_in_one_piece(spark):
+    """A passage added, cut or replaced at a similarity of 0.8 to 0.9, and short texts with one more word."""
+    rng = np.random.default_rng(9)
+    word, texts = lambda: f"w{rng.integers(10**9)}", []
+    for n in (60, 200, 1000):
+        for least in (0.8, 0.85, 0.9):
+            for k in range(6):
+                own, more = [word() for _ in range(n)], int((n - 4) / least + 1e-9) - (n - 4)
+                block = int((n - 4) * (1 - least) / (1 + least)) - 4
+                texts += [own, (own + [word() for _ in range(more)], own[: n - int((n - 4) * (1 - least))], own[:20] + [word() for _ in range(block)] + own[20 + block :])[k % 3]]
+    for n in range(10, 31):
+        for _ in range(3):
+            own = [word() for _ in range(n)]
+            texts += [own, [*own, word()]]
+    texts = [" ".join(t) for t in texts]
+    s = [shingles(t) for t in texts]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(s[::2], s[1::2], strict=True))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark, df).collect()}
+    assert got == {k: k // 2 * 2 for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("bucket", [16_000, 3])
+def test_prefixes_meet_at_the_least_similarity(spark, monkeypatch, bucket):
+    """Against all pairs, with frequent shingles and a grid of small cells."""
+    for name, value in (("BUCKET", bucket), ("SAMPLED", 1), ("FREQUENT", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(2)
+    base, texts = [f"c{k}" for k in range(40)], []
+    for k in range(60):
+        a, b = sorted(rng.integers(0, 41, 2))
+        texts.append(" ".join([*base[: 40 - (b - a) // 4], *(f"x{k % 7}y{i}" for i in range(k % 12))]))
+    texts = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    digests = {simhash.text_digest(t.encode()): k for k, t in enumerate(texts)}
+    roots = spark.createDataFrame([(d, k, k) for d, k in digests.items()], "digest string, node long, root long")
+    got = {(r["u"], r["v"]) for r in simhash.prefix_pairs(Workspace(spark, "test"), df, roots).collect()}
+    s = [shingles(t) for t in texts]
+    want = {(a, b) for b in range(len(s)) for a in range(b) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])}
+    assert want and want <= got
