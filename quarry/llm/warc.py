@@ -207,8 +207,9 @@ FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to"
 def derivatives(df: DataFrame, key: str = "page_id", content: str = "warc") -> DataFrame:
     """A row for each derived record: the key, its named fields, the source's payload digest, the record and any error.
 
-    Content with several records gives rows for each of its responses; other records give none. Content that
-    can't be parsed gives one row with the error alone.
+    Content with several records gives rows for each of its responses; other records give none. A response that isn't
+    HTTP gives one row with the error, its id as refers_to, its URI and date. Where content can't be parsed any
+    further, a row has the error alone.
     """
     columns = [*FIELDS, "source_payload_digest", "content_length", "n_chars", "record", "error"]
     kinds = [pa.string()] * (len(FIELDS) + 1) + [pa.int64(), pa.int64(), pa.binary(), pa.string()]
@@ -218,9 +219,14 @@ def derivatives(df: DataFrame, key: str = "page_id", content: str = "warc") -> D
             for source in parse_records(raw or b""):
                 if source.get("WARC-Type") != "response":
                     continue
-                made, error = derive(source)
-                for r in made:
+                try:
+                    made, error = derive(source)
                     kept = source.get("WARC-Payload-Digest") or digest(payload(source.block)[2])
+                except WarcError as e:  # of this response alone
+                    own = {k: source.get(h) for k, h in (("refers_to", "WARC-Record-ID"), ("target_uri", "WARC-Target-URI"), ("warc_date", "WARC-Date"))}
+                    yield (*map(own.get, FIELDS), source.get("WARC-Payload-Digest"), *[None] * 3, str(e))
+                    continue
+                for r in made:
                     yield (*map(r.get, FIELDS.values()), kept, len(r.block), len(r.block.decode("utf-8", "replace")), r.to_bytes(), error)
         except WarcError as e:
             yield (*[None] * (len(columns) - 1), str(e))

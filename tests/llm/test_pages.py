@@ -149,3 +149,13 @@ def test_op4_over_the_table_and_files(spark, data):
     assert len(files) == 2 * n
     odd = spark.createDataFrame([(None, None, None, 1), (3, "a\nb", "<p>x", 2)], "page_id long, url string, html string, record int")
     assert warc.report(odd).count() == 4 and warc.report(odd.limit(0)).count() == 0
+
+
+def test_a_response_that_is_not_http_does_not_end_its_file(spark):
+    good, odd = warc.response("u", WHEN, b"hi"), warc.response("http://odd.org/", WHEN, b"x")
+    odd.block = b"no blank line after this"
+    content = bytearray(good.to_bytes() + odd.to_bytes() + good.to_bytes() + b"junk")
+    got = warc.derivatives(spark.createDataFrame([(1, content)], "page_id long, warc binary")).collect()
+    assert [(r["record_type"], r["error"]) for r in got] == [("metadata", None), ("conversion", None), (None, "not an HTTP response"), ("metadata", None), ("conversion", None), (None, f"no record at byte {len(content) - 4}")]
+    assert (got[2]["refers_to"], got[2]["target_uri"], got[2]["record"]) == (odd.get("WARC-Record-ID"), "http://odd.org/", None)
+    assert got[5]["refers_to"] is None
