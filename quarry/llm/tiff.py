@@ -1,8 +1,8 @@
 """TIFF pages as rows.
 
 ``read_pages`` walks a file's chain of image directories (either byte order), decodes strips or tiles under no
-compression, PackBits, LZW or deflate, undoes the horizontal predictor (8, 16 and 32 bits) and the floating
-point one, and yields a page at a time: interleaved or planar samples, grey, colour or palette. ``pages`` is
+compression, PackBits, LZW or deflate, undoes the horizontal predictor (8, 16, 32 and 64 bits) and the floating
+point one, and yields a page at a time. Samples have 1 to 16, 32 or 64 bits, all of a page alike: interleaved or planar samples, grey, colour or palette. ``pages`` is
 the same over a DataFrame, one row per page. ``write_pages`` makes such files.
 
 ``store`` keeps texts as images: UTF-8 bytes and zeros up to a positive multiple of 64, in pages of 64
@@ -10,8 +10,8 @@ columns and at most PAGE_ROWS rows, deflate strips with the horizontal predictor
 goes into a file, so equal texts have equal files.
 
 Rows: a null text counts as empty and makes one page of one row of zeros. Repeated rows and null ids stay.
-Null, empty or damaged content gives one row of ``pages`` with a null page and the reason in ``error``.
-A directory chain that loops ends in an error too. Other columns are not read.
+A page that can't be read gives a row of ``pages`` with nulls for its samples and shape and the reason in ``error``; the pages after
+it follow. Null or empty content, and a directory chain that can't be walked further or loops, end in such a row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -184,11 +184,15 @@ PACK = {NONE: bytes, DEFLATE: lambda b: zlib.compress(b, 1), LZW: lzw, PACKBITS:
 
 def unpredict(block: bytes, rows: int, cols: int, channels: int, bits: int, predictor: int, order: str, floats: bool = False) -> np.ndarray:
     """Samples of a decoded strip or tile, rows x cols x channels."""
-    if bits < 8:
+    if bits not in (8, 16, 32, 64) and not 0 < bits < 16 or floats and bits < 16:
+        raise TiffError(f"samples of {bits} bits")
+    if predictor not in (1, 2, 3) or predictor > 1 and bits not in (8, 16, 32, 64) or predictor == 3 and bits < 16:
+        raise TiffError(f"predictor {predictor} with {bits} bits")
+    if bits not in (8, 16, 32, 64):  # most significant bit first in either byte order
         per_row = (cols * channels * bits + 7) // 8
         flat = np.frombuffer(block, np.uint8, per_row * rows).reshape(rows, per_row)
         every = np.unpackbits(flat, axis=1)[:, : cols * channels * bits].reshape(rows, cols * channels, bits)
-        return (every @ (1 << np.arange(bits)[::-1])).astype(np.uint8).reshape(rows, cols, channels)
+        return (every @ (1 << np.arange(bits)[::-1])).astype(np.uint8 if bits < 8 else np.uint16).reshape(rows, cols, channels)
     kind = np.dtype(f"{order}{'f' if floats else 'u'}{bits // 8}")
     if predictor == 3:
         flat = np.frombuffer(block, np.uint8, rows * cols * channels * bits // 8).reshape(rows, -1, channels)
@@ -199,15 +203,34 @@ def unpredict(block: bytes, rows: int, cols: int, channels: int, bits: int, pred
     if predictor == 2:
         native = data.astype(kind.newbyteorder("="))
         return np.cumsum(native, axis=1, dtype=native.dtype)
-    if predictor != 1:
-        raise TiffError(f"predictor {predictor}")
     return data
 
 
 # --- files ----------------------------------------------------------------------------------------------------
 
 
-def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
+def directory(raw: bytes, order: str, at: int, n: int) -> dict[int, tuple] | TiffError:
+    """The fields of a directory, or why they can't be read."""
+    fields = {}
+    try:
+        for k in range(n):
+            entry = at + 2 + 12 * k
+            tag, kind, count = struct.unpack_from(f"{order}HHI", raw, entry)
+            if kind not in TYPE_SIZE:
+                continue
+            where = entry + 8 if TYPE_SIZE[kind] * count <= 4 else struct.unpack_from(f"{order}I", raw, entry + 8)[0]
+            if kind in (2, 7):
+                fields[tag] = (raw[where : where + count],)
+            elif kind in (5, 10):
+                fields[tag] = struct.unpack_from(f"{order}{2 * count}{'I' if kind == 5 else 'i'}", raw, where)
+            else:
+                fields[tag] = struct.unpack_from(f"{order}{count}{ {1: 'B', 3: 'H', 4: 'I', 6: 'b', 8: 'h', 9: 'i', 11: 'f', 12: 'd'}[kind]}", raw, where)
+    except struct.error as e:
+        return TiffError(f"cut off: {e}")
+    return fields
+
+
+def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple] | TiffError]]:
     """The byte order, and the fields of each directory."""
     if raw[:4] not in (b"II*\0", b"MM\0*"):
         raise TiffError("not a TIFF file")
@@ -219,60 +242,69 @@ def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
                 raise TiffError("directories form a loop")
             seen.add(at)
             (n,) = struct.unpack_from(f"{order}H", raw, at)
-            fields = {}
-            for k in range(n):
-                entry = at + 2 + 12 * k
-                tag, kind, count = struct.unpack_from(f"{order}HHI", raw, entry)
-                if kind not in TYPE_SIZE:
-                    continue
-                where = entry + 8 if TYPE_SIZE[kind] * count <= 4 else struct.unpack_from(f"{order}I", raw, entry + 8)[0]
-                if kind in (2, 7):
-                    fields[tag] = (raw[where : where + count],)
-                elif kind in (5, 10):
-                    fields[tag] = struct.unpack_from(f"{order}{2 * count}{'I' if kind == 5 else 'i'}", raw, where)
-                else:
-                    fields[tag] = struct.unpack_from(f"{order}{count}{ {1: 'B', 3: 'H', 4: 'I', 6: 'b', 8: 'h', 9: 'i', 11: 'f', 12: 'd'}[kind]}", raw, where)
+            fields = directory(raw, order, at, n)
+            if isinstance(fields, TiffError) and at + 6 + 12 * n > len(raw):
+                raise fields  # the chain ends with it
             yield order, fields
             (at,) = struct.unpack_from(f"{order}I", raw, at + 2 + 12 * n)
     except struct.error as e:
         raise TiffError(f"cut off: {e}") from e
 
 
+def each_page(raw: bytes) -> Iterator[Page | str]:
+    """Pages, or the reason where one can't be read."""
+    for order, fields in directories(raw):
+        try:
+            if isinstance(fields, TiffError):
+                raise fields
+            yield read_page(raw, order, fields)
+        except (ValueError, IndexError, TypeError, OverflowError, struct.error) as e:
+            yield str(e)
+
+
 def read_pages(raw: bytes) -> Iterator[Page]:
-    for order, f in directories(raw):
-        one = lambda tag, default=None, f=f: f[tag][0] if f.get(tag) else default
-        width, height, channels, bits = one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(BITS, 1)
-        if not width or not height:
-            raise TiffError("a directory without a size")
-        planar, predictor, scheme, floats = one(PLANAR, 1) == 2, one(PREDICTOR, 1), one(COMPRESSION, 1), one(SAMPLE_FORMAT, 1) == 3
-        tiled = TILE_AT in f
-        if tiled:
-            tw, th, where, sizes = one(TILE_WIDTH), one(TILE_LENGTH), f[TILE_AT], f.get(TILE_BYTES)
+    for page in each_page(raw):
+        if isinstance(page, str):
+            raise TiffError(page)
+        yield page
+
+
+def read_page(raw: bytes, order: str, f: dict[int, tuple]) -> Page:
+    one = lambda tag, default=None: f[tag][0] if f.get(tag) else default
+    width, height, channels, bits = one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(BITS, 1)
+    if len(set(f.get(BITS, ()))) > 1:
+        raise TiffError(f"samples of {', '.join(map(str, f[BITS]))} bits")
+    if not width or not height:
+        raise TiffError("a directory without a size")
+    planar, predictor, scheme, floats = one(PLANAR, 1) == 2, one(PREDICTOR, 1), one(COMPRESSION, 1), one(SAMPLE_FORMAT, 1) == 3
+    tiled = TILE_AT in f
+    if tiled:
+        tw, th, where, sizes = one(TILE_WIDTH), one(TILE_LENGTH), f[TILE_AT], f.get(TILE_BYTES)
+    else:
+        tw, th, where, sizes = width, min(one(STRIP_ROWS, height), height), f.get(STRIP_AT), f.get(STRIP_BYTES)
+    if not where or not sizes or not tw or not th:
+        raise TiffError("a directory without strips or tiles")
+    across, down, deep = -(-width // tw), -(-height // th), channels if planar else 1
+    if min(len(where), len(sizes)) < across * down * deep:
+        raise TiffError("strips or tiles are missing")
+    inner, out = 1 if planar else channels, None
+    for k in range(across * down * deep):
+        plane, rest = divmod(k, across * down)
+        y, x = rest // across * th, rest % across * tw
+        rows = th if tiled else min(th, height - y)
+        size = (tw * inner * bits + 7) // 8 * rows
+        block = unpack(raw[where[k] : where[k] + sizes[k]], scheme, size)
+        if len(block) < size:
+            raise TiffError("a strip or tile is cut off")
+        got = unpredict(block[:size], rows, tw, inner, bits, predictor, order, floats)
+        if out is None:
+            out = np.zeros((height, width, channels), got.dtype)
+        got = got[: height - y, : width - x]
+        if planar:
+            out[y : y + th, x : x + tw, plane] = got[:, :, 0]
         else:
-            tw, th, where, sizes = width, min(one(STRIP_ROWS, height), height), f.get(STRIP_AT), f.get(STRIP_BYTES)
-        if not where or not sizes or not tw or not th:
-            raise TiffError("a directory without strips or tiles")
-        across, down, deep = -(-width // tw), -(-height // th), channels if planar else 1
-        if min(len(where), len(sizes)) < across * down * deep:
-            raise TiffError("strips or tiles are missing")
-        inner, out = 1 if planar else channels, None
-        for k in range(across * down * deep):
-            plane, rest = divmod(k, across * down)
-            y, x = rest // across * th, rest % across * tw
-            rows = th if tiled else min(th, height - y)
-            size = (tw * inner * bits + 7) // 8 * rows
-            block = unpack(raw[where[k] : where[k] + sizes[k]], scheme, size)
-            if len(block) < size:
-                raise TiffError("a strip or tile is cut off")
-            got = unpredict(block[:size], rows, tw, inner, bits, predictor, order, floats)
-            if out is None:
-                out = np.zeros((height, width, channels), got.dtype)
-            got = got[: height - y, : width - x]
-            if planar:
-                out[y : y + th, x : x + tw, plane] = got[:, :, 0]
-            else:
-                out[y : y + th, x : x + tw] = got
-        yield Page(width, height, channels, bits, scheme, predictor, out)
+            out[y : y + th, x : x + tw] = got
+    return Page(width, height, channels, bits, scheme, predictor, out)
 
 
 def write_pages(pages: list[np.ndarray], scheme: int = DEFLATE, predictor: int = 1, rows_in_strip: int = ROWS_IN_STRIP, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
@@ -312,11 +344,11 @@ def write_pages(pages: list[np.ndarray], scheme: int = DEFLATE, predictor: int =
 
 
 def page_rows(raw: bytes | None) -> Iterator[tuple[int, Page | None, str | None]]:
-    """Page number, page and error: a page that can't be read ends its file."""
+    """Page number, page and error: only a chain of directories that can't be walked further ends its file."""
     n = 0
     try:
-        for page in read_pages(raw or b""):
-            yield n, page, None
+        for page in each_page(raw or b""):
+            yield (n, None, page) if isinstance(page, str) else (n, page, None)
             n += 1
     except (TiffError, ValueError, IndexError, struct.error) as e:
         yield n, None, str(e)

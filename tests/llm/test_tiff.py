@@ -80,3 +80,31 @@ def test_op2_on_odd_rows(spark):
     got = sorted((r["n_bytes"], r["payload_bytes"]) for r in tiff.features(tiff.media(df)).collect())
     assert got == [(0, 64), (0, 64), (200, 256)]
     assert tiff.features(tiff.media(df.limit(0))).count() == 0
+
+
+def set_field(raw, page, tag, value):
+    """Overwrites a field of one short in a little-endian file's directory."""
+    out, (at,) = bytearray(raw), struct.unpack_from("<I", raw, 4)
+    for _ in range(page):
+        (at,) = struct.unpack_from("<I", raw, at + 2 + 12 * struct.unpack_from("<H", raw, at)[0])
+    for k in range(struct.unpack_from("<H", raw, at)[0]):
+        if struct.unpack_from("<H", raw, at + 2 + 12 * k)[0] == tag:
+            struct.pack_into("<I", out, at + 10 + 12 * k, value)
+    return out
+
+
+def test_a_page_that_cannot_be_read_does_not_end_its_file(spark):
+    whole = tiff.write_pages([np.full((4, 6, 1), k, np.uint8) for k in range(3)], tiff.NONE)
+    damaged = {1: (tiff.COMPRESSION, 7), 2: (tiff.STRIP_AT, 10**6), 3: (tiff.BITS, 24), 4: (tiff.PREDICTOR, 9), 5: (tiff.COMPRESSION, tiff.DEFLATE)}
+    rows = [(k, set_field(whole, 1, *change)) for k, change in damaged.items()]
+    got = {}
+    for r in tiff.pages(spark.createDataFrame(rows, "k long, content binary"), "k", "content").collect():
+        got.setdefault(r["k"], []).append((r["page"], bool(r["error"]), bytes(r["samples"])[:1] if r["samples"] else None))
+    assert got == {k: [(0, False, b"\0"), (1, True, None), (2, False, b"\2")] for k in damaged}
+
+
+def test_twelve_bits_are_unpacked_and_other_depths_are_errors():
+    assert tiff.unpredict(bytes([0x12, 0x3A, 0xBC, 0xFF, 0xF0]), 1, 3, 1, 12, 1, "<")[0, :, 0].tolist() == [0x123, 0xABC, 0xFFF]
+    for bits, predictor, floats in ((24, 1, False), (0, 1, False), (128, 1, False), (8, 1, True), (12, 2, False), (8, 3, False)):
+        with pytest.raises(tiff.TiffError):
+            tiff.unpredict(bytes(64), 1, 2, 1, bits, predictor, "<", floats)
