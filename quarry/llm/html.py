@@ -34,6 +34,8 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head title select option optgroup datalist button label legend output progress meter object audio video canvas svg math iframe noframes noembed noscript map".split())
+#: What a head can hold. It ends before anything else, by its end tag or without.
+IN_HEAD = frozenset("title meta link base basefont bgsound script style template noscript noframes head html".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ENDS_P = BLOCK - {"body", "html", "head", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend", "summary"}
 
@@ -97,6 +99,8 @@ def blocks(page: str) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked
+        if silent and stack[-1][0] == "head" and raw.strip():
+            pop(len(stack) - 1)
         if raw and not silent:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -120,13 +124,13 @@ def blocks(page: str) -> list[Block]:
                 if tag not in BLOCK and stack[k][0] in BLOCK:
                     break  # an inline end tag doesn't close blocks
             continue
+        if silent and stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop(len(stack) - 1)
         if tag == "br":
             say("\n")
             continue
         if tag in BLOCK:
             flush()
-            if stack and stack[-1][0] in SILENT and stack[-1][0] == "head" and tag == "body":
-                pop(len(stack) - 1)
             closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}.get(tag, ())
             stop = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}.get(tag, ())
             for k in range(len(stack) - 1, -1, -1):

@@ -159,3 +159,10 @@ def test_a_response_that_is_not_http_does_not_end_its_file(spark):
     assert [(r["record_type"], r["error"]) for r in got] == [("metadata", None), ("conversion", None), (None, "not an HTTP response"), ("metadata", None), ("conversion", None), (None, f"no record at byte {len(content) - 4}")]
     assert (got[2]["refers_to"], got[2]["target_uri"], got[2]["record"]) == (odd.get("WARC-Record-ID"), "http://odd.org/", None)
     assert got[5]["refers_to"] is None
+
+
+def test_a_head_without_end_tag_ends_at_what_it_cannot_hold():
+    assert texts("<head><title>t</title><p>article</p>more") == ["article", "more"]
+    assert texts("<html><head><meta charset=utf-8><link rel=x><script>s</script><title>t</title>\n<b>bold</b> text") == ["bold text"]
+    assert texts("<head><title>t</title>plain<br>text") == ["plain text"]
+    assert texts("<head><style>s</style><noscript>n</noscript><title>t</title></head>x") == ["x"]
