@@ -8,15 +8,19 @@ rank of each word, and merges all its occurrences from the left. Merging them in
 one by one because no merge that uses a symbol has a lower rank than the one that makes it; ``BPE`` checks
 this when it loads a vocabulary and otherwise merges only the leftmost.
 
-Rows: a null text counts as empty, an empty text has no ids and an empty decoded text. Repeated rows and
-null ids stay, row by row. Other columns are not read.
+Letters, digits, case and composition are those of the tokenizers library's own Unicode tables: pre-tokens of chunks
+outside ASCII come from its normalizer and pre-tokenizer. A tokenizer file with other steps than ``STEPS`` is refused.
+
+Rows: a null text counts as empty, an empty text has no ids and an empty decoded text. Repeated rows, ties and
+null ids stay, row by row. An empty table gives an empty result. Texts of any length are encoded whole: memory is
+bounded by ROWS texts and their ids at once. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,8 +31,22 @@ from pyspark.sql import DataFrame
 
 from quarry.llm.common import text_bytes
 
-#: The characters of Unicode's White_Space property.
-WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The tokenizer's pattern of pre-tokens, its steps before the merges, and what a file may set in no other way.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "ignore_merges": False}
+SPECIAL = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 NO_RANK = np.iinfo(np.int32).max
 #: Chunks that a worker's cache holds at most (about 190 bytes each), and rows encoded together.
 CACHE, ROWS = 400_000, 512
@@ -41,13 +59,32 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def other_steps(spec: dict) -> list[str]:
+    """Settings of a tokenizer file that differ from STEPS, MODEL and SPECIAL; none if its chunks can be encoded alone."""
+    out = [k for k, v in STEPS.items() if spec.get(k) != v] + [k for k, v in MODEL.items() if spec["model"].get(k) != v]
+    return out + [f"{k} of {a['content']}" for a in spec["added_tokens"] for k, v in SPECIAL.items() if a.get(k) != v or regex.search(r"\s", a["content"])]
+
+
+def library_tokenizer(path: str):
+    """The tokenizers library's own reading of a file, without truncation and padding, on the executor's one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's to share out
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
 class BPE:
-    """A tokenizer file of kind BPE with word ends, NFC, lower case and byte letters."""
+    """A tokenizer file of kind BPE with word ends, NFC, lower case and byte letters; any other is refused."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
+        if other := other_steps(spec):
+            raise ValueError(f"{path}: cannot encode with these settings: {', '.join(other)}")
+        model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         self.specials = {a["content"]: a["id"] for a in spec["added_tokens"]}
         size = max([*vocab.values(), *self.specials.values()]) + 1
@@ -68,8 +105,10 @@ class BPE:
         made[self.merged] = np.arange(len(pairs))
         self.monotone = bool(np.all(np.maximum(made[left], made[right]) < np.arange(len(pairs))))
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or r"(?!)")
-        self.space = regex.compile(f"[{WHITE_SPACE}]+")
-        self.split = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE_SPACE))
+        self.split = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+")  # of ASCII without white space
+        tok = library_tokenizer(path)
+        self.normal, self.cut = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
+        self.byte_of = {ord(c): k for k, c in enumerate(letters)}
 
     def words(self, text: str) -> list[bytes | int]:
         """Pre-tokens as UTF-8, and the ids of special tokens."""
@@ -82,10 +121,9 @@ class BPE:
         return out + self._plain(text[at:] if at else text)
 
     def _plain(self, text: str) -> list[bytes]:
-        if not text.isascii():
-            # Lower case letter by letter: the tokenizer knows no final sigma.
-            text = self.space.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
-        return [w.encode() for w in self.split.findall(text.lower())]
+        if text.isascii():
+            return [w.encode() for w in self.split.findall(text.lower())]
+        return [w.translate(self.byte_of).encode("latin-1") for w, _ in self.cut(self.normal(text))]
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the number of each word's ids. No word is empty."""

@@ -2,8 +2,9 @@
 
 A file holds the documents of one range of doc_id, in order:
 
-    magic b"QHF1", then little-endian u32: alphabet size, block symbols, documents, blocks; u64: symbols, bits
+    magic b"QHF2", then little-endian u32: alphabet size, block symbols, documents, those of null id, blocks; u64: symbols, bits
     code lengths      one byte for each id of the alphabet
+    document ids      i64 for each document; those of null id come first and have 0 here
     document lengths  u32 for each document
     checkpoints       u64 for each block: the bit at which it starts
     code bits         most significant bit first, in 32-bit words
@@ -11,15 +12,21 @@ A file holds the documents of one range of doc_id, in order:
 The code is canonical, so its lengths say all of it, and every file decodes alone. Each block of BLOCK
 symbols starts at its checkpoint and decodes without the others: the table-driven decoder steps through all
 blocks of a file at once. Files are binary cells of a Parquet table in the shared folder (path, content),
-whose commit protocol keeps a lost executor or a second attempt from leaving half a file.
+whose commit protocol keeps a lost executor or a second attempt from leaving half a file. Everything that ``read_files``
+returns comes from the content; the path gives the order.
+
+The ids are those of the tokenizers library for the whole text. It is given the text's distinct chunks between ASCII
+white space, lower-cased and with marks split off, and a cache keeps what it said: with the steps of ``bpe.STEPS`` no pre-token,
+composition or special token crosses these cuts. For a tokenizer file with any other steps it is given whole texts.
 
 Rows: a null text counts as empty and yields the end id alone. Rows with a null doc_id come first; rows with
-one doc_id stay in the order of their ids' bytes. Other columns are not read. An empty table makes no file.
+one doc_id are in the order of a hash of their ids, and equal rows are dealt over tasks like any others. Texts of any length stay whole: a file
+takes them until it has FILE_IDS ids. Other columns are not read. An empty table makes no file.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import re
 import struct
 import zlib
@@ -32,12 +39,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarry.llm.bpe import ROWS, encode_texts
+from quarry.llm.bpe import ROWS, encode_texts, library_tokenizer, other_steps
 from quarry.llm.common import Workspace, text_bytes
 
-MAGIC, HEAD = b"QHF1", "<4s4I2Q"
-#: Longest code in bits, symbols of a block, and ids of a file (a document is never split).
-LIMIT, BLOCK, FILE_IDS = 18, 256, 1_000_000
+MAGIC, HEAD = b"QHF2", "<4s5I2Q"
+#: Longest code in bits, symbols of a block, ids of a file (a document is never split), and ids that a writing task takes at most, about.
+LIMIT, BLOCK, FILE_IDS, TASK_IDS = 18, 256, 1_000_000, 32_000_000
 #: Ids that the writer handles at once: a multiple of BLOCK.
 STEP = 64 * BLOCK
 END_ID = 1
@@ -87,9 +94,14 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def write_file(docs: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> bytes:
+def write_file(docs: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray, doc_ids: list[int | None] | None = None) -> bytes:
+    """doc_ids: nulls first; by default the documents are numbered."""
+    doc_ids = list(range(len(docs))) if doc_ids is None else doc_ids
+    unnamed = sum(d is None for d in doc_ids)
+    if None in doc_ids[unnamed:]:
+        raise ValueError("documents of null id come first")
     ids = np.concatenate(docs) if docs else np.empty(0, np.int64)
-    words, marks, bits = np.zeros(len(ids) * int(lengths.max(initial=0)) // 32 + 2), [], 0
+    words, marks, bits = np.zeros(len(ids) * int(lengths.max(initial=0)) // 32 + 2, np.uint64), [], 0
     for k in range(0, len(ids), STEP):  # steps that stay in the processor's cache
         part = ids[k : k + STEP]
         size = lengths[part].astype(np.int64)
@@ -98,16 +110,16 @@ def write_file(docs: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -
         at += bits - size
         marks.append(at[::BLOCK])
         # A code starts in 32-bit word at >> 5 and may run into the next; the parts don't overlap, so sums are unions.
-        first = bits >> 5
-        word = (at >> 5) - first
-        wide = codes[part] << (64 - (at & 31) - size)
-        span = int(word[-1]) + 2
-        words[first : first + span] += np.bincount(word, weights=wide >> 32, minlength=span)
-        words[first + 1 : first + span] += np.bincount(word, weights=wide & 0xFFFFFFFF, minlength=span - 1)
+        word = at >> 5
+        wide = codes[part].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
+        start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        words[word[start]] |= np.bitwise_or.reduceat(wide >> np.uint64(32), start)
+        words[word[start] + 1] |= np.bitwise_or.reduceat(wide & np.uint64(0xFFFFFFFF), start)
         bits += total
     marks = np.concatenate(marks or [np.empty(0, np.int64)]).astype("<u8")
-    head = struct.pack(HEAD, MAGIC, len(lengths), BLOCK, len(docs), len(marks), len(ids), bits)
-    return b"".join([head, lengths.astype(np.uint8).tobytes(), np.array([len(d) for d in docs], "<u4").tobytes(), marks.tobytes(), words[: (bits + 31) // 32 + 1].astype(np.uint64).astype(">u4").tobytes()])
+    head = struct.pack(HEAD, MAGIC, len(lengths), BLOCK, len(docs), unnamed, len(marks), len(ids), bits)
+    named = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
+    return b"".join([head, lengths.astype(np.uint8).tobytes(), named, np.array([len(d) for d in docs], "<u4").tobytes(), marks.tobytes(), words[: (bits + 31) // 32 + 1].astype(">u4").tobytes()])
 
 
 @lru_cache(2)
@@ -123,14 +135,20 @@ def decode_table(lengths: bytes) -> tuple[int, np.ndarray]:
     return width, table
 
 
+def read_ids(raw: bytes) -> list[int | None]:
+    """The documents' ids."""
+    _, alphabet, _, n_docs, unnamed, *_ = struct.unpack_from(HEAD, raw)
+    return [None] * unnamed + np.frombuffer(raw, "<i8", n_docs, struct.calcsize(HEAD) + alphabet)[unnamed:].tolist()
+
+
 def read_file(raw: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
     """The documents' lengths, and the ids of the chosen blocks (all of them by default)."""
-    magic, alphabet, block, n_docs, n_blocks, n, bits = struct.unpack_from(HEAD, raw)
+    magic, alphabet, block, n_docs, _, n_blocks, n, bits = struct.unpack_from(HEAD, raw)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = struct.calcsize(HEAD)
     width, table = decode_table(raw[at : at + alphabet])
-    at += alphabet
+    at += alphabet + 8 * n_docs
     docs = np.frombuffer(raw, "<u4", n_docs, at).astype(np.int64)
     at += 4 * n_docs
     marks = np.frombuffer(raw, "<u8", n_blocks, at).astype(np.int64)[blocks]
@@ -162,12 +180,10 @@ JOINED = 128
 
 @lru_cache(2)
 def library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's to share out
-    from tokenizers import Tokenizer
-
-    tok, cache = Tokenizer.from_file(path), {}
-    tok.no_truncation()
-    tok.no_padding()
+    """Once for each Python worker: the library's encoding of many chunks or texts, its cache (none: whole texts), number of ids."""
+    tok, cache = library_tokenizer(path), {}
+    with open(path, encoding="utf-8") as f:
+        whole = bool(other_steps(json.load(f)))
     size = tok.get_vocab_size(with_added_tokens=True)
     ends = np.array([(tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
@@ -192,6 +208,8 @@ def library(path: str):
         known = dict(zip(plain, words(plain), strict=True))
         return [known[s] if s in known else encode(s).tobytes() for s in said]
 
+    if whole:
+        return lambda texts: [encode(t.decode()).tobytes() for t in texts], None, size
     return chunks, cache, size
 
 
@@ -212,8 +230,9 @@ def encode(df: DataFrame, vocabulary: str) -> DataFrame:
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                texts = [simpler(t) for t in batch.column(1).slice(at, ROWS).to_pylist()]
-                raw = [ids + end for ids in encode_texts(texts, cache, chunks, CACHE)]
+                texts = batch.column(1).slice(at, ROWS).to_pylist()
+                said = chunks(texts) if cache is None else encode_texts([simpler(t) for t in texts], cache, chunks, CACHE)
+                raw = [ids + end for ids in said]
                 total += np.bincount(np.frombuffer(b"".join(raw), "<u4"), minlength=size)
                 yield rows(batch.column(0).slice(at, ROWS), [zip_.compress(halves(r)) for r in raw])
         yield rows(pa.nulls(1, pa.int64()), [None], total.tobytes())
@@ -252,7 +271,7 @@ def count_ids(encoded: DataFrame, size: int) -> DataFrame:
 
 
 def write_files(encoded: DataFrame, lengths: np.ndarray, partitions: int) -> DataFrame:
-    """A row for each token file: path, first_doc, n_ids, content; ascending with doc_id through paths."""
+    """A row for each token file: path and content; ascending with doc_id through paths. encoded: doc_id, ids, tie and row."""
     size = lengths.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +284,7 @@ def write_files(encoded: DataFrame, lengths: np.ndarray, partitions: int) -> Dat
 
         def file() -> pa.RecordBatch:
             path = f"ids-{part:06d}-{k:06d}.qhf"
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([write_file(docs, sizes, codes)], pa.large_binary()).cast(pa.binary())], ["path", "n_ids", "doc_ids", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([write_file(docs, sizes, codes, names)], pa.large_binary()).cast(pa.binary())], ["path", "content"])
 
         for batch in batches:
             for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -278,45 +297,53 @@ def write_files(encoded: DataFrame, lengths: np.ndarray, partitions: int) -> Dat
         if docs:
             yield file()
 
-    ordered = encoded.where("counts IS NULL").select("doc_id", "ids").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return ordered.mapInArrow(run, "path string, n_ids long, doc_ids array<long>, content binary")
+    # Rows of one doc_id are told apart by their ids, and equal rows by their place in the stored table: no id is one task's.
+    order = ["doc_id", "tie", "row"]
+    ordered = encoded.where("counts IS NULL").select("doc_id", "ids", "tie", "row").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "ids").mapInArrow(run, "path string, content binary")
 
 
-def read_files(files: DataFrame, ids: bool = False) -> DataFrame:
-    """A row for each document, decoded: doc_id, start (ids before it in all files), n_tokens, ids_crc32; on request ids."""
-    # Sums over files: first of each partition's files, then before each partition.
-    part = F.substring("path", 1, 10)
-    sums = files.select("path", "n_ids", part.alias("part"))
-    parts = sums.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inner = sums.select("path", "part", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("path")) - F.col("n_ids")).alias("inner"))
-    first = inner.join(before, "part").select("path", (F.col("inner") + F.col("before")).alias("first"))
+def decode_files(files: DataFrame, ids: bool = False) -> DataFrame:
+    """A row for each document, decoded from content: path, doc_id, at (ids before it in its file), n_tokens, ids_crc32; on request ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                path, names, raw = batch.column(0)[k], batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
-                lengths, got = read_file(raw)
+                path, raw = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                names, (lengths, got) = read_ids(raw), read_file(raw)
                 ends = np.cumsum(lengths)
                 plain = got.astype("<u4").tobytes()
                 parts = [plain[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                cols = [pa.array([path.as_py()] * len(names)), pa.array(names, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(map(zlib.crc32, parts), pa.int64())]
+                cols = [pa.array([path] * len(names)), pa.array(names, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(map(zlib.crc32, parts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * ids, ["path", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
-    docs = files.select("path", "doc_ids", "content").mapInArrow(run, "path string, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    return files.select("path", "content").mapInArrow(run, "path string, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+
+
+def read_files(spark: SparkSession, files: DataFrame, ids: bool = False) -> DataFrame:
+    """A row for each document, read from the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32; on request ids."""
+    docs = Workspace(spark, "token-docs").put(decode_files(files, ids), "docs")
+    # Sums over what was read: of each writing task's files, then before each task, then before each file of it.
+    sums = docs.groupBy("path").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.regexp_extract("path", r"^ids-\d+", 0))
+    parts = sums.groupBy("part").agg(F.sum("n").alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each task
+    inner = sums.select("path", "part", (F.sum("n").over(Window.partitionBy("part").orderBy("path")) - F.col("n")).alias("inner"))
+    first = inner.join(before, "part").select("path", (F.col("inner") + F.col("before")).alias("first"))
     return docs.join(first, "path").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
 def token_files(spark: SparkSession, df: DataFrame, vocabulary: str) -> DataFrame:
     """Encode, count, write: the table of token files. Counts go to the driver: at most one for each id of the vocabulary."""
     work = Workspace(spark, "token-files")
-    encoded = work.put(encode(df, vocabulary), "ids")
+    encoded = work.put(encode(df, vocabulary).withColumns({"tie": F.xxhash64("ids"), "row": F.monotonically_increasing_id()}), "ids")
     counts = np.zeros(library(vocabulary)[2], np.int64)
     for row in count_ids(encoded, len(counts)).toLocalIterator():
         counts[row["id"]] = row["count"]
-    if not counts.any():
+    total = int(counts.sum())
+    if not total:
         counts[END_ID] = 1
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A file's worth for each task of a usual stage; more tasks where they would hold more than TASK_IDS.
+    partitions = max(1, -(-total // TASK_IDS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_IDS)))
     files = work.put(write_files(encoded, code_lengths(counts), partitions), "files")
     work.drop(encoded)
     return files

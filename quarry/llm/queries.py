@@ -18,7 +18,7 @@ def vocabulary(name: str = WORD_BPE) -> str:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.read_files(huffman.token_files(spark, table(spark, sf_dir, "documents"), vocabulary()))
+    return huffman.read_files(spark, huffman.token_files(spark, table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
