@@ -24,20 +24,26 @@ of 0.8 or more, all of them. Candidates come from two sources, and their shingle
 
 1. Each text has KINDS fingerprints of its set of words (an edit changes one word, but five shingles), of the same
    word hashes mixed differently. Those within WORD_TAU bits in any kind give candidate groups. Groups of the same
-   members under several kinds are compared once. This finds large groups cheaply, but not every pair.
-2. Pairs in no common group come from an exact prefix filter: in any fixed order of all shingles, two sets of that
-   similarity share one of their first n - ceil(0.8 n) + 1, and the first that they share leaves enough after it in
-   both. The order is by hash, with shingles that are frequent in a sample of texts last; which those are changes
-   the cost, not the result. Shingles of that list whose texts aren't all of one group are split over the grid.
-   Counts of each set's shingles by their last bits bound what two sets can share, which drops most other pairs.
+   members under several kinds are compared once. A group of at most SETS texts meets in one task, all its pairs that
+   share a shingle of their prefixes. A larger one is dealt into chunks of about SETS; of each chunk's linked texts one goes on to
+   the next round, so every set moves once and the few that represent others once more; no set is copied to many tasks.
+2. Pairs in no common group, and pairs of a large group that its rounds have not linked, come from an exact prefix
+   filter: in any fixed order of all shingles, two sets of that similarity share one of their first n - ceil(0.8 n) + 1,
+   and the first that they share leaves enough after it in both. The order is by hash, with shingles that are frequent in a
+   sample of texts last; which those are changes the cost, not the result. Shingles of that list whose texts aren't all of
+   one group are split over the grid. Counts of each set's shingles by their last bits bound what two sets can share,
+   which drops most other pairs.
+
+A node with a third of all links, or a component with a third of all texts, is dealt over SALTS (``with_least``).
 
 Rows: a null text counts as empty; without a word the fingerprint is zero and links like any other. Repeated
 rows and copies share a fingerprint. A null doc_id doesn't count as the smallest unless its component has no
-other. Other columns are not read. An empty table gives an empty result.
+other. Texts of any length count whole. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
@@ -55,8 +61,8 @@ SHINGLE, SEED, TAU = 3, 42, 3
 COPY_SHINGLE, SIMILARITY, KINDS, WORD_TAU = 5, 0.8, 3, 6
 #: Frequent shingles: share of texts to count (one in), the least count there, and the most that are listed.
 SAMPLED, FREQUENT, LISTED = 64, 4, 65_536
-#: Shingle sets that a task compares with each other.
-SETS = 400
+#: Shingle sets that a task compares with each other, and parts over which a hot key is dealt.
+SETS, SALTS = 400, 256
 #: Fingerprints of a bucket (or of a chunk of the grid) that one task compares with each other.
 BUCKET = 16_000
 #: Relative costs of sending a row and of comparing a pair.
@@ -120,8 +126,12 @@ def vote(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def text_digest(text: bytes) -> str:
-    """XXH64 as Spark's xxhash64, then XXH3, in hex."""
-    return xxhash.xxh64_hexdigest(text, SEED) + xxhash.xxh3_64_hexdigest(text)
+    """The first 128 bits of the text's SHA-256 in hex, as ``digest_of`` gives them."""
+    return hashlib.sha256(text).hexdigest()[:32]
+
+
+def digest_of(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, 32)
 
 
 def fingerprint_columns(kinds: int) -> list[str]:
@@ -129,7 +139,7 @@ def fingerprint_columns(kinds: int) -> list[str]:
 
 
 def fingerprints(df: DataFrame, hashes_of: Callable[[bytes], Iterator[int]] = shingle_hashes, kinds: int = 1) -> DataFrame:
-    """doc_id, the fingerprints as signed longs, and a digest of the text: XXH64 as Spark's xxhash64, then XXH3, in hex."""
+    """doc_id, the fingerprints as signed longs, and a digest of the text."""
     columns = fingerprint_columns(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,20 +333,24 @@ def link(work: Workspace, kinds: list[DataFrame], tau: int = TAU) -> DataFrame:
 # --- components -----------------------------------------------------------------------------------------------
 
 
-def stars(work: Workspace, links: DataFrame) -> DataFrame:
-    """u, v: each node but the smallest of its component, and that smallest."""
+def with_least(rows: DataFrame, by: str, value: str, name: str, own: str) -> DataFrame:
+    """rows with the least ``value`` of their key. Rows of a key are dealt over SALTS by ``own``, and the least to those that occur."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(own), F.lit(SALTS)))
+    parts = salted.groupBy(by, "salt").agg(F.min(value).alias(name))
+    least = parts.groupBy(by).agg(F.min(name).alias(name), F.collect_list("salt").alias("salts"))
+    return salted.join(least.select(by, name, F.explode("salts").alias("salt")), [by, "salt"]).drop("salt")
 
-    def around(edges: DataFrame) -> DataFrame:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        return edges.join(least, "u")
 
+def stars(work: Workspace, links: DataFrame) -> DataFrame:
+    """u, v: each node but the smallest of its component, and that smallest."""
     edges, state = links, None
     while True:
         # Large star: neighbours above u go to the smallest of u and its neighbours.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = around(both).select(F.col("v").alias("u"), F.least("u", "m").alias("v"), F.col("u").alias("of")).where("u > of").select("u", "v").distinct()
+        around = with_least(both, "u", "v", "m", "v")
+        large = around.select(F.col("v").alias("u"), F.least("u", "m").alias("v"), F.col("u").alias("of")).where("u > of").select("u", "v").distinct()
         # Small star: u and its neighbours below go to the smallest of those.
-        low = around(large)
+        low = with_least(large, "u", "v", "m", "v")
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         following = work.put(small, "stars")
         seen = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -352,10 +366,12 @@ def components(spark: SparkSession, df: DataFrame, tau: int = TAU) -> DataFrame:
     work = Workspace(spark, "simhash")
     docs = work.put(fingerprints(df).drop("digest"), "fingerprints")
     fps = work.put(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = stars(work, link(work, [fps], tau)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    links = link(work, [fps], tau)
+    found = stars(work, links)
+    roots = found.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     named = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = work.put(named.join(smallest, "root").select("fp", "component_id"), "groups")
+    groups = work.put(with_least(named, "root", "first", "component_id", "fp").select("fp", "component_id"), "groups")
+    work.drop(fps, links, found)
     return docs.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -425,20 +441,27 @@ def may_reach(a: bytes, b: bytes, sizes: int) -> bool:
     return shared >= SIMILARITY / (1 + SIMILARITY) * sizes - 1e-9
 
 
-def prefixes(df: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """digest of each text, the number of its shingles, its sketch, its prefix and how many in that are not frequent."""
+def prefixes(df: DataFrame, frequent: tuple[np.ndarray, np.ndarray], sets: bool = False) -> DataFrame:
+    """digest of each text, the number of its shingles, its sketch, its prefix and how many in that are not frequent.
+
+    df has the texts; with ``sets`` instead digest and hashes, as ``shingle_sets`` gives them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = partial(shingle_hashes, size=COPY_SHINGLE)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                texts = batch.column(0).slice(at, 256).to_pylist()
-                sets = [np.unique(np.fromiter(of(t), np.uint64)) for t in texts]
-                first = [prefix(s, frequent) for s in sets]
+                cells = batch.column(0).slice(at, 256).to_pylist()
+                if sets:
+                    digests, own = batch.column(1).slice(at, 256), [np.frombuffer(c, np.uint64) for c in cells]
+                else:
+                    digests, own = pa.array(map(text_digest, cells), pa.string()), [np.unique(np.fromiter(of(t), np.uint64)) for t in cells]
+                first = [prefix(x, frequent) for x in own]
                 keys = pa.array([k.view(np.int64) for k, _ in first], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(map(text_digest, texts), pa.string()), pa.array(map(len, sets), pa.int32()), pa.array([c for _, c in first], pa.int32()), pa.array(map(sketch, sets), pa.binary()), keys], ["digest", "size", "rare", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([digests, pa.array(map(len, own), pa.int32()), pa.array([c for _, c in first], pa.int32()), pa.array(map(sketch, own), pa.binary()), keys], ["digest", "size", "rare", "sketch", "keys"])
 
-    return text_bytes(df).mapInArrow(run, "digest string, size int, rare int, sketch binary, keys array<long>")
+    rows = df.select("hashes", "digest") if sets else text_bytes(df)
+    return rows.mapInArrow(run, "digest string, size int, rare int, sketch binary, keys array<long>")
 
 
 def prefix_matches(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -491,9 +514,9 @@ def compare_prefixes(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def prefix_pairs(work: Workspace, df: DataFrame, roots: DataFrame) -> DataFrame:
-    """u, v: pairs of texts with different roots that may be similar, by the prefix filter. roots: digest, node and root."""
-    each = prefixes(df, frequent_shingles(df)).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("size", "rare", "sketch", "keys")))
+def prefix_pairs(work: Workspace, each: DataFrame, roots: DataFrame) -> DataFrame:
+    """u, v: pairs of texts with different roots that may be similar, by the prefix filter. each: prefixes(); roots: digest, node and root."""
+    each = each.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("size", "rare", "sketch", "keys")))  # of one text all alike
     table = work.put(each.join(roots, "digest").drop("digest"), "prefixes")
     rows = table.select("node", "root", "size", "rare", F.posexplode("keys").alias("pos", "key"))
     frequent = rows.where("pos >= rare")
@@ -515,52 +538,76 @@ def prefix_pairs(work: Workspace, df: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def similar_pairs(nodes: list[str], sets: list[np.ndarray], side: list[int], least: float = SIMILARITY) -> Iterator[tuple[str, str]]:
-    """Links of a spanning forest of the pairs at or above the similarity; with sides 0 and 1, of pairs across only."""
-    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), nodes[k]))
-    size = np.array([len(sets[k]) for k in order])
-    sides = np.array([side[k] for k in order])
-    root = np.arange(len(order))
-    for i in range(len(order)):
-        # At least as large, but not so much larger that the similarity can't be reached; not yet connected.
-        last = int(np.searchsorted(size, size[i] / least, "right"))
-        near = np.arange(i + 1, last)
-        near = near[(sides[near] != sides[i]) | (sides[near] < 0)]
-        for j in near.tolist():
-            if root[j] == root[i]:
-                continue
-            a, b = sets[order[i]], sets[order[j]]
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            if both >= least * (len(a) + len(b) - both) if len(a) or len(b) else True:
+def reaches(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have at least this similarity; two empty sets are alike."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return both >= least * (len(a) + len(b) - both)
+
+
+def similar_pairs(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links of a spanning forest of the pairs at or above the similarity, and each set's root.
+
+    Only pairs that share a hash of their prefixes (the smallest hashes) are compared, and only where not yet connected.
+    """
+    n, links = len(sets), []
+    if not n:
+        return links, np.empty(0, np.int64)
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    first = [sets[k][: len(sets[k]) - math.ceil(least * len(sets[k]) - 1e-9) + 1] for k in order]
+    owner = np.repeat(np.arange(n), [len(x) for x in first])
+    keys = np.concatenate(first)
+    by = np.argsort(keys, kind="stable")
+    keys, owner = keys[by], owner[by]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    end = np.r_[start[1:], len(keys)]
+    meet = np.zeros((n, n), bool)
+    meet[np.ix_(size == 0, size == 0)] = True
+    for s, e in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
+        meet[np.ix_(owner[s:e], owner[s:e])] = True
+    root = np.arange(n)
+    for i in range(n):
+        # At least as large, but not so much larger that the similarity can't be reached.
+        last = int(np.searchsorted(size, size[i] / least + 1e-9, "right"))
+        for j in (np.flatnonzero(meet[i, i + 1 : last] & (root[i + 1 : last] != root[i])) + i + 1).tolist():
+            if root[j] != root[i] and reaches(sets[order[i]], sets[order[j]], least):
                 root[root == root[j]] = root[i]
-                u, v = nodes[order[i]], nodes[order[j]]
-                yield min(u, v), max(u, v)
+                links.append((int(order[i]), int(order[j])))
+    out = np.empty(n, np.int64)
+    out[order] = order[root]
+    return links, out
 
 
 def compare_sets(rows: DataFrame) -> DataFrame:
-    """rows: bucket, node, side, hashes; each bucket at most two chunks of about SETS."""
+    """rows: bucket, by, part, node, hashes; each bucket of bounded size. Links u, v; for buckets that are a part of ``by``, also a node of each component (v null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, nodes, side, sets = None, [], [], []
+        bucket, by, part, nodes, sets = None, 0, False, [], []
 
         def links() -> pa.RecordBatch:
-            pairs = list(similar_pairs(nodes, sets, side)) if len(nodes) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["u", "v"])
+            pairs, root = similar_pairs(sets)
+            out = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in pairs]
+            if part:
+                out += [(nodes[k], None) for k in np.unique(root).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([by] * len(out), pa.int64()), *(pa.array([p[k] for p in out], pa.string()) for k in (0, 1))], ["by", "u", "v"])
 
         for batch in batches:
-            for b, node, s, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for b, of, p, node, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if b != bucket:
                     yield links()
-                    bucket, nodes, side, sets = b, [], [], []
+                    bucket, by, part, nodes, sets = b, of, p, [], []
                 elif node == nodes[-1]:  # the same row again
                     continue
                 nodes.append(node)
-                side.append(s)
                 sets.append(np.frombuffer(raw, np.uint64))
         yield links()
 
-    ordered = rows.select("bucket", "node", "side", "hashes").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return ordered.mapInArrow(run, "u string, v string")
+    ordered = rows.select("bucket", "by", "part", "node", "hashes").repartition("bucket").sortWithinPartitions("bucket", "node")
+    return ordered.mapInArrow(run, "by long, u string, v string")
 
 
 def grid(rows: DataFrame, by: Column, n: Column, node: Column, chunk: int, *keep: str) -> DataFrame:
@@ -571,52 +618,112 @@ def grid(rows: DataFrame, by: Column, n: Column, node: Column, chunk: int, *keep
     return x.select(F.xxhash64("by", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("bucket"), side.alias("side"), *keep)
 
 
-def similar_groups(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A row for each row of df: doc_id, digest of its text, and component_id, the smallest doc_id of its group of copies and near copies."""
-    work = Workspace(spark, "copies")
-    docs = work.put(fingerprints(df, word_hashes, KINDS), "fingerprints")
+def linked_sets(work: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets: node, hashes and groups (structs of root and size n). Links that connect all near copies of groups up to SETS, and most of larger ones; and the nodes of those."""
+
+    def chunks(rows: DataFrame, k: int) -> DataFrame:
+        of = F.ceil(F.col("n") / SETS)
+        chunk = F.pmod(F.xxhash64("node", F.lit(k)), of)
+        return rows.select(F.xxhash64("by", chunk, F.lit(k)).alias("bucket"), "by", (of > 1).alias("part"), "node", "hashes")
+
+    placed = sets.select("node", "hashes", F.explode("groups").alias("g")).select("node", "hashes", F.col("g.root").alias("by"), F.col("g.n").alias("n"))
+    large = work.put(placed.where(F.col("n") > SETS).select("node").distinct(), "large")
+    found = [work.put(compare_sets(chunks(placed, 0)), "linked")]
+    before, heads = math.inf, found[0].where("v IS NULL").select("by", F.col("u").alias("node")).distinct()
+    while (n := heads.count()) and n <= before / 2:
+        sizes = heads.groupBy("by").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(work.put(compare_sets(chunks(heads.join(sizes, "by").join(sets.select("node", "hashes"), "node"), len(found))), "linked"))
+        before, heads = n, found[-1].where("v IS NULL").select("by", F.col("u").alias("node")).distinct()
+    links = reduce(DataFrame.union, (x.where("v IS NOT NULL").select("u", "v") for x in found))
+    out = work.put(links.distinct(), "edges")
+    work.drop(*found)
+    return out, large
+
+
+def similar_texts(work: Workspace, df: DataFrame, docs: DataFrame) -> DataFrame:
+    """A row for each distinct text: digest, its smallest doc_id ``first`` and its group. docs: fingerprints of df's word sets."""
     columns = fingerprint_columns(KINDS)
     texts = work.put(docs.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in columns)), "texts")
-    roots = stars(work, link(work, [texts.select(F.col(c).alias("fp")).distinct() for c in columns], WORD_TAU))
+    links = link(work, [texts.select(F.col(c).alias("fp")).distinct() for c in columns], WORD_TAU)
+    found = stars(work, links)
+    roots = found.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     # Without words a text's fingerprints are all zero, which counts once.
     each = texts.select("digest", "first", F.explode(F.array_distinct(F.array(*columns))).alias("fp"))
-    named = each.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("digest", "first", F.coalesce("root", "fp").alias("root"))
+    named = work.put(each.join(roots, "fp", "left").select("digest", "first", F.coalesce("root", "fp").alias("root")), "named")
     # Kinds often find the same group: one name for the same members, so they are compared once.
     members = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("digest")), F.bit_xor(F.xxhash64("digest", F.lit(1))))
     many = named.groupBy("root").agg(F.count("*").alias("n"), members.alias("group")).where("n > 1")
     in_groups = named.join(many, "root").select("digest", "first", F.col("group").alias("root"), "n")
     # Pairs of the prefix filter that are in no group together are groups of two.
     by_node = lambda x: x.withColumn("node", F.xxhash64("digest"))
-    main = by_node(texts).select("digest", "node", "fp").join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
-    pairs = prefix_pairs(work, df, main.select("digest", "node", F.coalesce("root", "fp").alias("root")))
+    frequent = frequent_shingles(df)
+    main = by_node(texts).select("digest", "node", "fp").join(roots, "fp", "left")
+    pairs = prefix_pairs(work, prefixes(df, frequent), main.select("digest", "node", F.coalesce("root", "fp").alias("root")))
     all_roots = by_node(named).groupBy("node", "digest", "first").agg(F.collect_set("root").alias("roots"))
     ends = [all_roots.select(F.col("node").alias(end), F.struct("digest", "first").alias(f"{end}_text"), F.col("roots").alias(f"{end}_roots")) for end in "uv"]
     apart = pairs.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v").where(~F.arrays_overlap("u_roots", "v_roots"))
     twos = apart.select(F.explode(F.array("u_text", "v_text")).alias("t"), F.xxhash64("u", "v").alias("root")).select("t.digest", "t.first", "root", F.lit(2).cast("long").alias("n"))
     placing = F.collect_set(F.struct("root", "n")).alias("groups")
     candidates = work.put(in_groups.union(twos).groupBy("digest", "first").agg(placing), "candidates")
-    # A candidate's text is that of its first row; where a doc_id is null or repeated, the hash tells the right one.
+    work.drop(links, found, named, pairs)
+    # A candidate's text is that of its first row; where a doc_id is null or repeated, the digest tells the right one.
     # Candidates grow with the corpus: both sides meet by a sorted shuffle at every size, never by a broadcast.
-    hashed = text_bytes(df, "doc_id").withColumn("hash", hex_fingerprint(F.xxhash64("text")))
-    right = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("hash") == F.substring("digest", 1, 16))
-    whole = hashed.join(candidates.hint("merge"), right)
+    digested = text_bytes(df, "doc_id").withColumn("own", digest_of(F.col("text")))
+    whole = digested.join(candidates.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("own") == F.col("digest")))
     sets = work.put(shingle_sets(whole.select(F.col("digest").alias("node"), "groups", "text")), "sets")
-    placed = sets.select("node", "hashes", F.explode("groups").alias("g"))
-    cells = grid(placed, F.col("g.root"), F.col("g.n"), F.col("node"), SETS, "node", "hashes")
-    edges = work.put(compare_sets(cells).distinct(), "edges")
-    groups = texts.join(stars(work, edges).select(F.col("u").alias("digest"), "v"), "digest", "left").select("digest", "first", F.coalesce("v", "digest").alias("group"))
-    smallest = groups.groupBy("group").agg(F.min("first").alias("component_id"))
-    ids = work.put(groups.join(smallest, "group").select("digest", "component_id"), "ids")
+    edges, large = linked_sets(work, sets)
+    if not large.isEmpty():
+        edges = more_links(work, sets.join(large, "node", "left_semi").dropDuplicates(["node"]), edges, frequent)
+    work.drop(candidates, sets, large)
+    found = stars(work, edges)
+    out = work.put(texts.join(found.select(F.col("u").alias("digest"), "v"), "digest", "left").select("digest", "first", F.coalesce("v", "digest").alias("group")), "groups")
+    work.drop(texts, edges, found)
+    return out
+
+
+def more_links(work: Workspace, sets: DataFrame, edges: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """edges and links of all pairs of these sets that edges don't connect: the prefix filter's, compared one by one."""
+    found = stars(work, edges)
+    own = sets.select(F.col("node").alias("digest"), "hashes")
+    roots = own.select("digest").join(found.select(F.col("u").alias("digest"), "v"), "digest", "left")
+    roots = roots.select("digest", F.xxhash64("digest").alias("node"), F.xxhash64(F.coalesce("v", "digest")).alias("root"))
+    pairs = prefix_pairs(work, prefixes(own, frequent, sets=True), roots)
+    of = sets.select("node", F.xxhash64("node").alias("key"), "hashes")
+    placed = pairs.select(F.xxhash64("u", "v").alias("by"), F.explode(F.array("u", "v")).alias("key")).join(of.hint("merge"), "key")
+    links = compare_sets(placed.select(F.col("by").alias("bucket"), "by", F.lit(False).alias("part"), "node", "hashes"))
+    out = work.put(edges.union(links.select("u", "v")).distinct(), "edges")
+    work.drop(found, pairs, edges)
+    return out
+
+
+def similar_groups(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A row for each row of df: doc_id, digest of its text, and component_id, the smallest doc_id of its group of copies and near copies."""
+    work = Workspace(spark, "copies")
+    docs = work.put(fingerprints(df, word_hashes, KINDS), "fingerprints")
+    groups = similar_texts(work, df, docs)
+    ids = work.put(with_least(groups, "group", "first", "component_id", "digest").select("digest", "component_id"), "ids")
+    work.drop(groups)
     return docs.join(ids, "digest").select("doc_id", "digest", "component_id")
 
 
 def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """One row of each group of copies and near copies, that of the smallest doc_id.
+    """One row of each group of copies and near copies: that of the smallest doc_id (nulls last), then of the least digest of its text.
 
-    Rows that repeat doc_id and text are one. A null doc_id stays only where its whole group has none.
+    Of rows that repeat that doc_id and text the least stays, by its plain columns in order. A null text counts as empty.
     """
-    found = similar_groups(spark, df)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays"))
-    out = df.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
-    repeated = df.groupBy("doc_id").count().where("count > 1").limit(1)
-    return out.dropDuplicates(["doc_id", "text"]) if repeated.count() else out
+    work = Workspace(spark, "copies")
+    docs = work.put(fingerprints(df, word_hashes, KINDS), "fingerprints")
+    groups = similar_texts(work, df, docs)
+    place = groups.groupBy("group").agg(F.min(F.struct(F.isnull("first").alias("unnamed"), "first", "digest")).alias("least"))
+    left = work.put(place.select(F.col("least.first").alias("first"), F.col("least.digest").alias("digest")), "left")
+    own = "own_digest"
+    while own in df.columns:
+        own += "_"
+    rows = df.withColumn(own, digest_of(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("rows")
+    out = rows.join(left.hint("merge").alias("left"), F.col(f"rows.{own}").eqNullSafe(F.col("left.digest")) & F.col("rows.doc_id").eqNullSafe(F.col("left.first")), "left_semi")
+    repeated = not docs.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
+    work.drop(groups, docs)
+    if repeated:
+        plain = F.struct(*(F.col(f"`{c.name}`") for c in df.schema if c.dataType.typeName() not in ("map", "variant")))
+        out = out.groupBy("doc_id", own).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), plain).alias("row")).select("row.*")
+    return out.drop(own)

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarry.llm import queries, simhash
 from quarry.llm.common import Workspace
@@ -143,9 +144,62 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     got = simhash.similar_groups(spark, df).collect()
     assert len(got) == len(rows)
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0)] * 3 + [(7, 7)] * 2 + [(9, 7)] * 2
-    # Only the null rows and those of id 7 stay; none is the smallest of a group with an id.
-    kept = [r["doc_id"] for r in simhash.keep(spark, df).collect()]
-    assert sorted(k or 0 for k in kept) == [0, 0, 0, 7, 7]
+    # One row of each group, told by id and text: of the null rows that are near copies, the one with the lesser digest.
+    kept = {(r["doc_id"], r["text"]) for r in simhash.keep(spark, df).collect()}
+    assert kept == {min((None, text("a")), (None, text("a", "x")), key=lambda r: simhash.text_digest(r[1].encode())), (None, text("b")), (7, text("c")), (7, text("d"))}
+
+
+def test_keep_with_repeated_ids_and_clashing_columns(spark):
+    """(7, A), (9, A') and (9, B): A' goes although its id stays; of a repeated row the least by its columns stays."""
+    rows = [(7, " ".join(f"a{k}" for k in range(90)), "z", 1), (9, " ".join(["x", *(f"a{k}" for k in range(1, 90))]), "z", 2), (9, "b b", "z", 3), (9, "b b", "c", 9), (None, None, "q", 4), (None, "", "p", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_digest string, first int").withColumn("extra.map", F.create_map(F.lit("k"), F.lit(1)))
+    df = df.withColumn("digest", F.lit("clash")).withColumn("group", F.lit(0))
+    got = simhash.keep(spark, df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["own_digest"], r["first"]) for r in got.collect()) == [(0, "q", 4), (7, "z", 1), (9, "c", 9)]  # a null comes before an empty text
+
+
+def test_hot_root_is_spread_and_right(spark):
+    """A star of 20,000 around one node, and one that isn't the smallest."""
+    edges = [(0, k) for k in range(1, 20_000)] + [(30_000, 50_000 + k) for k in range(5_000)] + [(29_999, 52_000)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {r["u"]: r["v"] for r in simhash.stars(Workspace(spark, "test"), df).collect()}
+    assert got == {k: 0 for k in range(1, 20_000)} | {k: 29_999 for k in [30_000, *range(50_000, 55_000)]}
+    rows = spark.range(10_000).select(F.lit(1).alias("g"), F.col("id").alias("v"))
+    out = simhash.with_least(rows, "g", "v", "m", "v")
+    assert out.count() == 10_000 and out.where("m <> 0").count() == 0
+
+
+def test_sets_of_a_cell_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for least in (0.8, 0.5):
+        base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+        sets = [np.unique(np.r_[rng.choice(base, int(rng.integers(150, 290)), replace=False), rng.integers(0, 2**63, int(rng.integers(0, 40)), dtype=np.uint64)]) for _ in range(60)]
+        sets += [np.empty(0, np.uint64), np.empty(0, np.uint64), base[:1], base[:1], base[1:2], base[:5], base[:6]]
+        like = lambda a, b: len(np.intersect1d(a, b)) >= least * len(np.union1d(a, b))
+        want = brute_groups(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if like(sets[a], sets[b])])
+        links, root = simhash.similar_pairs(sets, least)
+        assert all(like(sets[a], sets[b]) for a, b in links)
+        groups = lambda labels: sorted(sorted(k for k in range(len(sets)) if labels[k] == x) for x in set(labels))
+        assert groups(list(root)) == groups(want) and len(links) == len(sets) - len(set(want))
+
+
+def test_large_groups_are_whole(spark, monkeypatch):
+    """Candidate groups far larger than a task takes, of near copies and of texts below the similarity: as by all pairs."""
+    monkeypatch.setattr(simhash, "SETS", 6)
+    rng, texts = np.random.default_rng(12), []
+    for g, edits in enumerate((1, 3, 5)):
+        own = [f"g{g}w{k}" for k in range(160)]
+        for _ in range(60):
+            copy = list(own)
+            for i in rng.integers(0, 160, rng.integers(0, edits + 1) * 2):
+                copy[i] = f"e{rng.integers(10**6)}"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s = [shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(len(s)) for b in range(a) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    got = sorted((r["doc_id"], r["component_id"]) for r in simhash.similar_groups(spark, df).collect())
+    assert [g[1] for g in got] == smallest(brute_groups(len(s), pairs), range(len(s)))
 
 
 def test_kinds_of_fingerprints_differ_but_are_all_zero_without_words():
@@ -192,7 +246,7 @@ def test_prefixes_meet_at_the_least_similarity(spark, monkeypatch, bucket):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     digests = {simhash.text_digest(t.encode()): k for k, t in enumerate(texts)}
     roots = spark.createDataFrame([(d, k, k) for d, k in digests.items()], "digest string, node long, root long")
-    got = {(r["u"], r["v"]) for r in simhash.prefix_pairs(Workspace(spark, "test"), df, roots).collect()}
+    got = {(r["u"], r["v"]) for r in simhash.prefix_pairs(Workspace(spark, "test"), simhash.prefixes(df, simhash.frequent_shingles(df)), roots).collect()}
     s = [shingles(t) for t in texts]
     want = {(a, b) for b in range(len(s)) for a in range(b) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])}
     assert want and want <= got
