@@ -8,12 +8,14 @@ kind, so a second attempt makes the same records. The conversion's text is the p
 line (all blocks: the main text alone is another operator's matter).
 
 Chunked bodies and gzip or deflate encodings are undone before the text is taken; what can't be undone, isn't
-HTML or text, or isn't a response gives no conversion but an ``error``. ``page_responses`` makes response
+HTML or text, or isn't a response gives no conversion but an ``error``. So does what inflates to more than INFLATED bytes. One
+record's error is its own: only a content that can't be cut into records any further ends. ``page_responses`` makes response
 records of rows of pages. ``pack`` groups derived records into WARC files of one gzip member a record, files as
 binary cells of a table.
 
 Rows: a null html is an empty body and a null url has no target URI; their conversion is empty. Repeated rows
-make repeated records with one id. Other columns are not read.
+make repeated records with one id; null and repeated page ids stay. Very long pages are derived whole, and compressed contents are
+read record by record. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ from quarry.llm.html import blocks
 #: Capture time of page_id 0 in test tables; each later page one second more. Name space of record ids.
 FIRST, SPACE = datetime(2024, 1, 1, tzinfo=UTC), uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 FILE_BYTES = 8 << 20
+#: Bytes of one record or body, inflated, at most (a cell of a Spark row holds 2 GB), of a record's headers, and of a step in inflating.
+INFLATED, HEADERS, STEP = 256 << 20, 1 << 20, 64 << 10
+HEX, BLANK = re.compile(rb"[0-9a-fA-F]{1,15}[ \t]*\Z"), re.compile(rb"\r?\n\r?\n")
 TEXTUAL = re.compile(r"\s*(text/|application/(xhtml\+xml|xml))", re.I)
 CHARSET = re.compile(r"charset\s*=\s*\"?([\w-]+)", re.I)
 
@@ -73,31 +78,91 @@ def fold(raw: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def parse_records(raw: bytes) -> Iterator[Record]:
-    if raw[:2] == b"\x1f\x8b":
-        try:
-            raw = gzip.decompress(raw)  # all members
-        except (OSError, EOFError, zlib.error) as e:
-            raise WarcError(f"gzip: {e}") from e
+def inflate(raw: bytes, wbits: int) -> Iterator[bytes]:
+    """Pieces of one deflate stream or of all gzip members, never much more than STEP at once."""
+    flow, last = zlib.decompressobj(wbits), len(raw)
     at = 0
-    while at < len(raw):
-        if raw[at : at + 2] in (b"\r\n",):
-            at += 2
+    while at < last:
+        piece = raw[at : at + STEP]
+        at += len(piece)
+        while piece:
+            try:
+                yield flow.decompress(piece, STEP)
+            except zlib.error as e:
+                raise WarcError(f"inflating: {e}") from e
+            piece = flow.unconsumed_tail
+            if flow.eof:
+                at -= len(flow.unused_data)
+                break
+        if flow.eof:
+            if wbits < 31 or not raw[at:last].strip(b"\0"):
+                return
+            flow = zlib.decompressobj(wbits)
+    if not flow.eof:
+        raise WarcError("inflating: cut off")
+
+
+def inflated(raw: bytes, wbits: int) -> bytes:
+    out = bytearray()
+    for piece in inflate(raw, wbits):
+        out += piece
+        if len(out) > INFLATED:
+            raise WarcError(f"inflates to more than {INFLATED} bytes")
+    return bytes(out)
+
+
+class Source:
+    """A content's bytes from its start on, inflated only as far as they are asked for."""
+
+    def __init__(self, raw: bytes):
+        self.pieces = inflate(raw, 31) if raw[:2] == b"\x1f\x8b" else iter((raw,))
+        self.held, self.done = bytearray(), 0
+
+    def has(self, n: int) -> bool:
+        while len(self.held) < n:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return False
+            self.held += piece
+        return True
+
+    def take(self, n: int) -> bytes:
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.done += n
+        return out
+
+    def find(self, what: bytes) -> int:
+        """Where it comes next; negative if not within HEADERS bytes."""
+        seen = 0
+        while (at := self.held.find(what, max(0, seen - len(what)), HEADERS)) < 0:
+            seen = len(self.held)
+            if seen >= HEADERS or not self.has(seen + 1):
+                break
+        return at
+
+
+def parse_records(raw: bytes) -> Iterator[Record]:
+    source = Source(raw)
+    while source.has(1):
+        if source.has(2) and source.held[:2] == b"\r\n":
+            source.take(2)
             continue
-        if not raw.startswith(b"WARC/", at):
-            raise WarcError(f"no record at byte {at}")
-        end = raw.find(b"\r\n\r\n", at)
+        if not source.has(5) or source.held[:5] != b"WARC/":
+            raise WarcError(f"no record at byte {source.done}")
+        end = source.find(b"\r\n\r\n")
         if end < 0:
             raise WarcError("headers are cut off")
-        first = raw.index(b"\r\n", at)
-        headers = [(k, v) for k, v in fold(raw[first + 2 : end]) if k.lower() != "content-length" or not v.isdigit()]
-        sizes = [v for k, v in fold(raw[first + 2 : end]) if k.lower() == "content-length" and v.isdigit()]
+        fields = fold(source.take(end + 4)[:-4].partition(b"\r\n")[2])
+        sizes = [v for k, v in fields if k.lower() == "content-length" and v.isascii() and v.isdigit() and len(v) < 16]
         if not sizes:
             raise WarcError("no Content-Length")
-        at = end + 4 + int(sizes[0])
-        if at > len(raw):
+        size = int(sizes[0])
+        if size > INFLATED:
+            raise WarcError(f"a block of more than {INFLATED} bytes")
+        if not source.has(size):
             raise WarcError("a block is cut off")
-        yield Record(headers, raw[end + 4 : at])
+        yield Record([(k, v) for k, v in fields if k.lower() != "content-length"], source.take(size))
 
 
 def response(url: str | None, when: datetime, body: bytes, http: list[tuple[str, str]] | None = None, status: str = "HTTP/1.1 200 OK") -> Record:
@@ -112,28 +177,34 @@ def response(url: str | None, when: datetime, body: bytes, http: list[tuple[str,
 
 
 def unchunk(body: bytes) -> bytes:
+    """The chunks' data. A size is hexadecimal digits alone, extensions after a semicolon aside."""
     out, at = [], 0
     while True:
-        end = body.find(b"\r\n", at)
+        end = body.find(b"\r\n", at, at + HEADERS)
         if end < 0:
             raise WarcError("chunks are cut off")
-        try:
-            size = int(body[at:end].split(b";")[0], 16)
-        except ValueError as e:
-            raise WarcError("bad chunk") from e
+        said = body[at:end].split(b";", 1)[0]
+        if not HEX.match(said):
+            raise WarcError("bad chunk")
+        size = int(said, 16)
         if not size:
             return b"".join(out)
+        if end + 2 + size > len(body):
+            raise WarcError("a chunk is cut off")
         out.append(body[end + 2 : end + 2 + size])
-        at = end + 4 + size
+        at = end + 2 + size
+        if body[at : at + 2] != b"\r\n":
+            raise WarcError("bad chunk")
+        at += 2
 
 
 def payload(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and body as the server sent them."""
-    head, gap, body = block.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(b"HTTP/"):
+    gap = BLANK.search(block)
+    if not gap or not block.startswith(b"HTTP/"):
         raise WarcError("not an HTTP response")
-    status, _, rest = head.partition(b"\r\n")
-    return status.decode("utf-8", "replace"), fold(rest), body
+    status, _, rest = block[: gap.start()].partition(b"\n")
+    return status.rstrip(b"\r").decode("utf-8", "replace"), fold(rest), block[gap.end() :]
 
 
 def text_of(http: list[tuple[str, str]], body: bytes) -> str:
@@ -144,20 +215,19 @@ def text_of(http: list[tuple[str, str]], body: bytes) -> str:
     if of.get("transfer-encoding", "").lower() == "chunked":
         body = unchunk(body)
     coding = of.get("content-encoding", "").lower()
-    try:
-        if coding in ("gzip", "x-gzip"):
-            body = gzip.decompress(body)
-        elif coding == "deflate":
-            body = zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
-        elif coding not in ("", "identity"):
-            raise WarcError(f"coding {coding}")
-    except (OSError, EOFError, zlib.error) as e:
-        raise WarcError(f"{coding}: {e}") from e
+    if coding in ("gzip", "x-gzip"):
+        body = inflated(body, 31)
+    elif coding == "deflate":
+        body = inflated(body, 15 if body[:1] == b"\x78" else -15)
+    elif coding not in ("", "identity"):
+        raise WarcError(f"coding {coding}")
     said = CHARSET.search(kind)
     try:
         page = body.decode(said[1] if said else "utf-8", "replace")
-    except LookupError:
+    except LookupError:  # no such charset
         page = body.decode("utf-8", "replace")
+    except ValueError as e:  # one that can't decode this, as idna
+        raise WarcError(f"charset {said[1]}: {e}") from e
     return page if kind.lower().lstrip().startswith("text/plain") else "\n".join(b.text for b in blocks(page))
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import html as entities
 import re
 import uuid
 import zlib
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -151,6 +152,117 @@ def test_op4_over_the_table_and_files(spark, data):
     assert warc.report(odd).count() == 4 and warc.report(odd.limit(0)).count() == 0
 
 
+BLOCKS = "address article aside blockquote body div dd dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split()
+
+
+def visible(page):
+    """Visible text, a block a line, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.lines, self.hidden = [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("head", "script", "style", "template", "button", "label", "select", "textarea", "noscript")
+            self.lines += [""] * (tag in BLOCKS)
+            self.lines[-1] += " " * (tag == "br")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("head", "script", "style", "template", "button", "label", "select", "textarea", "noscript")
+            self.lines += [""] * (tag in BLOCKS)
+
+        def handle_data(self, data):
+            self.lines[-1] += "" if self.hidden else data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return "\n".join(x for x in (" ".join(line.split()) for line in reader.lines) if x)
+
+
+def brute_records(page_id, url, page):
+    """The response's two records as bytes, from the formats alone."""
+    import base64
+
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    space, body = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8"), page.encode()
+    stamp = (datetime(2024, 1, 1) + timedelta(seconds=page_id)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+    own = f"<urn:uuid:{uuid.uuid5(space, f'response|{url}|{stamp}|{sha(http)}')}>"
+    meta, conv = (f"<urn:uuid:{uuid.uuid5(space, f'{k}|{own}')}>" for k in ("metadata", "conversion"))
+    text = visible(page).encode()
+    fields = [("source-record-id", own), ("source-payload-digest", sha(body)), ("source-block-digest", sha(http)), ("http-status", "HTTP/1.1 200 OK"), ("http-header-content-type", "text/html; charset=utf-8")]
+    fields += [("http-header-content-length", len(body)), ("conversion-record-id", conv)]
+    said = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
+    refers = [("WARC-Date", stamp), ("WARC-Refers-To", own), ("WARC-Target-URI", url), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", stamp)]
+    make = lambda head, block: b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*head, ("Content-Length", len(block))]).encode() + b"\r\n" + block + b"\r\n\r\n"
+    first = make([("WARC-Type", "metadata"), ("WARC-Record-ID", meta), *refers, ("WARC-Concurrent-To", conv), ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", sha(said))], said)
+    second = make([("WARC-Type", "conversion"), ("WARC-Record-ID", conv), *refers, ("WARC-Concurrent-To", meta), ("Content-Type", "text/plain; charset=utf-8"), ("WARC-Payload-Digest", sha(text)), ("WARC-Block-Digest", sha(text))], text)
+    return {("metadata", meta, own, conv, url, len(said), sha(body), first), ("conversion", conv, own, meta, url, len(text), sha(body), second)}
+
+
+def test_op4_against_brute_force(spark, data):
+    """Every record of the table, byte for byte, made by separate code."""
+    pages = spark.read.parquet(f"{data}/pages.parquet").collect()
+    want = {x for p in pages for x in brute_records(p["page_id"], p["url"], p["html"])}
+    made = warc.derivatives(warc.page_responses(spark.read.parquet(f"{data}/pages.parquet"))).collect()
+    columns = ("record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "content_length", "source_payload_digest")
+    assert {(*(r[c] for c in columns), bytes(r["record"])) for r in made} == want
+    got = queries.op4_warc(spark, data).collect()
+    assert {(*(r[c] for c in columns), r["record_sha256"]) for r in got} == {(*x[:-1], hashlib.sha256(x[-1]).hexdigest()) for x in want}
+    assert len(made) == len(got) == 2 * len(pages) and all(r["error"] is None for r in got)
+
+
+@pytest.mark.parametrize("body", [b"5\r\nhello\r\n-11\r\n", b"5\r\nhello\r\n+1\r\nx\r\n0\r\n\r\n", b"0x5\r\nhello\r\n0\r\n\r\n", b"5\r\nhelloXX0\r\n\r\n", b"1_0\r\n" + b"y" * 16 + b"\r\n0\r\n\r\n", b"ff\r\nshort", b"\r\n", b""])
+def test_bad_chunks_end(body):
+    with pytest.raises(warc.WarcError):
+        warc.unchunk(body)
+
+
+def test_chunks_with_extensions():
+    assert warc.unchunk(b"A;name=v\r\n0123456789\r\n1 \r\nx\r\n0\r\nTrailer: y\r\n\r\n") == b"0123456789x"
+
+
+def test_no_response_takes_others_with_it(spark):
+    """dns records, odd charsets, bombs and broken codings each give their own row; what comes before and after stays."""
+    html = lambda kind, body, *more: warc.response("http://x.org/", WHEN, body, [("Content-Type", kind), *more])
+    dns = warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("Content-Type", "text/dns")], b"20240101\r\nx.org. 60 IN A 1.2.3.4")
+    odd = [dns, html("text/html; charset=idna", b"\xff<p>x"), html("text/html; charset=undefined", b"<p>x"), html("text/html; charset=hex", b"<p>x"), html("text/html; charset=utf-16", b"\xff"), html("text/html", b"5\r\nhello\r\n-11\r\n", ("Transfer-Encoding", "chunked")),
+           html("text/html", gzip.compress(b"<p>x")[:-9], ("Content-Encoding", "gzip")), html("text/html", b"\x78junk", ("Content-Encoding", "deflate")), html("text/html", b"x", ("Content-Encoding", "br"))]
+    good = html("text/html", b"<p>good")
+    content = b"".join(r.to_bytes() for o in odd for r in (o, good)) + b"WARC/1.1\r\nContent-Length: -5\r\n\r\n"
+    for raw, cut in ((content, 1), (gzip.compress(content), 1), (b"".join(gzip.compress(r.to_bytes()) for o in odd for r in (o, good)), 0)):
+        got = warc.derivatives(spark.createDataFrame([(1, bytearray(raw))], "page_id long, warc binary")).collect()
+        texts = [r for r in got if r["record_type"] == "conversion" and bytes(r["record"]).endswith(b"\r\n\r\ngood\r\n\r\n")]
+        assert len(texts) == len(odd)
+        assert [r["refers_to"] for r in got if r["record_type"] is None][0] == "<urn:uuid:1>"
+        assert sum(r["error"] is not None for r in got) == 7 + cut
+
+
+def test_what_inflates_too_far_is_an_error(monkeypatch):
+    monkeypatch.setattr(warc, "INFLATED", 100_000)
+    bomb = gzip.compress(b"a" * 5_000_000)
+    source = warc.response("u", WHEN, bomb, [("Content-Type", "text/html"), ("Content-Encoding", "gzip")])
+    made, error = warc.derive(source)
+    assert len(made) == 1 and "inflates" in error
+    assert warc.inflated(gzip.compress(b"a" * 50_000) + gzip.compress(b"b") + b"\0" * 9, 31) == b"a" * 50_000 + b"b"
+    packed = b"".join(gzip.compress(warc.response("u", WHEN, b"x" * 90_000).to_bytes()) for _ in range(5))
+    assert len(list(warc.parse_records(packed))) == 5  # more than INFLATED in all, each below
+    with pytest.raises(warc.WarcError):
+        list(warc.parse_records(gzip.compress(warc.response("u", WHEN, b"x" * 200_000).to_bytes())))
+
+
+def test_very_long_page_and_headers_without_end(spark):
+    page = "<p>" + "word " * 400_000
+    df = spark.createDataFrame([(1, "http://long.org/", page, "clash"), (1, "http://long.org/", page, "clash")], "page_id long, url string, html string, record string")
+    got = warc.derivatives(warc.page_responses(df)).where("record_type = 'conversion'").collect()
+    assert [r["n_chars"] for r in got] == [5 * 400_000 - 1] * 2
+    with pytest.raises(warc.WarcError):
+        list(warc.parse_records(b"WARC/1.1\r\n" + b"a: b\r\n" * 400_000))
+
+
 def test_a_response_that_is_not_http_does_not_end_its_file(spark):
     good, odd = warc.response("u", WHEN, b"hi"), warc.response("http://odd.org/", WHEN, b"x")
     odd.block = b"no blank line after this"
