@@ -10,8 +10,10 @@ words, with menus, headers, footers, sidebars, notices, adverts, forms and reade
 and inside articles under many names. Training takes a bounded number of pages (PAGES), the same every time.
 
 Rows: null or empty html gives an empty text. Broken markup is read as far as it goes: tags may stay open,
-end tags may have no partner, scripts and comments without an end reach the end of the page. Repeated rows and
-null ids stay. Pages of any length are labelled whole; batches bound memory by blocks. Other columns are not read.
+end tags may have no partner, scripts and comments without an end reach the end of the page. Repeated rows, ties and
+null ids stay. Pages of any length are labelled whole, in time that grows as they do, at any depth of open elements; batches bound
+memory by blocks. Only the names that go into a block's vector are bounded: those of its EDGE outermost and innermost elements,
+NAMES of each. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import html as entities
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,25 +36,36 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head title select option optgroup datalist button label legend output progress meter object audio video canvas svg math iframe noframes noembed noscript map".split())
+SILENT = frozenset("head title select option optgroup datalist button label legend audio video canvas svg iframe noframes noembed noscript".split())
+RAW = frozenset("script style template textarea xmp plaintext".split())
 #: What a head can hold. It ends before anything else, by its end tag or without.
 IN_HEAD = frozenset("title meta link base basefont bgsound script style template noscript noframes head html".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ENDS_P = BLOCK - {"body", "html", "head", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend", "summary"}
+#: Start tags that close others of their kind, and the elements beyond which they don't.
+CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
+    "body": (("head",), ()),
+}
+#: Elements, from outside and from inside, whose names a vector takes, and names of each.
+EDGE, NAMES = 200, 64
 
-TOKEN = re.compile(
-    r"<!--(?s:.*?)(?:--!?>|\Z)"
-    r"|<(script|style|template|textarea|xmp|plaintext)\b[^>]*+>(?s:.*?)(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
-    r"|<[!?/][^>]*+>",
-    re.I,
-)
+#: A tag without ``<`` or ``>`` in its quotes: nearly all. A match never looks past the next ``<``.
+QUICK = re.compile(r"<(/?)([a-z][^\s/>\"'<]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>", re.I)
+NAME, SPECIAL, COMMENT_END = re.compile(r"[a-z][^\s/>]*", re.I), re.compile("[>\"']"), re.compile("--!?>")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
-PATH, WORD, MEASURES, HIDDEN = 192, 16, 6, 24
+PATH, WORD, MEASURES, HIDDEN = 192, 256, 6, 24
 WIDTH = PATH + WORD + MEASURES
-PAGES, EPOCHS, SEED = 1_500, 6, 11
+PAGES, EPOCHS, SEED = 3_000, 6, 11
 #: Blocks (padding included) that are labelled at once.
 AT_ONCE = 4_096
 
@@ -64,18 +78,78 @@ class Block:
 
 
 def names(attributes: str) -> tuple[str, ...]:
-    out = []
+    out: list[str] = []
     for m in NAMED.finditer(attributes):
-        out += [p.lower() for p in PARTS.findall(m[2] or m[3] or m[4] or "")]
+        for part in PARTS.finditer(m[2] or m[3] or m[4] or ""):
+            if len(out) == NAMES:
+                return tuple(out)
+            out.append(part[0].lower())
     return tuple(out)
 
 
+def tags(page: str) -> Iterator[tuple[str, str, str | None, str]]:
+    """The text before each tag, ``/`` for an end tag, its name (null: comments and what else is no tag) and attributes; then the last text.
+
+    One pass: a position is looked at a bounded number of times, also in markup whose quotes, tags or comments never end.
+    """
+    start = at = 0
+    more, failed, unclosed = -1, set(), {}  # the next >; quotes from which no tag ends; where no quote of a kind follows
+
+    def end_of(pos: int) -> int:
+        """The end of a tag by its quotes; if there is none, at the next >."""
+        opened = []
+        while m := SPECIAL.search(page, pos):
+            x, c = m.start(), m[0]
+            if c == ">":
+                return x
+            if x in failed or unclosed.get(c, x) < x:
+                break
+            opened.append(x)
+            pos = page.find(c, x + 1) + 1
+            if not pos:
+                unclosed[c] = x
+                break
+        failed.update(opened)
+        return more
+
+    while (lt := page.find("<", at)) >= 0:
+        at, name, slash, said = lt + 1, None, "", ""
+        if m := QUICK.match(page, lt):
+            at, slash, name, said = m.end(), m[1], m[2].lower(), m[3]
+        elif page.startswith("<!--", lt):
+            m = COMMENT_END.search(page, lt + 4)
+            at = m.end() if m else len(page)
+        else:
+            if more < lt:
+                more = page.find(">", lt)
+                more = len(page) if more < 0 else more
+            if more == len(page):
+                continue  # no tag ends any more
+            slash = "/" if page.startswith("/", at) else ""
+            if m := NAME.match(page, at + len(slash)):
+                end = end_of(m.end())
+                at, name, said = end + 1, m[0].lower(), page[m.end() : end]
+            elif slash or page[at] in "!?":
+                at = more + 1
+            else:
+                continue
+        if name in RAW and not slash:
+            m = RAW_END[name].search(page, at)
+            end = page.find(">", m.end()) if m else -1
+            at, name = end + 1 if end >= 0 else len(page), None
+        yield page[start:lt], slash, name, said
+        start = at
+    yield page[start:], "", None, ""
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks in page order: white space inside is one space, references are decoded, empty ones are left out."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    where: dict[str, list[int]] = {}  # the places in the stack of each open tag, and of all blocks
+    places: list[int] = []
     parts: list[str] = []
-    linked, links, silent, at = 0, 0, 0, 0
+    linked, links, silent = 0, 0, 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -83,7 +157,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 path: list[str] = []
-                for tag, said in stack:
+                for tag, said in stack if len(stack) <= 2 * EDGE else stack[:EDGE] + stack[-EDGE:]:
                     path.append(f"<{tag}")
                     path.extend(said)
                 out.append(Block(text, tuple(path), linked))
@@ -92,10 +166,16 @@ def blocks(page: str) -> list[Block]:
 
     def pop(k: int) -> None:
         nonlocal links, silent
-        for tag, _ in stack[k:]:
+        while len(stack) > k:
+            tag, _ = stack.pop()
+            where[tag].pop()
+            if tag in BLOCK:
+                places.pop()
             links -= tag == "a"
             silent -= tag in SILENT
-        del stack[k:]
+
+    def last(tag: str) -> int:
+        return where[tag][-1] if where.get(tag) else -1
 
     def say(raw: str) -> None:
         nonlocal linked
@@ -107,22 +187,16 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
-    for m in TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
+    for text, slash, tag, said in tags(page):
+        say(text)
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[2]:
+        if slash:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break  # an inline end tag doesn't close blocks
+            k = last(tag)
+            if k >= 0 and (tag in BLOCK or not places or places[-1] < k):  # an inline end tag doesn't close blocks
+                pop(k)
             continue
         if silent and stack[-1][0] == "head" and tag not in IN_HEAD:
             pop(len(stack) - 1)
@@ -131,24 +205,22 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}.get(tag, ())
-            stop = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                inner = stack[k][0]
-                if inner in closes or (inner == "p" and tag in ENDS_P):
-                    pop(k)
-                    if inner == "p" or tag in ("body", "li", "option"):
-                        break
-                elif inner in stop or (inner in BLOCK and not closes):
-                    break
-        if tag in VOID or m[4].endswith("/") and tag in ("svg", "path", "circle", "rect", "use", "g"):
+            if tag in CLOSES:
+                others, stops = CLOSES[tag]
+                stop = max(map(last, stops), default=-1)
+                first = [where[o][i] for o in others if where.get(o) and (i := bisect_right(where[o], stop)) < len(where[o])]
+                if first:
+                    pop(min(first))
+            if tag in ENDS_P and places and stack[places[-1]][0] == "p":
+                pop(places[-1])
+        if tag in VOID or said.endswith("/") and tag in ("svg", "path", "circle", "rect", "use", "g"):
             continue
-        stack.append((tag, names(m[4]) if "=" in m[4] else ()))
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            places.append(len(stack))
+        stack.append((tag, names(said) if "=" in said else ()))
         links += tag == "a"
         silent += tag in SILENT
-        if len(stack) > 400:  # elements that never end: their text stays, their names don't
-            pop(399)
-    say(page[at:])
     flush()
     return out
 
@@ -173,12 +245,14 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return np.tanh(out)
 
 
-def measures(page: list[Block]) -> np.ndarray:
-    """Hashed words and a few measures of each block."""
+def measures(page: list[Block], words: bool = True) -> np.ndarray:
+    """Hashed words (unless without) and a few measures of each block."""
     out = np.zeros((len(page), WORD + MEASURES), np.float32)
     for k, b in enumerate(page):
-        places = np.fromiter(map(zlib.crc32, b.text.encode("utf-8", "surrogatepass").split()), np.uint32)
-        out[k, :WORD] = np.bincount(places % WORD, minlength=WORD) / len(places)
+        places = np.fromiter(map(zlib.crc32, b.text.lower().encode("utf-8", "surrogatepass").split()), np.uint32)
+        if words:
+            counts = np.bincount(places % WORD, minlength=WORD)
+            out[k, :WORD] = counts / (2 * math.sqrt(counts @ counts))
         n = len(b.text)
         out[k, WORD:] = (
             min(1.0, math.log1p(n) / 8), min(1.0, b.linked / n), min(1.0, len(places) / 50), b.text[-1] in ".!?…\"'”»",
@@ -187,9 +261,9 @@ def measures(page: list[Block]) -> np.ndarray:
     return out
 
 
-def vectors(page: list[Block]) -> np.ndarray:
+def vectors(page: list[Block], words: bool = True) -> np.ndarray:
     paths = np.array([path_vector(b.path) for b in page], np.float32).reshape(len(page), PATH)
-    return np.concatenate([paths, measures(page)], axis=1)
+    return np.concatenate([paths, measures(page, words)], axis=1)
 
 
 # --- model ----------------------------------------------------------------------------------------------------
@@ -202,8 +276,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Labeller:
     """Two LSTMs, forward and backward, and a logistic output for each block."""
 
-    def __init__(self, rng: np.random.Generator):
-        self.p = {}
+    def __init__(self, rng: np.random.Generator, words: bool = True):
+        self.p, self.words = {}, words
         for d in "fb":
             self.p[f"w{d}"] = (rng.standard_normal((WIDTH + HIDDEN, 4 * HIDDEN)) / np.sqrt(WIDTH + HIDDEN)).astype(np.float32)
             self.p[f"b{d}"] = np.zeros(4 * HIDDEN, np.float32)
@@ -269,7 +343,7 @@ class Labeller:
         for b in page:
             if b.path not in self.paths:
                 self.paths[b.path] = path_vector(b.path) @ w[:PATH] + np.r_[self.p["bf"], self.p["bb"]]
-        return measures(page) @ w[PATH:] + np.array([self.paths[b.path] for b in page])
+        return measures(page, self.words) @ w[PATH:] + np.array([self.paths[b.path] for b in page])
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Chances of each block of each page, pages of like length together."""
@@ -310,6 +384,18 @@ AROUND = {
     "comments": "comments comment replies discussion disqus reply respond responses thread",
     "share": "share social follow sharing byline meta toolbar actions",
 }
+#: What such parts often say, in four languages.
+SAID = {
+    "nav": "Home|About us|Contact|News|Products|Next page|Startseite|Über uns|Kontakt|Accueil|À propos|Inicio|Quiénes somos|Menu|Skip to content",
+    "header": "Welcome|Log in|My account|Search|Anmelden|Willkommen|Connexion|Bienvenue|Iniciar sesión|Bienvenido",
+    "footer": "Copyright|All rights reserved|Terms of use|Privacy policy|Imprint|Impressum|Datenschutz|Alle Rechte vorbehalten|Tous droits réservés|Mentions légales|Todos los derechos reservados|Aviso legal|Powered by",
+    "aside": "Related articles|Read more|Most popular|You may also like|Recent posts|Tags|Mehr lesen|Beliebt|Lire aussi|Articles récents|Leer más|Artículos relacionados",
+    "notice": "We use cookies to improve this site|Accept all cookies|Subscribe to our newsletter|Wir verwenden Cookies|Alle akzeptieren|Nous utilisons des cookies|Accepter|Usamos cookies|Aceptar|Your browser is not supported",
+    "ad": "Advertisement|Sponsored|Buy now|Special offer|Anzeige|Jetzt kaufen|Publicité|Achetez maintenant|Publicidad|Compra ahora|Free shipping",
+    "form": "Enter your email|Your name|Sign up|Send message|Search this site|Ihre E-Mail|Absenden|Votre adresse|Envoyer|Tu correo|Enviar",
+    "comments": "Comments|Leave a reply|Log in to comment|Reply|says|Kommentare|Antworten|sagt|Commentaires|Répondre|Comentarios|Responder|great post thanks for sharing|I agree with you",
+    "share": "Share this|Tweet|Follow us|Print|Posted by|Teilen|Folgen|Partager|Suivez-nous|Compartir|Síguenos|minutes read",
+}
 INSIDE = "article content post entry story main body text page wrap container column primary hentry single prose".split()
 
 
@@ -319,8 +405,13 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     syllables = ["th", "er", "on", "an", "re", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "é", "ü", "ß", "ñ", "ç", "sch", "ung", "ción"]
     word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 5))))
     marks = pick(["", "", "", " &amp;", "###", "%%%", "!!", " |"])
+    speaks, part = rng.random() < 0.7, ""  # whether the site says the usual things; the part being written
+    mute = rng.random() < 0.2  # a site whose elements have no telling names
+    plain = mute or rng.random() < 0.25  # one without elements for parts of a page
 
     def sentence(n: int) -> str:
+        if speaks and rng.random() < (0.5 if part else 0.02):
+            return pick(SAID[part or pick(list(SAID))].split("|"))
         words = [word() + (marks if marks and rng.random() < 0.4 else "") for _ in range(max(1, n))]
         return " ".join(words).capitalize() + pick([".", ".", ".", "!", "?", ""])
 
@@ -328,13 +419,22 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         return " ".join(sentence(int(rng.integers(1, 14))) for _ in range(1 if short else int(rng.integers(1, 9))))
 
     def named(kind: str) -> str:
+        if mute:
+            return pick(["", f' class="{word()}"', f" class='{word()} {word()}'", f' id="{word()}-{word()}"'])
         said = pick(AROUND[kind].split())
         return pick([f' class="{said}"', f" class='{said} {word()}'", f' id="{said}"', f' class="{pick(["c", "js", "l", "block", "site"])}-{said}"', f' class="{said}-{pick(["box", "wrap", "inner", "list", "area"])}" id={word()}'])
 
     own_tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}
 
     def around(kind: str) -> str:
-        if kind in own_tag and rng.random() < 0.6:
+        nonlocal part
+        outside, part = part, kind
+        text = around_as(kind)
+        part = outside
+        return text
+
+    def around_as(kind: str) -> str:
+        if kind in own_tag and not plain and rng.random() < 0.6:
             tag, attributes = own_tag[kind], pick(["", "", named(kind)])
         else:
             tag, attributes = pick(["div", "div", "div", "section", "ul" if kind == "nav" else "div"]), named(kind)
@@ -367,7 +467,7 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         for _ in range(int(rng.integers(1, 5)) if rng.random() < 0.4 else int(rng.integers(1, 22))):
             r = rng.random()
             if r < 0.68:
-                out.append(f"<p>{m}{prose(rng.random() < 0.25)}</p>")
+                out.append(f"<p>{m}{prose(rng.random() < 0.4)}</p>")
             elif r < 0.76:
                 out.append(f"<p><b>{m}{prose()}<br>")
             elif r < 0.82:
@@ -383,7 +483,9 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
                 out.append(f"<pre>{m}{prose()}</pre>")
             else:
                 out.append(around(pick(["ad", "aside", "notice", "share", "form"])))
-        tag = pick(["article", "article", "main", "div", "section"])
+        if mute:
+            return f"<div{named('')}>{''.join(out)}</div>"
+        tag = pick(["div", "div", "section"] if plain else ["article", "article", "main", "div", "section"])
         attributes = pick(["", f' class="{pick(INSIDE)}"']) if tag in ("article", "main") else f' {pick(["class", "id"])}="{pick(INSIDE)}{pick(["", "-body", "-content", "-text"])}"'
         return f"<{tag}{attributes}>{''.join(out)}</{tag}>"
 
@@ -394,25 +496,29 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         rng.shuffle(after)
     middle = article()
     if rng.random() < 0.3:
-        middle = f'<div{pick(["", named("share"), ""])}>{middle}{around("aside")}</div>' if rng.random() < 0.5 else f'<div class="{pick(INSIDE)}">{middle}</div>'
+        middle = f'<div{pick(["", named("share"), ""])}>{middle}{around("aside")}</div>' if rng.random() < 0.5 else f'<div class="{word() if mute else pick(INSIDE)}">{middle}</div>'
     page = "".join([*before, middle, *after])
+    if rng.random() < 0.2:  # in the cells of a table, or one container more
+        cell = pick([("<table><tr><td>", "</td></tr><tr><td>", "</td></tr></table>"), ("<table><tr><td>", "</td><td>", "</td></tr></table>"), ("<div><div>", "</div><div>", "</div></div>")])
+        page = cell[0] + "".join(before) + cell[1] + middle + cell[1] + "".join(after) + cell[2]
     return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{page}" + "</body></html>" * (rng.random() < 0.8), []
 
 
-def example(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def example(rng: np.random.Generator, words: bool = True) -> tuple[np.ndarray, np.ndarray]:
     found = blocks(training_page(rng)[0])
     y = np.array(["\x01" in b.text for b in found], np.float32)
     for b in found:
         b.text = b.text.replace("\x01", "").strip() or "."
-    return vectors(found), y
+    return vectors(found, words), y
 
 
 @lru_cache(2)
-def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
+def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED, words: bool = True) -> Labeller:
+    """The model of a bounded number of generated pages; without ``words`` for comparison."""
     rng = np.random.default_rng(seed)
-    data = [example(rng) for _ in range(pages)]
+    data = [example(rng, words) for _ in range(pages)]
     data = [d for d in data if len(d[0])]
-    model = Labeller(rng)
+    model = Labeller(rng, words)
     first, second = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
