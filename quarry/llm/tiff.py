@@ -2,16 +2,20 @@
 
 ``read_pages`` walks a file's chain of image directories (either byte order), decodes strips or tiles under no
 compression, PackBits, LZW or deflate, undoes the horizontal predictor (8, 16, 32 and 64 bits) and the floating
-point one, and yields a page at a time. Samples have 1 to 16, 32 or 64 bits, all of a page alike: interleaved or planar samples, grey, colour or palette. ``pages`` is
+point one, and yields a page at a time. Samples have 1 to 16, 32 or 64 bits, all of a page alike in bits and kind: unsigned, signed or floating point,
+interleaved or planar, grey, colour or palette. FillOrder 2 (bits from the least significant on) is undone. ``pages`` is
 the same over a DataFrame, one row per page. ``write_pages`` makes such files.
 
 ``store`` keeps texts as images: UTF-8 bytes and zeros up to a positive multiple of 64, in pages of 64
 columns and at most PAGE_ROWS rows, deflate strips with the horizontal predictor. Nothing but the text
-goes into a file, so equal texts have equal files.
+goes into a file, so equal texts have equal files. Texts of any length are stored whole, in as many pages as they need.
+
+A strip or tile is inflated to the bytes that its shape takes and no further, and a page of more than PAGE_BYTES is an error row: a
+few stored bytes can't fill a worker.
 
 Rows: a null text counts as empty and makes one page of one row of zeros. Repeated rows and null ids stay.
 A page that can't be read gives a row of ``pages`` with nulls for its samples and shape and the reason in ``error``; the pages after
-it follow. Null or empty content, and a directory chain that can't be walked further or loops, end in such a row. Other columns are not read.
+it follow. An empty table gives an empty result. Null or empty content, and a directory chain that can't be walked further or loops, end in such a row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +34,16 @@ from quarry.llm.common import text_bytes
 
 #: Fixed values of the format: tag numbers, sizes of field types, compression schemes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_AT, TILE_BYTES, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
+FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_AT, TILE_BYTES, SAMPLE_FORMAT = 266, 284, 317, 322, 323, 324, 325, 339
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 CLEAR, END = 256, 257
 
 ROW, PAGE_ROWS, ROWS_IN_STRIP = 64, 16_384, 1_024
+#: Bytes of a page's samples at most: a cell of a Spark row holds 2 GB.
+PAGE_BYTES = 512 << 20
+#: Each byte with its bits the other way round.
+REVERSED = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))
 
 
 @dataclass
@@ -169,7 +177,7 @@ def unpack(raw: bytes, scheme: int, size: int) -> bytes:
         return raw
     if scheme in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(raw)
+            return zlib.decompressobj().decompress(raw, max(1, size))
         except zlib.error as e:
             raise TiffError(f"deflate: {e}") from e
     if scheme == LZW:
@@ -182,7 +190,7 @@ def unpack(raw: bytes, scheme: int, size: int) -> bytes:
 PACK = {NONE: bytes, DEFLATE: lambda b: zlib.compress(b, 1), LZW: lzw, PACKBITS: packbits}
 
 
-def unpredict(block: bytes, rows: int, cols: int, channels: int, bits: int, predictor: int, order: str, floats: bool = False) -> np.ndarray:
+def unpredict(block: bytes, rows: int, cols: int, channels: int, bits: int, predictor: int, order: str, floats: bool = False, signed: bool = False) -> np.ndarray:
     """Samples of a decoded strip or tile, rows x cols x channels."""
     if bits not in (8, 16, 32, 64) and not 0 < bits < 16 or floats and bits < 16:
         raise TiffError(f"samples of {bits} bits")
@@ -192,8 +200,11 @@ def unpredict(block: bytes, rows: int, cols: int, channels: int, bits: int, pred
         per_row = (cols * channels * bits + 7) // 8
         flat = np.frombuffer(block, np.uint8, per_row * rows).reshape(rows, per_row)
         every = np.unpackbits(flat, axis=1)[:, : cols * channels * bits].reshape(rows, cols * channels, bits)
-        return (every @ (1 << np.arange(bits)[::-1])).astype(np.uint8 if bits < 8 else np.uint16).reshape(rows, cols, channels)
-    kind = np.dtype(f"{order}{'f' if floats else 'u'}{bits // 8}")
+        values = every @ (1 << np.arange(bits)[::-1])
+        if signed:
+            values = values - (values >> bits - 1 << bits)
+        return values.astype(f"{'i' if signed else 'u'}{1 if bits < 8 else 2}").reshape(rows, cols, channels)
+    kind = np.dtype(f"{order}{'f' if floats else 'i' if signed else 'u'}{bits // 8}")
     if predictor == 3:
         flat = np.frombuffer(block, np.uint8, rows * cols * channels * bits // 8).reshape(rows, -1, channels)
         planes = np.cumsum(flat, axis=1, dtype=np.uint8).reshape(rows, bits // 8, cols * channels)
@@ -236,6 +247,8 @@ def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple] | TiffError]
         raise TiffError("not a TIFF file")
     order = "<" if raw[:2] == b"II" else ">"
     (at,), seen = struct.unpack_from(f"{order}I", raw, 4), set()
+    if not at:
+        raise TiffError("a file without a directory")
     try:
         while at:
             if at in seen:
@@ -258,8 +271,8 @@ def each_page(raw: bytes) -> Iterator[Page | str]:
             if isinstance(fields, TiffError):
                 raise fields
             yield read_page(raw, order, fields)
-        except (ValueError, IndexError, TypeError, OverflowError, struct.error) as e:
-            yield str(e)
+        except Exception as e:  # whatever a damaged page leads to is its own error and no one else's
+            yield f"{type(e).__name__}: {e}"
 
 
 def read_pages(raw: bytes) -> Iterator[Page]:
@@ -276,7 +289,13 @@ def read_page(raw: bytes, order: str, f: dict[int, tuple]) -> Page:
         raise TiffError(f"samples of {', '.join(map(str, f[BITS]))} bits")
     if not width or not height:
         raise TiffError("a directory without a size")
-    planar, predictor, scheme, floats = one(PLANAR, 1) == 2, one(PREDICTOR, 1), one(COMPRESSION, 1), one(SAMPLE_FORMAT, 1) == 3
+    planar, predictor, scheme = one(PLANAR, 1) == 2, one(PREDICTOR, 1), one(COMPRESSION, 1)
+    kinds = {1 if k == 4 else k for k in f.get(SAMPLE_FORMAT, (1,))}  # undefined data (4) is read as unsigned
+    if len(kinds) > 1 or not kinds <= {1, 2, 3}:
+        raise TiffError(f"samples of format {', '.join(map(str, f[SAMPLE_FORMAT]))}")
+    floats, signed = 3 in kinds, 2 in kinds
+    if width * height * channels * max(8, bits) // 8 > PAGE_BYTES:
+        raise TiffError(f"a page of more than {PAGE_BYTES} bytes")
     tiled = TILE_AT in f
     if tiled:
         tw, th, where, sizes = one(TILE_WIDTH), one(TILE_LENGTH), f[TILE_AT], f.get(TILE_BYTES)
@@ -293,10 +312,13 @@ def read_page(raw: bytes, order: str, f: dict[int, tuple]) -> Page:
         y, x = rest // across * th, rest % across * tw
         rows = th if tiled else min(th, height - y)
         size = (tw * inner * bits + 7) // 8 * rows
-        block = unpack(raw[where[k] : where[k] + sizes[k]], scheme, size)
+        if size > 2 * PAGE_BYTES:
+            raise TiffError("a tile far larger than its page may be")
+        stored = raw[where[k] : where[k] + sizes[k]]
+        block = unpack(stored.translate(REVERSED) if one(FILL_ORDER, 1) == 2 else stored, scheme, size)
         if len(block) < size:
             raise TiffError("a strip or tile is cut off")
-        got = unpredict(block[:size], rows, tw, inner, bits, predictor, order, floats)
+        got = unpredict(block[:size], rows, tw, inner, bits, predictor, order, floats, signed)
         if out is None:
             out = np.zeros((height, width, channels), got.dtype)
         got = got[: height - y, : width - x]
@@ -350,8 +372,8 @@ def page_rows(raw: bytes | None) -> Iterator[tuple[int, Page | None, str | None]
         for page in each_page(raw or b""):
             yield (n, None, page) if isinstance(page, str) else (n, page, None)
             n += 1
-    except (TiffError, ValueError, IndexError, struct.error) as e:
-        yield n, None, str(e)
+    except Exception as e:  # the chain itself
+        yield n, None, f"{type(e).__name__}: {e}"
 
 
 PAGE_SCHEMA = "page int, width int, height int, channels int, bits int, compression int, predictor int, samples binary, error string"

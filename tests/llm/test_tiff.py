@@ -108,3 +108,90 @@ def test_twelve_bits_are_unpacked_and_other_depths_are_errors():
     for bits, predictor, floats in ((24, 1, False), (0, 1, False), (128, 1, False), (8, 1, True), (12, 2, False), (8, 3, False)):
         with pytest.raises(tiff.TiffError):
             tiff.unpredict(bytes(64), 1, 2, 1, bits, predictor, "<", floats)
+
+
+#: Streams worked out by hand from the format's public description, with what they hold.
+HAND = [
+    # PackBits: FE AA = three times AA; 02 80 00 2A = three literals; FD AA = four times; 80 = nothing; 00 01 = one literal.
+    (tiff.PACKBITS, "FE AA 02 80 00 2A FD AA 80 00 01", "AA AA AA 80 00 2A AA AA AA AA 01"),
+    (tiff.PACKBITS, "81 07", "07 " * 128),
+    # LZW, codes of nine bits: clear, 7, 258 (7 7), 8, 8, 258, 6, 6, end: 7 7 7 8 8 7 7 6 6.
+    (tiff.LZW, None, "07 07 07 08 08 07 07 06 06"),
+    # Clear, 65, end.
+    (tiff.LZW, "80 10 60 20", "41"),
+]
+
+
+def packed(codes):
+    bits = "".join(f"{c:09b}" for c in codes)
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+
+
+@pytest.mark.parametrize(("scheme", "stored", "plain"), HAND)
+def test_streams_made_by_hand(scheme, stored, plain):
+    raw = bytes.fromhex(stored) if stored else packed([256, 7, 258, 8, 8, 258, 6, 6, 257])
+    want = bytes.fromhex(plain)
+    assert tiff.unpack(raw, scheme, len(want)) == want
+
+
+def test_lzw_width_grows_one_code_early():
+    """With 9-bit codes up to number 510, the 511th entry makes the next code 10 bits wide: written here code by code."""
+    data, codes, width, bits = bytes(range(256)) * 2, 258, 9, f"{256:09b}"
+    for k, b in enumerate(data[:300]):  # a reader adds an entry for each code but the first
+        bits += f"{b:0{width}b}"
+        if k:
+            codes += 1
+        width = 10 if codes >= 511 else 9
+    bits += f"{257:0{width}b}"
+    bits += "0" * (-len(bits) % 8)
+    raw = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+    assert tiff.unlzw(raw, 300) == data[:300]
+
+
+def by_hand(fields, strip):
+    """A one-page little-endian file of short and long fields, sorted by tag."""
+    fields = sorted({**{tiff.WIDTH: (4,), tiff.LENGTH: (1,), tiff.STRIP_AT: (8,), tiff.STRIP_BYTES: (len(strip),)}, **fields}.items())
+    at = 8 + len(strip) + len(strip) % 2
+    later, entries = b"", b""
+    for tag, values in fields:
+        data = struct.pack(f"<{len(values)}I", *values)
+        where = at + 2 + 12 * len(fields) + 4 + len(later)
+        entries += struct.pack("<HHI", tag, 4, len(values)) + (data if len(data) == 4 else struct.pack("<I", where))
+        later += data if len(data) > 4 else b""
+    return struct.pack("<2sHI", b"II", 42, at) + strip + b"\0" * (len(strip) % 2) + struct.pack("<H", len(fields)) + entries + b"\0" * 4 + later
+
+
+def test_kinds_of_samples():
+    read = lambda fields, strip: next(tiff.each_page(by_hand(fields, strip)))
+    page = read({tiff.BITS: (8,), tiff.SAMPLE_FORMAT: (2,)}, b"\xff\x80\x7f\0")
+    assert page.samples.dtype == np.int8 and page.samples.ravel().tolist() == [-1, -128, 127, 0]
+    page = read({tiff.BITS: (4,), tiff.SAMPLE_FORMAT: (2,)}, b"\xf7\x80")
+    assert page.samples.ravel().tolist() == [-1, 7, -8, 0]
+    page = read({tiff.BITS: (16,), tiff.SAMPLE_FORMAT: (2,), tiff.PREDICTOR: (2,)}, struct.pack("<4h", -5, 3, 3, -2))
+    assert page.samples.ravel().tolist() == [-5, -2, 1, -1]
+    assert read({tiff.BITS: (8,), tiff.FILL_ORDER: (2,)}, b"\x01\x80\xf0\x0f").samples.ravel().tolist() == [0x80, 1, 0x0F, 0xF0]
+    assert read({tiff.BITS: (10,)}, bytes([0b00000000, 0b01000000, 0b00101111, 0b11111100, 0])).samples.ravel().tolist() == [1, 2, 1023, 0]
+    for fields in ({tiff.BITS: (8, 16), tiff.SAMPLES: (2,)}, {tiff.BITS: (8, 8), tiff.SAMPLES: (2,), tiff.SAMPLE_FORMAT: (1, 2)}, {tiff.BITS: (24,)}, {tiff.BITS: (8,), tiff.SAMPLE_FORMAT: (3,)}, {tiff.BITS: (8,), tiff.SAMPLE_FORMAT: (6,)}, {tiff.WIDTH: (2**31,), tiff.BITS: (8,)}, {tiff.BITS: ()}):
+        assert isinstance(read(fields, b"\0" * 64), (str, tiff.Page)) and (fields == {tiff.BITS: ()} or isinstance(read(fields, b"\0" * 64), str)), fields
+
+
+def test_a_small_strip_cannot_fill_a_worker():
+    bomb = zlib.compress(b"\0" * 50_000_000)
+    page = next(tiff.each_page(by_hand({tiff.BITS: (8,), tiff.COMPRESSION: (tiff.DEFLATE,)}, bomb)))
+    assert page.samples.ravel().tolist() == [0] * 4
+    import tracemalloc
+
+    tracemalloc.start()
+    tiff.unpack(bomb, tiff.DEFLATE, 4)
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    tracemalloc.stop()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_damaged_files_never_raise(data):
+    whole = bytearray(tiff.write_pages([np.arange(60, dtype=np.uint8).reshape(5, 12, 1)] * 2, data.draw(st.sampled_from([tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])), 2))
+    for _ in range(data.draw(st.integers(1, 6))):
+        whole[data.draw(st.integers(4, len(whole) - 1))] = data.draw(st.integers(0, 255))
+    assert list(tiff.page_rows(bytes(whole)))
