@@ -24,6 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Parts over which the rows of a hot key are dealt.
+SALTS = 256
+
+
+def attach(rows: DataFrame, values: DataFrame, by: list[str], own: str, salts: int = SALTS) -> DataFrame:
+    """rows with the columns of ``values``, which has one row for each key. No key is one task's: rows are dealt over salts by ``own``, values to those that occur."""
+    salt = "salt"
+    while salt in rows.columns:
+        salt += "_"
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(own), F.lit(salts)))
+    there = dealt.select(*by, salt).distinct().join(values, by)
+    return dealt.join(there, [*by, salt]).drop(salt)
+
+
 class Workspace:
     """Intermediate tables as Parquet in the shared folder: they cut the lineage, and outlive any executor."""
 

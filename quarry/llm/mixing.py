@@ -13,9 +13,16 @@ of that last bucket are put in order. So no task holds a leaf's documents, whate
 
 Tokens are words (runs of characters other than blank and 0x09-0x0D).
 
+A node of weight 0 or less gets nothing, and nothing of its siblings' shortage; its documents are left out.
+
+No task holds all siblings of a node either: they are put in order within bands of room for each unit of weight, after sums of
+the bands before. Documents and other rows meet their leaf's or parent's line by (key, salt), so a key with a third of all rows is many tasks';
+where Spark finds the lines small it sends them around, and texts stay where they are.
+
 Rows: a null text has no tokens; null lang, source or doc_id count as the empty string. Documents without
 tokens come with their leaf's prefix as any other. Rows with one doc_id in a leaf share their place and are taken
-together. Weights that aren't listed are 1. An empty table gives an empty result.
+together: they are summed before places are put in order. Texts of any length count whole. Weights that aren't listed are 1. Columns of
+any name pass through ``keep``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +31,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quarry.llm.common import Workspace
+from quarry.llm.common import Workspace, attach
 from quarry.llm.quality import SEPARATOR_CHARS, SEPARATORS
 
 LEVELS = ("domain", "language", "origin")
 #: Hex digits of the order that each round of the search for the cut reads.
 DIGITS = (2, 3)
+#: Bands of siblings for each doubling of their room by weight.
+BANDS = 64
 #: The domain of a document, in SQL both engines know: one crawl, then two kinds of site by the number of digits.
 DOMAIN = "CASE WHEN coalesce(source, '') = 'src0' THEN 'crawl' WHEN length(coalesce(source, '')) <= 4 THEN 'forum' ELSE 'reference' END"
 
@@ -59,37 +68,46 @@ def place(mix: Mix, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{mix.seed}|"), epoch.cast("string"), F.lit("|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def _deal(nodes: DataFrame, parent: list[str], child: str, weights: dict[str, int]) -> DataFrame:
-    """nodes has parent, child, room (tokens it can take) and the parent's budget; gives each child's own budget."""
+def _deal(work: Workspace, nodes: DataFrame, parent: list[str], child: str, weights: dict[str, int]) -> DataFrame:
+    """nodes has parent, child, room (tokens it can take) and the parent's budget; gives each child of some weight its own budget."""
     w = F.lit(1).cast("long")
     for name, v in weights.items():
         w = F.when(F.col(child) == name, F.lit(v).cast("long")).otherwise(w)
-    x = nodes.withColumn("w", w)
+    x = nodes.withColumn("w", w).where("w > 0").withColumn("ratio", F.col("room").cast("double") / F.col("w"))
+    x = x.withColumn("band", F.when(F.col("ratio") > 0, F.floor(F.log2("ratio") * BANDS)).otherwise(F.lit(-(10**6)).cast("long")))
+    x = work.put(x, "nodes")
     # The fullest relative to their weight run out first. Before each: what those took, and what weight is left.
-    near = Window.partitionBy(*(parent or [F.lit(0)])).orderBy(F.col("room").cast("double") / F.col("w"), child)
-    left = F.col("budget") - (F.sum("room").over(near) - F.col("room"))
-    rest = F.sum("w").over(Window.partitionBy(*(parent or [F.lit(0)]))) - (F.sum("w").over(near) - F.col("w"))
-    x = x.withColumn("left", left).withColumn("rest", rest).withColumn("k", F.row_number().over(near))
-    x = x.withColumn("full", F.col("room") <= F.expr("(left * w) div rest"))
-    level = F.min(F.when(~F.col("full"), F.struct("k", "left", "rest"))).over(Window.partitionBy(*(parent or [F.lit(0)])))
-    x = x.withColumn("level", level)
-    x = x.withColumn("budget", F.when(F.col("level").isNull() | (F.col("k") < F.col("level.k")), F.col("room")).otherwise(F.expr("(level.left * w) div level.rest")))
-    return x.select(*parent, child, "budget")
-
-
-def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
-    """leaves: domain, language, origin, tokens. Adds each leaf's budget."""
+    sums = x.groupBy(*parent, "band").agg(F.sum("room").alias("band_room"), F.sum("w").alias("band_w"))
+    whole = Window.partitionBy(*(parent or [F.lit(0)]))
+    to = whole.orderBy("band")
+    sums = sums.select(*parent, "band", (F.sum("band_room").over(to) - F.col("band_room")).alias("room_before"), (F.sum("band_w").over(whole) - F.sum("band_w").over(to) + F.col("band_w")).alias("w_from"))
+    x = attach(x, sums, [*parent, "band"], child)
+    near = Window.partitionBy(*parent, "band").orderBy("ratio", child)
+    left = F.col("budget") - F.col("room_before") - (F.sum("room").over(near) - F.col("room"))
+    rest = F.col("w_from") - (F.sum("w").over(near) - F.col("w"))
+    x = x.withColumn("left", left).withColumn("rest", rest)
+    x = work.put(x.withColumn("full", F.col("room") <= F.expr("(left * w) div rest")), "nodes")
+    # The first that isn't full sets the level for itself and all after it.
+    stop = F.min(F.when(~F.col("full"), F.struct("ratio", F.col(child).alias("child"), "left", "rest"))).alias("level")
+    levels = x.groupBy(*(parent or [F.lit(0).alias("root")])).agg(stop)
+    x = attach(x, levels, parent, child) if parent else x.withColumn("root", F.lit(0)).join(levels, "root")
+    before = F.col("level").isNull() | (F.struct("ratio", F.col(child).alias("child")) < F.struct("level.ratio", F.col("level.child").alias("child")))
+    return x.select(*parent, child, F.when(before, F.col("room")).otherwise(F.expr("(level.left * w) div level.rest")).alias("budget"))
+
+
+def budgets(work: Workspace, leaves: DataFrame, mix: Mix) -> DataFrame:
+    """leaves: domain, language, origin, tokens. Adds each leaf's budget; leaves under a node without weight go."""
     rooms = leaves.withColumn("room", F.col("tokens") * mix.max_epochs)
     at: DataFrame | None = None
     for k, child in enumerate(LEVELS):
         parent = list(LEVELS[:k])
         nodes = rooms.groupBy(*parent, child).agg(F.sum("room").alias("room"), F.sum("tokens").alias("tokens"))
         if parent:
-            nodes = nodes.join(at, parent)
-        else:  # the whole budget, on every child of the root
+            nodes = attach(work.put(nodes, "nodes"), at, parent, child)
+        else:  # the whole budget, on every child of the root: a few domains
             whole = F.sum("tokens").over(Window.partitionBy(F.lit(0))) * mix.budget[0]
             nodes = nodes.withColumn("whole", whole).withColumn("budget", F.expr(f"whole div {mix.budget[1]}"))
-        at = _deal(nodes, parent, child, mix.weights.get(child, {}))
+        at = work.put(_deal(work, nodes, parent, child, mix.weights.get(child, {})), "budgets")
     return leaves.join(at, list(LEVELS))
 
 
@@ -97,21 +115,22 @@ def cuts(spark: SparkSession, df: DataFrame, mix: Mix) -> DataFrame:
     """A row for each leaf: tokens, budget, whole epochs, and the last place of the next epoch that still counts."""
     work = Workspace(spark, "mixing")
     docs = work.put(df.select("doc_id", *leaf(mix), n_tokens(F.col("text")).alias("n")), "docs")
-    leaves = docs.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
-    at = budgets(leaves, mix).withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0).cast("long")))
+    leaves = work.put(docs.groupBy(*LEVELS).agg(F.sum("n").alias("tokens")), "leaves")
+    at = budgets(work, leaves, mix).withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0).cast("long")))
     at = at.withColumn("open", F.col("budget") - F.col("epochs") * F.col("tokens")).withColumn("prefix", F.lit(""))
     at = work.put(at, "leaves")
     for digits in DIGITS:
         # Sums of the buckets in the open range; the share ends in the first one whose running sum exceeds what is open.
-        inside = docs.join(at, list(LEVELS)).withColumn("place", place(mix, F.col("epochs"), F.col("doc_id")))
+        inside = attach(docs, at, list(LEVELS), "doc_id").withColumn("place", place(mix, F.col("epochs"), F.col("doc_id")))
         inside = inside.where(F.col("place").startswith(F.col("prefix")))
         sums = inside.groupBy(*LEVELS, F.substr("place", F.length("prefix") + 1, F.lit(digits)).alias("digits")).agg(F.sum("n").alias("n"))
         run = sums.withColumn("run", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("digits"))).join(at.select(*LEVELS, "open"), list(LEVELS))
         end = run.where(F.col("run") > F.col("open")).groupBy(*LEVELS).agg(F.min(F.struct("digits", (F.col("run") - F.col("n")).alias("before"))).alias("end"))
         at = at.join(end, list(LEVELS), "left").withColumns({"prefix": F.concat("prefix", F.coalesce("end.digits", F.lit("~"))), "open": F.col("open") - F.coalesce("end.before", F.lit(0))}).drop("end")
         at = work.put(at, "leaves")
-    inside = docs.join(at, list(LEVELS)).withColumn("place", place(mix, F.col("epochs"), F.col("doc_id")))
-    run = inside.where(F.col("place").startswith(F.col("prefix"))).withColumn("run", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("place")))
+    inside = attach(docs, at, list(LEVELS), "doc_id").withColumn("place", place(mix, F.col("epochs"), F.col("doc_id")))
+    placed = inside.where(F.col("place").startswith(F.col("prefix"))).groupBy(*LEVELS, "place", "open").agg(F.sum("n").alias("n"))
+    run = placed.withColumn("run", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("place")))
     last = run.where(F.col("run") <= F.col("open")).groupBy(*LEVELS).agg(F.max("place").alias("last"))
     out = work.put(at.join(last, list(LEVELS), "left").select(*LEVELS, "tokens", "budget", "epochs", F.coalesce("last", "prefix").alias("cut")), "cuts")
     work.drop(docs)
@@ -123,7 +142,7 @@ def mixed(spark: SparkSession, df: DataFrame, mix: Mix) -> DataFrame:
     ends = cuts(spark, df, mix)
     rows = df.select(F.struct("*").alias("row"), *leaf(mix), F.col("doc_id").alias("__id"))
     more = (place(mix, F.col("epochs"), F.col("__id")) <= F.col("cut")) & (F.col("epochs") < mix.max_epochs)
-    x = rows.join(ends, list(LEVELS)).withColumn("copies", F.col("epochs") + more.cast("long"))
+    x = attach(rows, ends, list(LEVELS), "__id").withColumn("copies", F.col("epochs") + more.cast("long"))
     return x.where(F.col("copies") > 0).select("row", *LEVELS, "copies")
 
 
@@ -151,7 +170,7 @@ def sql(mix: Mix) -> str:
         w = f"CASE {w} ELSE 1 END" if w else "1"
         keys = ", ".join(levels)
         steps += [
-            f"n{k} AS (SELECT {keys}, CAST(sum(tokens) * {mix.max_epochs} AS BIGINT) AS room, CAST({w} AS BIGINT) AS w FROM leaves GROUP BY {keys})",
+            f"n{k} AS (SELECT {keys}, CAST(sum(tokens) * {mix.max_epochs} AS BIGINT) AS room, CAST({w} AS BIGINT) AS w FROM leaves GROUP BY {keys} HAVING {w} > 0)",
             f"""x{k} AS (SELECT *, budget - (sum(room) OVER near - room) AS lft, sum(w) OVER ({by}) - (sum(w) OVER near - w) AS rest, row_number() OVER near AS k
                 FROM n{k} {'JOIN b' + str(k) + ' USING (' + ', '.join(parent) + ')' if parent else 'CROSS JOIN b0'} WINDOW near AS ({by} ORDER BY CAST(room AS DOUBLE) / w, {child}))""",
             f"y{k} AS (SELECT *, min(CASE WHEN room > (lft * w) // rest THEN k END) OVER ({by}) AS stop FROM x{k})",

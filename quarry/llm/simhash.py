@@ -54,15 +54,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import Workspace, text_bytes
+from quarry.llm.common import SALTS, Workspace, text_bytes
 
 SHINGLE, SEED, TAU = 3, 42, 3
 #: Near copies: shingle, similarity, fingerprints of a text's word set, and the bits within which those are candidates.
 COPY_SHINGLE, SIMILARITY, KINDS, WORD_TAU = 5, 0.8, 3, 6
 #: Frequent shingles: share of texts to count (one in), the least count there, and the most that are listed.
 SAMPLED, FREQUENT, LISTED = 64, 4, 65_536
-#: Shingle sets that a task compares with each other, and parts over which a hot key is dealt.
-SETS, SALTS = 400, 256
+#: Shingle sets that a task compares with each other.
+SETS = 400
 #: Fingerprints of a bucket (or of a chunk of the grid) that one task compares with each other.
 BUCKET = 16_000
 #: Relative costs of sending a row and of comparing a pair.

@@ -93,7 +93,7 @@ def test_control_strings_of_texts_never_reach_the_output(spark):
     assert out.count("[INST]") == 1 and out.count("[/INST]") == 1 and out.count("</s>") == 1
 
 
-@pytest.mark.parametrize("mix", [mixing.Mix(max_epochs=1, budget=(9, 10)), mixing.Mix(budget=(5, 1)), mixing.Mix(budget=(0, 1)), mixing.Mix(weights={}, budget=(1, 3), seed=5)])
+@pytest.mark.parametrize("mix", [mixing.Mix(max_epochs=1, budget=(9, 10)), mixing.Mix(budget=(5, 1)), mixing.Mix(budget=(0, 1)), mixing.Mix(weights={}, budget=(1, 3), seed=5), mixing.Mix(weights={"domain": {"crawl": 0, "forum": 2}, "language": {"de": -3, "en": 7}, "origin": {"src3": 0}}), mixing.Mix(weights={"domain": {"crawl": 0, "forum": 0, "reference": 0}})])
 def test_mixes_like_duckdb(spark, data, mix):
     assert_same(spark, mixing.report(spark, spark.read.parquet(f"{data}/documents.parquet"), mix), mixing.sql(mix), connect(data))
 
@@ -107,6 +107,26 @@ def test_mixing_redistributes_among_siblings_first(spark):
     assert got == {"crawlen": 20, "crawlde": 180, "forumen": 200}  # of 205 each: en's shortage goes to de, not to forum
 
 
+def test_many_siblings_without_broadcast(spark, tmp_path):
+    """20,000 sources of many sizes, one with a third of all rows; no table is sent around. Against DuckDB."""
+    rows = [(k, "w " * (1 + k % 97), "en", "host0" if k % 3 == 0 else f"host{k}") for k in range(30_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    mix = mixing.Mix(weights={"origin": {"host0": 500, "host1": 3, "host2": 0}}, budget=(1, 2), max_epochs=1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert_same(spark, mixing.report(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), mix), mixing.sql(mix), connect(str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_mixing_null_and_repeated_ids_share_a_place(spark):
+    rows = [(None, "w " * 3, "en", "src0")] * 50 + [(7, "w", "en", "src0")] * 50 + [(k, "w w", "en", "src0") for k in range(100, 140)] + [(1, "long " * 100_000, "de", "src1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = Counter(r["doc_id"] for r in mixing.report(spark, df, mixing.Mix(weights={"language": {"de": 0}}, budget=(200, 100_280), max_epochs=1)).collect())
+    assert 1 not in got and got[None] in (0, 50) and got[7] in (0, 50)
+    assert sum({None: 3, 7: 1}.get(k, 2) * n for k, n in got.items()) <= 200
+
+
 def test_mixing_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, None, 1), (1, "a b", None, "src0", 2), (1, "a b", None, "src0", 3), (2, "", "en", None, 4)], "doc_id long, text string, lang string, source string, copies int")
     assert mixing.keep(spark, df, mixing.Mix(budget=(1, 1), max_epochs=1)).columns == df.columns
