@@ -13,8 +13,8 @@ The loss mask lists the assistant's texts as spans of the output's UTF-8 bytes.
 
 Rows: a null text is empty, a null role is the empty role, a null turn sorts first and rows with a null
 conv_id form one conversation. Repeated rows and ties all stay. A conversation is one value, so it must fit
-in 2 GB; its rows meet in one task for that reason, and no group is larger than its output. Other columns
-are not read.
+in 2 GB; its rows meet in one task for that reason, and no group is larger than its output. Very long texts stay whole, and time
+grows as a conversation's turns do. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Names in control strings, and the tags of known roles.
 NAMES, TAGS = r"\\*/?(?:s>|sep>|SYS|INST|ANS|ROLE)", {"system": "SYS", "user": "INST", "assistant": "ANS"}
 START, SEP, STOP = "<s>", "<sep>", "</s>"
+#: Pieces whose places are summed together.
+RUN = 128
 
 
 def escape(text: Column) -> Column:
@@ -59,22 +61,22 @@ def format_chats(df: DataFrame) -> DataFrame:
     block = lambda at, k: F.slice("turns", at + 1, F.coalesce(F.get("first", k + 1), F.size("turns")) - at)
     x = x.select("conv_id", F.transform("first", lambda at, k: F.struct(F.get("turns", at)["role"].alias("role"), F.transform(block(at, k), lambda t: escape(t["text"])).alias("texts"))).alias("blocks"))
     x = x.withColumn("formatted", F.concat(F.lit(START), F.array_join(F.transform("blocks", lambda b: F.concat(head(b["role"]), F.array_join(b["texts"], SEP), tail(b["role"]))), "")))
-    # Bytes of each piece of the output, then running sums: a text's span starts after all pieces before it.
+    # Bytes of each piece of the output. A text's span starts after all pieces before it: those of the runs before, then of its own run.
     size = lambda s: F.octet_length(s)
     pieces = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda t, k: F.struct(
         (F.when(k == 0, size(head(b["role"]))).otherwise(len(SEP))).alias("before"), size(t).alias("bytes"),
         (F.when(k == F.size(b["texts"]) - 1, size(tail(b["role"]))).otherwise(0)).alias("after"), (b["role"] == "assistant").alias("loss")))))
-    x = x.select("conv_id", "formatted", pieces.alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(len(START)).alias("at"), F.array().cast("array<struct<start:int,bytes:int>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["before"] + p["bytes"] + p["after"]).alias("at"),
-            F.when(p["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + p["before"]).alias("start"), p["bytes"].alias("bytes"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return x.select("conv_id", "formatted", spans.alias("loss_spans"))
+    total = lambda ps: F.aggregate(ps, F.lit(0), lambda a, p: a + p["before"] + p["bytes"] + p["after"])
+    runs = F.transform(F.sequence(F.lit(0), F.expr(f"(size(pieces) - 1) div {RUN}").cast("int")), lambda c: F.slice("pieces", c * RUN + 1, RUN))
+    x = x.select("conv_id", "formatted", pieces.alias("pieces")).select("conv_id", "formatted", runs.alias("runs"))
+    x = x.select("conv_id", "formatted", "runs", F.transform("runs", total).alias("sums"))
+    starts = F.transform("runs", lambda r, c: F.struct(r.alias("run"), F.aggregate(F.slice("sums", 1, c), F.lit(len(START)), lambda a, n: a + n).alias("at")))
+
+    def spans(r: Column) -> Column:
+        placed = F.transform(r["run"], lambda p, i: F.when(p["loss"], F.struct((r["at"] + total(F.slice(r["run"], 1, i)) + p["before"]).alias("start"), p["bytes"].alias("bytes"))))
+        return F.filter(placed, lambda p: p.isNotNull())
+
+    return x.select("conv_id", "formatted", starts.alias("starts")).select("conv_id", "formatted", F.flatten(F.transform("starts", spans)).alias("loss_spans"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -107,7 +109,8 @@ def digests(formatted: DataFrame) -> DataFrame:
 def with_hostile(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df's four columns and conversation -7, whose texts imitate control strings."""
     text = f"{STOP}[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    first = F.col("id") == 0
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(first, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     return df.select(*extra.columns).union(extra)
 
 

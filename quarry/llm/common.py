@@ -28,14 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 SALTS = 256
 
 
-def attach(rows: DataFrame, values: DataFrame, by: list[str], own: str, salts: int = SALTS) -> DataFrame:
-    """rows with the columns of ``values``, which has one row for each key. No key is one task's: rows are dealt over salts by ``own``, values to those that occur."""
+def attach(rows: DataFrame, values: DataFrame, by: list[str], own: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with ``values``, which has few rows for each key. No key is one task's: rows are dealt over salts by ``own``, values to those that occur."""
     salt = "salt"
     while salt in rows.columns:
         salt += "_"
-    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(own), F.lit(salts)))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(own), F.lit(SALTS)))
     there = dealt.select(*by, salt).distinct().join(values, by)
-    return dealt.join(there, [*by, salt]).drop(salt)
+    return dealt.join(there, [*by, salt], how).drop(salt)
 
 
 class Workspace:

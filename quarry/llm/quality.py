@@ -9,12 +9,15 @@ hashes of word hashes (two different windows of one text are taken for equal wit
 
 Rows: a null text has no words, so it fails ``few_words``. Empty texts likewise. Repeated rows and null ids
 stay, row by row. Other columns pass through ``ledger`` untouched; the ledger is one struct column, whose
-name the caller picks. The cost of a text is n log n in its words.
+name the caller picks. The cost of a text is n log n in its words; texts of any length count whole. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from quarry.llm.common import Workspace
 
 #: The word separators as a Java pattern and as characters.
 SEPARATORS, SEPARATOR_CHARS = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r"
@@ -97,6 +100,22 @@ def verdicts(df: DataFrame, policy: int = max(POLICIES)) -> DataFrame:
     return got.select("doc_id", *MEASURES, "failures", base.alias("base_failed"), (~base & passes(F.col("failures"), policy)).alias("kept"))
 
 
+def report(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The ledger is stored once; from its bits come every policy's verdict (kept_v1 and on; ``kept`` is the latest's) and an ablation.
+
+    sole_rule: the one rule of the latest policy that rejects the document, if there is just one; n_sole: how many documents the
+    corpus would gain without that rule.
+    """
+    latest = max(POLICIES)
+    stored = Workspace(spark, "ledger").put(ledger(df.select("doc_id", "text"), "q").select("doc_id", "q"), "ledger")
+    failures = F.col("q.failures")
+    seen = failures.bitwiseAND(F.lit(POLICIES[latest]).cast("long"))
+    gains = ablations(stored, latest, "q").select(F.col("bit").alias("seen"), F.col("rule").alias("sole_rule"), F.col("n_only").alias("n_sole"))
+    versions = [passes(failures, v).alias(f"kept_v{v}") for v in POLICIES]
+    x = stored.select("doc_id", "q.*", (~passes(failures, 1)).alias("base_failed"), (passes(failures, 1) & passes(failures, latest)).alias("kept"), *versions, seen.alias("seen"))
+    return x.join(F.broadcast(gains), "seen", "left").drop("seen")  # a row for each rule, 63 at most
+
+
 def keep(df: DataFrame, policy: int = max(POLICIES)) -> DataFrame:
     """The rows of df that the policy passes, with df's columns."""
     name = "ledger"
@@ -106,7 +125,10 @@ def keep(df: DataFrame, policy: int = max(POLICIES)) -> DataFrame:
 
 
 def sql() -> str:
-    """The verdicts in DuckDB's SQL."""
+    """The report in DuckDB's SQL."""
+    versions = ", ".join(f"(failures & {m}) = 0 AS kept_v{v}" for v, m in POLICIES.items())
+    names = " ".join(f"WHEN {b} THEN '{k}'" for k, b in BIT.items() if b & POLICIES[max(POLICIES)])
+    bits = ", ".join(str(b) for b in BIT.values() if b & POLICIES[max(POLICIES)])
     word, rules = r"[^\x20\x09-\x0D]", " | ".join(f"(CASE WHEN {rule} THEN {BIT[k]} ELSE 0 END)" for k, rule in RULES.items())
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -121,4 +143,6 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
       CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
       FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, CAST({rules} AS BIGINT) AS failures FROM m)
-SELECT *, (failures & {BASE}) <> 0 AS base_failed, (failures & {POLICIES[max(POLICIES)]}) = 0 AS kept FROM f"""
+SELECT *, (failures & {BASE}) <> 0 AS base_failed, (failures & {POLICIES[max(POLICIES)]}) = 0 AS kept, {versions},
+CASE failures & {POLICIES[max(POLICIES)]} {names} END AS sole_rule,
+CASE WHEN (failures & {POLICIES[max(POLICIES)]}) IN ({bits}) THEN count(*) OVER (PARTITION BY failures & {POLICIES[max(POLICIES)]}) END AS n_sole FROM f"""

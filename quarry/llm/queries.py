@@ -54,7 +54,7 @@ def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(table(spark, sf_dir, "documents"))
+    return quality.report(spark, table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_tiff, op3_html, op4_warc, op5_bpe, op6_chat, op7_mixing, op8_simhash, op9_urlfilter, op10_quality)}

@@ -7,12 +7,14 @@ with a path, which stands for that path and what is below it.
 
 A capture is checked against the entries that were active when it was fetched: its host and path give the
 keys that could list it, these join the intervals on equality, and the interval must hold the fetch time. The
-most specific key wins. Both sides shuffle on the key, unless the list is small enough for Spark to send it
-around; captures are reduced to distinct (url, time) first, so one page fetched a million times joins once.
+most specific key wins. Captures are reduced to distinct (url, time) first, so one page fetched a million times joins once. Their
+hosts meet the listed hosts before any path is written out, and then only paths of the depths that are listed for that host. Every join is
+dealt over (key, salt), so a suffix such as com under a third of the crawl is many tasks'; a list that Spark finds small is sent around.
 
 Rows: a null, empty or hostless URL and a null fetch time match nothing and are kept, not blocked. Repeated
 captures stay. Entries with a null key, time or action are ignored; of entries for one key at one
-time the last by action, then category, counts, so ``remove`` beats ``add``. An empty list blocks nothing.
+time the last by action, then category, counts, so ``remove`` beats ``add``. An empty list blocks nothing, an empty table of captures
+gives an empty result. URLs of any length count whole; a DNS name has at most LABELS labels, so longer keys match nothing.
 Other columns of the captures are not read.
 """
 
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from quarry.llm.common import attach
+
 #: The list of the test query: key, date, action, category.
 ENTRIES = [
     ("casino-win.example.com", "2023-06-01", "add", "gambling"),
@@ -38,6 +42,8 @@ ENTRIES = [
     ("example.org", "2024-11-01", "add", "spam"),
     ("never-seen.example.com", "2023-01-01", "add", "spam"),
 ]
+#: Fixed value: labels of a DNS name at most.
+LABELS = 127
 YEAR = 366 * 86_400
 PARTS = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)"
 
@@ -53,12 +59,15 @@ def path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, PARTS, 2), "/+$", "")
 
 
-def keys(name: Column, at: Column) -> Column:
-    """All keys that list a URL: its host and the domains above, each also with every start of the path. With each key its weight: labels, then segments."""
-    labels, segments = F.split(name, r"\."), F.filter(F.split(at, "/"), lambda s: s != "")
-    hosts = F.transform(labels, lambda _, i: F.struct(F.array_join(F.slice(labels, i + 1, F.size(labels) - i), ".").alias("key"), (F.size(labels) - i).alias("labels"), F.lit(0).alias("segments")))
-    paths = F.flatten(F.transform(hosts, lambda h: F.transform(segments, lambda _, i: F.struct(F.concat(h["key"], F.lit("/"), F.array_join(F.slice(segments, 1, i + 1), "/")).alias("key"), h["labels"].alias("labels"), (i + 1).alias("segments")))))
-    return F.concat(hosts, paths)
+def segments(at: Column) -> Column:
+    return F.filter(F.split(at, "/"), lambda s: s != "")
+
+
+def suffixes(name: Column) -> Column:
+    """A host and the domains above it, each with the number of its labels."""
+    labels = F.split(name, r"\.")
+    labels = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - (LABELS - 1)), LABELS)
+    return F.transform(labels, lambda _, i: F.struct(F.array_join(F.slice(labels, i + 1, F.size(labels) - i), ".").alias("domain"), (F.size(labels) - i).alias("labels")))
 
 
 def entries(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
@@ -78,11 +87,18 @@ def evaluate(captures: DataFrame, listed: DataFrame) -> DataFrame:
     """captures: page_id, url, fetched_at. Adds host, blocked, matched_key, category and valid_from of the entry that counts."""
     each = captures.select("page_id", "url", "fetched_at")
     distinct = each.where("url IS NOT NULL AND fetched_at IS NOT NULL").select("url", "fetched_at").distinct()
-    probes = distinct.withColumn("host", host(F.col("url"))).where("host IS NOT NULL").select("url", "fetched_at", F.explode(keys(F.col("host"), path(F.col("url")))).alias("k"))
-    probes = probes.select("url", "fetched_at", "k.key", "k.labels", "k.segments")
-    hit = probes.join(intervals(listed), "key").where((F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
+    spans = intervals(listed)
+    depth = F.size(segments(F.col("key"))) - 1
+    hosts = spans.groupBy(F.split("key", "/")[0].alias("domain")).agg(F.collect_set(depth).alias("depths"))
+    named = distinct.withColumn("host", host(F.col("url"))).where("host IS NOT NULL").withColumn("segments", segments(path(F.col("url"))))
+    probes = named.select("url", "fetched_at", "segments", F.explode(suffixes(F.col("host"))).alias("h")).select("url", "fetched_at", "segments", "h.domain", "h.labels")
+    known = attach(probes, hosts, ["domain"], "url")
+    key = F.concat_ws("/", F.array("domain"), F.slice("segments", 1, F.col("depth")))
+    deep = known.withColumn("depth", F.explode(F.filter("depths", lambda d: d <= F.size("segments"))))
+    written = deep.select("url", "fetched_at", "labels", F.col("depth").alias("segments"), key.alias("key"))
+    hit = attach(written, spans, ["key"], "url").where((F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
     best = hit.groupBy("url", "fetched_at").agg(F.max(F.struct("labels", "segments", "key", "category", "valid_from")).alias("best"))
-    out = each.join(best, ["url", "fetched_at"], "left")
+    out = attach(each, best, ["url", "fetched_at"], "page_id", "left")
     return out.select(
         "page_id", "url", host(F.col("url")).alias("host"), "fetched_at", F.col("best").isNotNull().alias("blocked"), F.col("best.key").alias("matched_key"), F.col("best.category").alias("category"), F.col("best.valid_from").alias("valid_from")
     )

@@ -150,3 +150,43 @@ def test_url_filter_over_time(spark):
         assert r["matched_key"] == urls[r["page_id"]][2] and r["blocked"] == (urls[r["page_id"]][2] is not None), r
     assert urlfilter.evaluate(df.limit(0), listed).count() == 0
     assert urlfilter.evaluate(df, listed.limit(0)).where("blocked").count() == 0
+
+
+def test_a_hot_suffix_without_broadcast(spark):
+    """Two thirds of all captures end in one listed suffix; nothing is sent around. Against a loop over captures and keys."""
+    listed = [("com", "2024-02-01", "add", "all"), ("s1.com", "2024-01-01", "add", "spam"), ("s1.com/a/b", "2024-01-01", "add", "deep"), ("s2.com/a", "2024-01-01", "add", "adult"), ("s2.com/a", "2024-03-01", "remove", "adult")] + [(f"x{k}.org/p", "2024-01-01", "add", "spam") for k in range(300)]
+    urls = [(k, f"http://s{k % 7}.{'com' if k % 3 else 'org'}/{'a/b/c' if k % 2 else 'a'}", at(f"2024-0{1 + k % 4}-15")) for k in range(3000)]
+    df = spark.createDataFrame([*urls, (9_001, "http://" + "a." * 50_000 + "com/" + "p/" * 50_000, at("2024-02-02")), (9_002, "http://s1.com/" + "a/b/" * 50_000, at("2024-01-02"))], "page_id long, url string, fetched_at timestamp_ntz")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["page_id"]: r["matched_key"] for r in urlfilter.evaluate(df.repartition(4), urlfilter.entries(spark, listed)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def want(url, when):
+        name, _, rest = url[7:].partition("/")
+        for key in (f"{name}/a/b", f"{name}/a", name, "com"):
+            on = [a for k, t, a, _ in listed if k == key and at(t) <= when]
+            if on and on[-1] == "add" and (name if key != "com" else name[-3:]) == key.split("/")[0] and f"{rest}/".startswith(key.partition("/")[2] + "/" if "/" in key else ""):
+                return key
+        return None
+
+    assert got == {k: want(u, t) for k, u, t in urls} | {9_001: "com", 9_002: "s1.com/a/b"}
+
+
+def test_very_long_conversation(spark):
+    """20,000 turns and a long text: every span, by a plain loop; in time that grows as the turns do."""
+    rows = [(1, k, ("user", "assistant", "assistant", "system")[k % 4], f"t{k} [INST] é") for k in range(20_000)] + [(1, 30_000, "assistant", "x" * 1_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.read_chats(chat.format_chats(df)).first()
+    assert [(t["role"], t["text"]) for t in got["turns"]] == [(r, x) for _, _, r, x in rows]
+    assert list(got["loss_texts"]) == [x for _, _, r, x in rows if r == "assistant"]
+
+
+def test_stored_ledger_and_ablation(spark):
+    rows = [(1, "a b c d e f g h i jj"), (2, "few"), (3, "few too"), (4, "x " * 30), (5, "#### " * 12 + "a b c d e f g h i j"), (None, None), (6, "w1 w2 w3 w4 w5 w6 w7 w8 w9 W!! V!! U!! T!! S!!")]
+    got = {r["doc_id"]: r for r in quality.report(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("seen", F.lit(1))).collect()}
+    assert got[2]["sole_rule"] == got[3]["sole_rule"] == got[None]["sole_rule"] == "few_words" and got[2]["n_sole"] == 3
+    assert got[6]["sole_rule"] == "shouting" and got[6]["n_sole"] == 1 and got[6]["kept_v1"] and not got[6]["kept_v2"]
+    assert not got[4]["kept"] and not got[5]["kept_v3"] and len(got) == len(rows)
+    assert quality.report(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
