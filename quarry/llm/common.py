@@ -29,7 +29,13 @@ SALTS = 256
 
 
 def attach(rows: DataFrame, values: DataFrame, by: list[str], own: str, how: str = "inner") -> DataFrame:
-    """rows joined (inner or left) with ``values``, which has few rows for each key. No key is one task's: rows are dealt over salts by ``own``, values to those that occur."""
+    """rows joined (inner or left) with ``values``, which has few rows for each key. No key is one task's: rows are dealt over salts by ``own``, values to those that occur.
+
+    Where Spark's own size of ``values`` lets it send them around, it's a plain join, and rows stay where they are.
+    """
+    session = rows.sparkSession._jsparkSession.sessionState().conf()
+    if int(values._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= session.autoBroadcastJoinThreshold():
+        return rows.join(values, by, how)
     salt = "salt"
     while salt in rows.columns:
         salt += "_"

@@ -81,7 +81,7 @@ def _deal(work: Workspace, nodes: DataFrame, parent: list[str], child: str, weig
     whole = Window.partitionBy(*(parent or [F.lit(0)]))
     to = whole.orderBy("band")
     sums = sums.select(*parent, "band", (F.sum("band_room").over(to) - F.col("band_room")).alias("room_before"), (F.sum("band_w").over(whole) - F.sum("band_w").over(to) + F.col("band_w")).alias("w_from"))
-    x = attach(x, sums, [*parent, "band"], child)
+    x = attach(x, work.put(sums, "bands"), [*parent, "band"], child)
     near = Window.partitionBy(*parent, "band").orderBy("ratio", child)
     left = F.col("budget") - F.col("room_before") - (F.sum("room").over(near) - F.col("room"))
     rest = F.col("w_from") - (F.sum("w").over(near) - F.col("w"))
@@ -89,8 +89,10 @@ def _deal(work: Workspace, nodes: DataFrame, parent: list[str], child: str, weig
     x = work.put(x.withColumn("full", F.col("room") <= F.expr("(left * w) div rest")), "nodes")
     # The first that isn't full sets the level for itself and all after it.
     stop = F.min(F.when(~F.col("full"), F.struct("ratio", F.col(child).alias("child"), "left", "rest"))).alias("level")
-    levels = x.groupBy(*(parent or [F.lit(0).alias("root")])).agg(stop)
-    x = attach(x, levels, parent, child) if parent else x.withColumn("root", F.lit(0)).join(levels, "root")
+    if parent:
+        x = attach(x, work.put(x.groupBy(*parent).agg(stop), "levels"), parent, child)
+    else:  # a few domains
+        x = x.withColumn("level", F.min(F.when(~F.col("full"), F.struct("ratio", F.col(child).alias("child"), "left", "rest"))).over(whole))
     before = F.col("level").isNull() | (F.struct("ratio", F.col(child).alias("child")) < F.struct("level.ratio", F.col("level.child").alias("child")))
     return x.select(*parent, child, F.when(before, F.col("room")).otherwise(F.expr("(level.left * w) div level.rest")).alias("budget"))
 

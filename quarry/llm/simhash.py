@@ -23,16 +23,18 @@ Components come from alternating large-star and small-star rounds over edges wri
 of 0.8 or more, all of them. Candidates come from two sources, and their shingle sets are compared exactly:
 
 1. Each text has KINDS fingerprints of its set of words (an edit changes one word, but five shingles), of the same
-   word hashes mixed differently. Those within WORD_TAU bits in any kind give candidate groups. Groups of the same
-   members under several kinds are compared once. A group of at most SETS texts meets in one task, all its pairs that
-   share a shingle of their prefixes. A larger one is dealt into chunks of about SETS; of each chunk's linked texts one goes on to
-   the next round, so every set moves once and the few that represent others once more; no set is copied to many tasks.
-2. Pairs in no common group, and pairs of a large group that its rounds have not linked, come from an exact prefix
-   filter: in any fixed order of all shingles, two sets of that similarity share one of their first n - ceil(0.8 n) + 1,
-   and the first that they share leaves enough after it in both. The order is by hash, with shingles that are frequent in a
-   sample of texts last; which those are changes the cost, not the result. Shingles of that list whose texts aren't all of
-   one group are split over the grid. Counts of each set's shingles by their last bits bound what two sets can share,
-   which drops most other pairs.
+   word hashes mixed differently. Texts within WORD_TAU bits in any kind are of one candidate group.
+2. What these leave apart comes from an exact prefix filter: in any fixed order of all shingles, two sets of that similarity
+   share one of their first n - ceil(0.8 n) + 1, and the first that they share leaves enough after it in both. The order is by
+   hash, with shingles that are frequent in a sample of texts last; which those are changes the cost, not the result. Shingles of
+   that list whose texts aren't all of one group are split over the grid. Counts of each set's shingles by their last bits bound
+   what two sets can share, which drops most other pairs. Pairs that pass join the groups of their texts, first those of near
+   neighbours by size, then all that are still apart: so many texts that are alike make as many rows, not pairs.
+
+So texts of the similarity are of one candidate group. A group of at most SETS texts meets in one task, which compares all its
+pairs that share a shingle of their prefixes. A larger one is dealt into chunks of about SETS; of each chunk's linked texts
+one goes on to the next round, so every set moves once and the few that represent others once more. What the rounds
+leave apart is found by the same filter on verified groups, neighbours first, and compared pair by pair.
 
 A node with a third of all links, or a component with a third of all texts, is dealt over SALTS (``with_least``).
 
@@ -54,7 +56,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import SALTS, Workspace, text_bytes
+from quarry.llm.common import SALTS, Workspace, attach, text_bytes
 
 SHINGLE, SEED, TAU = 3, 42, 3
 #: Near copies: shingle, similarity, fingerprints of a text's word set, and the bits within which those are candidates.
@@ -63,6 +65,8 @@ COPY_SHINGLE, SIMILARITY, KINDS, WORD_TAU = 5, 0.8, 3, 6
 SAMPLED, FREQUENT, LISTED = 64, 4, 65_536
 #: Shingle sets that a task compares with each other.
 SETS = 400
+#: Rows of a shingle's list, in order of size, that each is compared with before all are.
+NEIGHBOURS = 4
 #: Fingerprints of a bucket (or of a chunk of the grid) that one task compares with each other.
 BUCKET = 16_000
 #: Relative costs of sending a row and of comparing a pair.
@@ -464,21 +468,22 @@ def prefixes(df: DataFrame, frequent: tuple[np.ndarray, np.ndarray], sets: bool
     return rows.mapInArrow(run, "digest string, size int, rare int, sketch binary, keys array<long>")
 
 
-def prefix_matches(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket's rows, in order of size, of different roots and with enough left in both from the shared shingle on."""
+def prefix_matches(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, reach: int = 0, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's rows, in order of size, of different roots and with enough left in both from the shared shingle on; with ``reach`` only so near."""
     left = size - pos
     for at in range(0, len(node), block):
         end = min(at + block, len(node))
         last = int(np.searchsorted(size, size[end - 1] / SIMILARITY + 1e-9, "right"))
+        last = min(last, end + reach) if reach else last
         a, b = np.arange(at, end)[:, None], np.arange(at, last)[None, :]
         need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (size[a] + size[b]) - 1e-9)
-        near = (a < b) & (root[a] != root[b]) & (np.minimum(left[a], left[b]) >= need) & ((side[a] != side[b]) | (side[a] < 0))
+        near = (a < b) & (b - a <= (reach or len(node))) & (root[a] != root[b]) & (np.minimum(left[a], left[b]) >= need) & ((side[a] != side[b]) | (side[a] < 0))
         i, j = np.nonzero(near)
         yield node[i + at], node[j + at]
 
 
-def compare_prefixes(rows: DataFrame) -> DataFrame:
-    """rows: bucket, node, root, size, pos and side. Pairs u < v of nodes that may be similar."""
+def compare_prefixes(rows: DataFrame, reach: int = 0) -> DataFrame:
+    """rows: bucket, node, root, size, pos and side. Pairs u < v of nodes that may be similar; with ``reach`` only of near neighbours by size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def matches(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -487,7 +492,7 @@ def compare_prefixes(rows: DataFrame) -> DataFrame:
             several = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
             found = []
             for s, e in zip(start[several].tolist(), end[several].tolist(), strict=True):
-                for u, v in prefix_matches(*(c[s:e] for c in columns)):
+                for u, v in prefix_matches(*(c[s:e] for c in columns), reach):
                     if len(u):
                         found.append((np.minimum(u, v), np.maximum(u, v)))
                     if sum(len(u) for u, _ in found[-64:]) > 100_000:
@@ -514,27 +519,32 @@ def compare_prefixes(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def prefix_pairs(work: Workspace, each: DataFrame, roots: DataFrame) -> DataFrame:
-    """u, v: pairs of texts with different roots that may be similar, by the prefix filter. each: prefixes(); roots: digest, node and root."""
-    each = each.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("size", "rare", "sketch", "keys")))  # of one text all alike
-    table = work.put(each.join(roots, "digest").drop("digest"), "prefixes")
+def prefix_table(work: Workspace, each: DataFrame) -> DataFrame:
+    """A row for each text of prefixes(), with its node."""
+    one = each.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("size", "rare", "sketch", "keys")))  # of one text all alike
+    return work.put(one.withColumn("node", F.xxhash64("digest")), "prefixes")
+
+
+def prefix_pairs(work: Workspace, each: DataFrame, roots: DataFrame, reach: int = 0) -> DataFrame:
+    """u, v: pairs of texts with different roots that may be similar, by the prefix filter. each: prefix_table(); roots: node and root."""
+    table = each.drop("digest").join(roots.hint("merge"), "node")
     rows = table.select("node", "root", "size", "rare", F.posexplode("keys").alias("pos", "key"))
     frequent = rows.where("pos >= rare")
     mixed = frequent.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
     columns = ["node", "root", "size", "pos"]
     cells = grid(frequent.join(mixed, "key"), F.col("key"), F.col("n"), F.col("node"), BUCKET, *columns).select("bucket", "side", *columns)
     rare = rows.where("pos < rare").select(F.col("key").alias("bucket"), F.lit(-1).alias("side"), *columns)
-    found = work.put(compare_prefixes(rare.union(cells)).distinct(), "pairs")
+    found = work.put(compare_prefixes(rare.union(cells), reach).distinct(), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [may_reach(a, b, n) for a, b, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    u, v = (table.select(F.col("node").alias(e), F.col("sketch").alias(f"{e}_sketch"), F.col("size").alias(f"{e}_size")) for e in "uv")
+    u, v = (each.select(F.col("node").alias(e), F.col("sketch").alias(f"{e}_sketch"), F.col("size").alias(f"{e}_size")) for e in "uv")
     both = found.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "u_sketch", "v_sketch", (F.col("u_size") + F.col("v_size")).alias("sizes"))
     out = work.put(both.mapInArrow(run, "u long, v long"), "pairs")
-    work.drop(table, found)
+    work.drop(found)
     return out
 
 
@@ -643,29 +653,28 @@ def linked_sets(work: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]
 def similar_texts(work: Workspace, df: DataFrame, docs: DataFrame) -> DataFrame:
     """A row for each distinct text: digest, its smallest doc_id ``first`` and its group. docs: fingerprints of df's word sets."""
     columns = fingerprint_columns(KINDS)
-    texts = work.put(docs.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in columns)), "texts")
+    texts = work.put(docs.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in columns)).withColumn("node", F.xxhash64("digest")), "texts")
     links = link(work, [texts.select(F.col(c).alias("fp")).distinct() for c in columns], WORD_TAU)
-    found = stars(work, links)
-    roots = found.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    # Without words a text's fingerprints are all zero, which counts once.
-    each = texts.select("digest", "first", F.explode(F.array_distinct(F.array(*columns))).alias("fp"))
-    named = work.put(each.join(roots, "fp", "left").select("digest", "first", F.coalesce("root", "fp").alias("root")), "named")
-    # Kinds often find the same group: one name for the same members, so they are compared once.
-    members = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("digest")), F.bit_xor(F.xxhash64("digest", F.lit(1))))
-    many = named.groupBy("root").agg(F.count("*").alias("n"), members.alias("group")).where("n > 1")
-    in_groups = named.join(many, "root").select("digest", "first", F.col("group").alias("root"), "n")
-    # Pairs of the prefix filter that are in no group together are groups of two.
-    by_node = lambda x: x.withColumn("node", F.xxhash64("digest"))
+    # A text ties its fingerprints of all kinds together, so its group is one, by whichever kind it was found.
+    ties = texts.select(F.explode(F.array_distinct(F.array(*(F.struct(F.least("fp", c).alias("u"), F.greatest("fp", c).alias("v")) for c in columns[1:])))).alias("t")).select("t.*").where("u <> v")
+    found = stars(work, links.union(ties))
+    named = texts.select("node", "fp").join(found.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
+    roots = work.put(named.select("node", F.coalesce("root", "fp").alias("root")).dropDuplicates(["node"]), "roots")
+    work.drop(links, found)
     frequent = frequent_shingles(df)
-    main = by_node(texts).select("digest", "node", "fp").join(roots, "fp", "left")
-    pairs = prefix_pairs(work, prefixes(df, frequent), main.select("digest", "node", F.coalesce("root", "fp").alias("root")))
-    all_roots = by_node(named).groupBy("node", "digest", "first").agg(F.collect_set("root").alias("roots"))
-    ends = [all_roots.select(F.col("node").alias(end), F.struct("digest", "first").alias(f"{end}_text"), F.col("roots").alias(f"{end}_roots")) for end in "uv"]
-    apart = pairs.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v").where(~F.arrays_overlap("u_roots", "v_roots"))
-    twos = apart.select(F.explode(F.array("u_text", "v_text")).alias("t"), F.xxhash64("u", "v").alias("root")).select("t.digest", "t.first", "root", F.lit(2).cast("long").alias("n"))
-    placing = F.collect_set(F.struct("root", "n")).alias("groups")
-    candidates = work.put(in_groups.union(twos).groupBy("digest", "first").agg(placing), "candidates")
-    work.drop(links, found, named, pairs)
+    table = prefix_table(work, prefixes(df, frequent))
+    for reach in (NEIGHBOURS, 0):
+        pairs = prefix_pairs(work, table, roots, reach)
+        of = [roots.select(F.col("node").alias(e), F.col("root").alias(f"{e}_root")) for e in "uv"]
+        apart = pairs.join(of[0].hint("merge"), "u").join(of[1].hint("merge"), "v").select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct()
+        found = stars(work, work.put(apart, "apart"))
+        wider = work.put(roots.join(found.select(F.col("u").alias("root"), F.col("v").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        work.drop(pairs, found, roots)
+        roots = wider
+    work.drop(table)
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    grouped = attach(roots, work.put(sizes, "sizes"), ["root"], "node")
+    candidates = work.put(texts.select("node", "digest", "first").join(grouped.hint("merge"), "node").select("digest", "first", F.array(F.struct("root", "n")).alias("groups")), "candidates")
     # A candidate's text is that of its first row; where a doc_id is null or repeated, the digest tells the right one.
     # Candidates grow with the corpus: both sides meet by a sorted shuffle at every size, never by a broadcast.
     digested = text_bytes(df, "doc_id").withColumn("own", digest_of(F.col("text")))
@@ -674,7 +683,7 @@ def similar_texts(work: Workspace, df: DataFrame, docs: DataFrame) -> DataFrame:
     edges, large = linked_sets(work, sets)
     if not large.isEmpty():
         edges = more_links(work, sets.join(large, "node", "left_semi").dropDuplicates(["node"]), edges, frequent)
-    work.drop(candidates, sets, large)
+    work.drop(candidates, sets, large, roots)
     found = stars(work, edges)
     out = work.put(texts.join(found.select(F.col("u").alias("digest"), "v"), "digest", "left").select("digest", "first", F.coalesce("v", "digest").alias("group")), "groups")
     work.drop(texts, edges, found)
@@ -682,18 +691,20 @@ def similar_texts(work: Workspace, df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def more_links(work: Workspace, sets: DataFrame, edges: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """edges and links of all pairs of these sets that edges don't connect: the prefix filter's, compared one by one."""
-    found = stars(work, edges)
-    own = sets.select(F.col("node").alias("digest"), "hashes")
-    roots = own.select("digest").join(found.select(F.col("u").alias("digest"), "v"), "digest", "left")
-    roots = roots.select("digest", F.xxhash64("digest").alias("node"), F.xxhash64(F.coalesce("v", "digest")).alias("root"))
-    pairs = prefix_pairs(work, prefixes(own, frequent, sets=True), roots)
-    of = sets.select("node", F.xxhash64("node").alias("key"), "hashes")
-    placed = pairs.select(F.xxhash64("u", "v").alias("by"), F.explode(F.array("u", "v")).alias("key")).join(of.hint("merge"), "key")
-    links = compare_sets(placed.select(F.col("by").alias("bucket"), "by", F.lit(False).alias("part"), "node", "hashes"))
-    out = work.put(edges.union(links.select("u", "v")).distinct(), "edges")
-    work.drop(found, pairs, edges)
-    return out
+    """edges and links of all pairs of these sets that edges don't connect: the prefix filter's, neighbours first, compared one by one."""
+    own = work.put(sets.select("node", F.xxhash64("node").alias("key"), "hashes"), "large-sets")
+    table = prefix_table(work, prefixes(own.select(F.col("node").alias("digest"), "hashes"), frequent, sets=True))
+    for reach in (NEIGHBOURS, 0):
+        found = stars(work, edges)
+        roots = own.select("node", "key").join(found.select(F.col("u").alias("node"), "v"), "node", "left").select(F.col("key").alias("node"), F.xxhash64(F.coalesce("v", "node")).alias("root"))
+        pairs = prefix_pairs(work, table, roots, reach)
+        placed = pairs.select(F.xxhash64("u", "v").alias("by"), F.explode(F.array("u", "v")).alias("key")).join(own.hint("merge"), "key")
+        links = compare_sets(placed.select(F.col("by").alias("bucket"), "by", F.lit(False).alias("part"), "node", "hashes"))
+        out = work.put(edges.union(links.select("u", "v")).distinct(), "edges")
+        work.drop(found, pairs, edges)
+        edges = out
+    work.drop(own, table)
+    return edges
 
 
 def similar_groups(spark: SparkSession, df: DataFrame) -> DataFrame:
