@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Spark's setting to delete a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Parts over which the rows of a hot key are dealt.
 SALTS = 256
 
@@ -53,7 +55,12 @@ class Workspace:
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")  # what was shuffled for this table isn't read again
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         if self.n == 1:  # what no one drops goes with the driver's process
             top = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
             top.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(top)
