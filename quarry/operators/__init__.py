@@ -33,18 +33,29 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str
 def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
     """Points in [start, end) of spans: an equality join on buckets of ``width``, then the exact condition.
 
-    A span is copied to each bucket it touches, so a width near the usual length of spans is right. A pair meets in
-    the point's bucket alone, so nothing comes twice. Null bounds and points match nothing; an empty span neither.
+    A span longer than ``width`` goes to a level of wider buckets, so it's copied to two or three whatever its length; a point probes
+    each level that occurs. A width near the usual length of spans is right. A pair meets in one bucket alone, so nothing comes twice. Null bounds and points match nothing; an empty span neither.
     """
     if width <= 0:
         raise ValueError("width must be positive")
-    bucket = lambda c: F.floor(c.cast("double") / width).cast("long")
-    cut = spans.where(F.col(start) < F.col(end)).withColumn("__b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
-    return points.withColumn("__b", bucket(F.col(at))).join(cut, "__b").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__b")
+    # A span of up to width lies in two buckets of level 0 at most, one of up to 16 times that in two of level 1, and so on.
+    x, y = "span_level", "span_bucket"
+    if {x, y} & {*points.columns, *spans.columns}:
+        raise ValueError(f"range_join makes columns {x} and {y}")
+    size = lambda level: F.lit(float(width)) * F.pow(F.lit(16.0), level)
+    bucket = lambda c, level: F.floor(c.cast("double") / size(level))
+    long = F.greatest(F.lit(1.0), (F.col(end).cast("double") - F.col(start).cast("double")) / width)
+    cut = spans.where(F.col(start) < F.col(end)).withColumn(x, F.ceil(F.log2(long) / 4).cast("int"))
+    cut = cut.withColumn(y, F.explode(F.sequence(bucket(F.col(start), F.col(x)), bucket(F.col(end), F.col(x)))))
+    levels = [r[0] for r in cut.select(x).distinct().collect()]  # a few: a double has no more than 512 steps of 16
+    each = points.withColumn(x, F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn(y, bucket(F.col(at), F.col(x)))
+    return each.join(cut, [x, y]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop(x, y)
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group. Spark cuts each task's groups to k rows before it shuffles."""
+    if "rank" in df.columns:
+        raise ValueError("top_k adds a column rank")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
@@ -53,11 +64,11 @@ def sessions(df: DataFrame, by: str, at: str, gap: str) -> DataFrame:
     """Runs of rows less than ``gap`` apart: key, first and last time, rows."""
     new = F.coalesce(F.col(at) - F.lag(at).over(Window.partitionBy(by).orderBy(at)) >= F.expr(f"interval {gap}"), F.lit(True))
     run = F.sum(new.cast("long")).over(Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("run", run).groupBy(by, "run").agg(F.min(at).alias("session_start"), F.max(at).alias("session_end"), F.count("*").alias("n")).drop("run")
+    return df.select(by, at, run.alias("session_run")).groupBy(by, "session_run").agg(F.min(at).alias("session_start"), F.max(at).alias("session_end"), F.count("*").alias("n")).drop("session_run")
 
 
-def salted_sum(df: DataFrame, by: Sequence[str], value: Column, salts: int = 64) -> DataFrame:
-    """A distinct-count and a sum where one key may hold most rows: distinct values are spread over salts first."""
+def salted_distinct(df: DataFrame, by: Sequence[str], value: Column, salts: int = 64) -> DataFrame:
+    """Counts of distinct values and of all where one key may hold most rows: distinct values are spread over salts first."""
     salted = df.select(*by, value.alias("v")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)))
     part = salted.groupBy(*by, "salt").agg(F.count_distinct("v").alias("d"), F.count("v").alias("n"))
     return part.groupBy(*by).agg(F.sum("d").alias("n_distinct"), F.sum("n").alias("n"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import discounted, dot, json_int, money, trunc
-from quarry.operators import asof_join, range_join, salted_sum, sessions, top_k
+from quarry.operators import asof_join, range_join, salted_distinct, sessions, top_k
 from quarry.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,7 +108,7 @@ def rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source, count(DISTINCT text) AS n_distinct, count(text) AS n FROM documents GROUP BY source")
 def distinct_texts(spark: SparkSession, d: str) -> DataFrame:
-    return salted_sum(table(spark, d, "documents"), ["source"], F.col("text"))
+    return salted_distinct(table(spark, d, "documents"), ["source"], F.sha2("text", 256))  # digests move, not texts
 
 
 @query("""SELECT c_nationkey, c_custkey, rank FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rank FROM customer) WHERE rank <= 3""")
@@ -120,9 +120,8 @@ def top_customers(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_id, CAST(rank() OVER w AS BIGINT) AS r, lag(event_id) OVER w AS before, CAST(ntile(4) OVER w AS BIGINT) AS quarter,
 count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""")
 def windows(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "events").createOrReplaceTempView("quarry_events")
     return spark.sql("""SELECT event_id, CAST(rank() OVER w AS BIGINT) AS r, lag(event_id) OVER w AS before, CAST(ntile(4) OVER w AS BIGINT) AS quarter,
-        count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM quarry_events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""")
+        count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts)""", events=table(spark, d, "events"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20")
@@ -161,8 +160,8 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = 0""")
 def similarity(spark: SparkSession, d: str) -> DataFrame:
     """Every vector against one stated query vector (a row looked up by its id)."""
     x = table(spark, d, "embeddings")
-    one = x.where("vec_id = 0").select(F.lit(True).alias("k"), F.col("embedding").alias("q"))
-    return x.withColumn("k", F.lit(True)).join(one, "k").select("vec_id", F.round(dot("embedding", "q"), 4).cast("decimal(10,4)").alias("similarity"))
+    one = x.where("vec_id = 0").select("embedding").scalar()  # one value, or an error if the id isn't unique: no join
+    return x.withColumn("q", one).select("vec_id", F.round(dot("embedding", "q"), 4).cast("decimal(10,4)").alias("similarity"))
 
 
 @query("""SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, md5(lower(text)) AS digest, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS numbers, split_part(source, 'c', 2) AS number FROM documents""")

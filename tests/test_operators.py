@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import asof_join, range_join, salted_sum, sessions, top_k
+from quarry.operators import asof_join, range_join, salted_distinct, sessions, top_k
 from quarry.sources import FORMATS, read, table, write
 
 
@@ -27,15 +27,18 @@ def test_range_join_against_brute_force(spark):
     assert got == want
     with pytest.raises(ValueError):
         range_join(points, spans, "at", "lo", "hi", 0)
+    wide = spark.createDataFrame([(1, 0.0, 1e12), (2, -5.0, 1.0), (3, 3.0, 5000.0)], "s long, lo double, hi double")
+    got = sorted((r["p"], r["s"]) for r in range_join(points, wide, "at", "lo", "hi", 1).collect())
+    assert got == sorted((p["p"], s["s"]) for p in points.collect() for s in wide.collect() if p["at"] is not None and s["lo"] <= p["at"] < s["hi"])
 
 
-def test_top_k_sessions_and_salted_sum(spark):
+def test_top_k_sessions_and_salted_distinct(spark):
     at = datetime(2024, 1, 1)
     df = spark.createDataFrame([("a", at + timedelta(minutes=m), m % 3) for m in (0, 10, 50, 55, 200)], "k string, at timestamp_ntz, v int")
     assert sorted(r["n"] for r in sessions(df, "k", "at", "30 minutes").collect()) == [1, 2, 2]
     assert [r["rank"] for r in top_k(df, ["k"], [F.col("at").desc()], 2).collect()] == [1, 2]
-    assert salted_sum(df, ["k"], F.col("v")).first().asDict() == {"k": "a", "n_distinct": 3, "n": 5}
-    assert salted_sum(df.limit(0), ["k"], F.col("v")).count() == 0
+    assert salted_distinct(df, ["k"], F.col("v")).first().asDict() == {"k": "a", "n_distinct": 3, "n": 5}
+    assert salted_distinct(df.limit(0), ["k"], F.col("v")).count() == 0
 
 
 @pytest.mark.parametrize("form", FORMATS)
