@@ -1,7 +1,11 @@
 """A training corpus from raw documents: quality rules, near-duplicate removal, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
-the next one's docs. All but the last return the columns of documents.
+the next one's docs. All but the last return the columns of documents, whatever their names.
+
+Rows: a null or empty text fails the quality rules, so later stages see none; should they, a null text counts as empty. Null and
+repeated ids stay rows of their own until near_duplicates keeps one of each group, told by id and text. Null languages and
+sources are leaves of their own. Very long texts count whole everywhere. An empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -17,22 +21,22 @@ MIX = mixing.Mix(budget=(9, 10), max_epochs=1)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the latest policy."""
+    """Rows that pass the latest policy: each is judged alone, so repeated rows all stay or all go."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of copies and near copies (five-word shingles, similarity 0.8 or more): the least id, nulls last, then the least digest."""
     return simhash.keep(spark, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their leaf's budget."""
+    """Documents within their leaf's budget, in the order of a hash of their id; rows of one id in a leaf go together."""
     return mixing.keep(spark, docs, MIX)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and decoded text."""
+    """doc_id, n_tokens and digests of ids and decoded text, row by row."""
     return bpe.encode_decode(docs, vocabulary())
 
 
@@ -46,7 +50,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table documents."""
     docs, work = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = work.put(docs, name)
+            if k:
+                work.drop(before)
     return docs
