@@ -15,9 +15,7 @@ blocks of a file at once. Files are binary cells of a Parquet table in the share
 whose commit protocol keeps a lost executor or a second attempt from leaving half a file. Everything that ``read_files``
 returns comes from the content; the path gives the order.
 
-The ids are those of the tokenizers library for the whole text. It is given the text's distinct chunks between ASCII
-white space, lower-cased and with marks split off, and a cache keeps what it said: with the steps of ``bpe.STEPS`` no pre-token,
-composition or special token crosses these cuts. For a tokenizer file with any other steps it is given whole texts.
+The ids are those of the tokenizers library, which is given each whole text, one at a time.
 
 Rows: a null text counts as empty and yields the end id alone. Rows with a null doc_id come first; rows with
 one doc_id are in the order of a hash of their ids, and equal rows are dealt over tasks like any others. Texts of any length stay whole: a file
@@ -26,20 +24,17 @@ takes them until it has FILE_IDS ids. Other columns are not read. An empty table
 
 from __future__ import annotations
 
-import json
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarry.llm.bpe import ROWS, encode_texts, library_tokenizer, other_steps
+from quarry.llm.bpe import ROWS, library_tokenizer
 from quarry.llm.common import Workspace, text_bytes
 
 MAGIC, HEAD = b"QHF2", "<4s5I2Q"
@@ -48,8 +43,6 @@ LIMIT, BLOCK, FILE_IDS, TASK_IDS = 18, 256, 1_000_000, 32_000_000
 #: Ids that the writer handles at once: a multiple of BLOCK.
 STEP = 64 * BLOCK
 END_ID = 1
-#: Chunks in a worker's cache, at about 190 bytes: so many as a worker's later tasks meet again.
-CACHE = 1_000_000
 UNZIP = zstandard.ZstdDecompressor()
 
 
@@ -172,57 +165,22 @@ def read_file(raw: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray, np.n
     return docs, ids if (size == block).all() else ids[(np.arange(block) < size[:, None]).ravel()]
 
 
-#: Letters that are composed and stand in no other normal form: the tokenizer makes one word of them.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+").fullmatch
-MARKS = re.compile(rb"(?<=[a-z])([.,]+)(?=[ \n])")
-JOINED = 128
-
-
 @lru_cache(2)
-def library(path: str):
-    """Once for each Python worker: the library's encoding of many chunks or texts, its cache (none: whole texts), number of ids."""
-    tok, cache = library_tokenizer(path), {}
-    with open(path, encoding="utf-8") as f:
-        whole = bool(other_steps(json.load(f)))
-    size = tok.get_vocab_size(with_added_tokens=True)
-    ends = np.array([(tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+def library(path: str) -> tuple[Callable[[str], np.ndarray], int]:
+    """Once for each Python worker: the library's encoding of a whole text, and its number of ids."""
+    tok = library_tokenizer(path)
 
     def encode(text: str) -> np.ndarray:
         return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def words(plain: list[str]) -> Iterator[bytes]:
-        """Words of letters alone are encoded many at a time, and told apart by their word ends."""
-        for at in range(0, len(plain), JOINED):
-            part = plain[at : at + JOINED]
-            ids = encode(" ".join(part))
-            cut = np.flatnonzero(ends[ids]) + 1
-            if len(cut) != len(part):
-                yield from (encode(w).tobytes() for w in part)
-                continue
-            raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
-            yield from (raw[a:b] for a, b in pairwise(cut))
-
-    def chunks(texts: list[bytes]) -> list[bytes]:
-        said = [t.decode() for t in texts]
-        plain = [s for s in said if PLAIN(s)]
-        known = dict(zip(plain, words(plain), strict=True))
-        return [known[s] if s in known else encode(s).tobytes() for s in said]
-
-    if whole:
-        return lambda texts: [encode(t.decode()).tobytes() for t in texts], None, size
-    return chunks, cache, size
-
-
-def simpler(text: bytes) -> bytes:
-    """A text with the same ids and fewer distinct chunks: case doesn't count, and marks after a letter are a word of their own."""
-    return text if b"<|" in text else MARKS.sub(rb" \1", text.lower())
+    return encode, tok.get_vocab_size(with_added_tokens=True)
 
 
 def encode(df: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids (with the end id; packed) and counts: null, but for each task's last row (ids null), its counts of all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, cache, size = library(vocabulary)
+        whole, size = library(vocabulary)
         zip_, end, total = zstandard.ZstdCompressor(1), END_ID.to_bytes(4, "little"), np.zeros(size, np.int64)
 
         def rows(doc_ids: pa.Array, packed: list[bytes | None], counts: bytes | None = None) -> pa.RecordBatch:
@@ -231,8 +189,7 @@ def encode(df: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 texts = batch.column(1).slice(at, ROWS).to_pylist()
-                said = chunks(texts) if cache is None else encode_texts([simpler(t) for t in texts], cache, chunks, CACHE)
-                raw = [ids + end for ids in said]
+                raw = [whole(t.decode()).tobytes() + end for t in texts]
                 total += np.bincount(np.frombuffer(b"".join(raw), "<u4"), minlength=size)
                 yield rows(batch.column(0).slice(at, ROWS), [zip_.compress(halves(r)) for r in raw])
         yield rows(pa.nulls(1, pa.int64()), [None], total.tobytes())
@@ -336,7 +293,7 @@ def token_files(spark: SparkSession, df: DataFrame, vocabulary: str) -> DataFram
     """Encode, count, write: the table of token files. Counts go to the driver: at most one for each id of the vocabulary."""
     work = Workspace(spark, "token-files")
     encoded = work.put(encode(df, vocabulary).withColumns({"tie": F.xxhash64("ids"), "row": F.monotonically_increasing_id()}), "ids")
-    counts = np.zeros(library(vocabulary)[2], np.int64)
+    counts = np.zeros(library(vocabulary)[1], np.int64)
     for row in count_ids(encoded, len(counts)).toLocalIterator():
         counts[row["id"]] = row["count"]
     total = int(counts.sum())

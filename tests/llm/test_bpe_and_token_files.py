@@ -28,14 +28,13 @@ def ids(raw: bytes) -> list[int]:
 
 def both(texts):
     own, cache = bpe.load(PATH)
-    chunks, _, _ = huffman.library(PATH)
-    raw = [t.encode() for t in texts]
-    return own, list(bpe.encode_texts(raw, cache, own.encode_chunks)), list(bpe.encode_texts([huffman.simpler(t) for t in raw], {}, chunks))
+    whole, _ = huffman.library(PATH)
+    return own, list(bpe.encode_texts([t.encode() for t in texts], cache, own.encode_chunks)), [whole(t).tobytes() for t in texts]
 
 
 def check(texts, library):
-    own, mine, cached = both(texts)
-    for text, a, b in zip(texts, mine, cached, strict=True):
+    own, mine, whole = both(texts)
+    for text, a, b in zip(texts, mine, whole, strict=True):
         want = library.encode(text, add_special_tokens=False).ids
         assert ids(a) == want, text
         assert ids(b) == want, text
@@ -61,18 +60,16 @@ def test_like_the_library_on_every_code_point(library):
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"a{c}B {c}.{c} " for c in points[k : k + 64]) for k in range(0, len(points), 64)]
     own, cache = bpe.load(PATH)
-    chunks, _, _ = huffman.library(PATH)
     for at in range(0, len(texts), 1024):
         part = texts[at : at + 1024]
         raw = [t.encode() for t in part]
         want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(part, add_special_tokens=False)]
         assert list(bpe.encode_texts(raw, cache, own.encode_chunks)) == want
-        assert list(bpe.encode_texts([huffman.simpler(t) for t in raw], {}, chunks)) == want
 
 
 @pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "BPEDecoder", "suffix": "</w>"}}, {"lower": None}])
-def test_other_tokenizers_are_refused_or_given_whole_texts(tmp_path, change):
-    """BPE takes no steps but its own; token files give the library whole texts then."""
+def test_other_tokenizers_are_refused_or_the_librarys(tmp_path, change):
+    """BPE takes no steps but its own; token files take what the library takes."""
     import json
 
     from tokenizers import Tokenizer
@@ -87,9 +84,9 @@ def test_other_tokenizers_are_refused_or_given_whole_texts(tmp_path, change):
     other.write_text(json.dumps(spec))
     with pytest.raises(ValueError, match="cannot encode"):
         bpe.BPE(str(other))
-    encode, cache, _ = huffman.library(str(other))
+    encode, _ = huffman.library(str(other))
     text = "The CAT, sat.  on   <|endoftext|> it"
-    assert cache is None and ids(encode([text.encode()])[0]) == Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
+    assert encode(text).tolist() == Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
 
 
 def test_small_cache_gives_the_same(monkeypatch, library):
