@@ -54,7 +54,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarry.llm.common import SALTS, Workspace, attach, text_bytes
 
@@ -525,15 +525,23 @@ def prefix_table(work: Workspace, each: DataFrame) -> DataFrame:
     return work.put(one.withColumn("node", F.xxhash64("digest")), "prefixes")
 
 
-def prefix_pairs(work: Workspace, each: DataFrame, roots: DataFrame, reach: int = 0) -> DataFrame:
-    """u, v: pairs of texts with different roots that may be similar, by the prefix filter. each: prefix_table(); roots: node and root."""
-    table = each.drop("digest").join(roots.hint("merge"), "node")
-    rows = table.select("node", "root", "size", "rare", F.posexplode("keys").alias("pos", "key"))
-    frequent = rows.where("pos >= rare")
+def shared_shingles(work: Workspace, each: DataFrame) -> DataFrame:
+    """key, node, size, pos and listed: shingles of prefixes that another text may share. Most stand in one text alone, and go in the one shuffle of all."""
+    rows = each.select("node", "size", "rare", F.posexplode("keys").alias("pos", "key"))
+    columns = ["key", "node", "size", "pos"]
+    rare = rows.where("pos < rare").select(*columns).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    listed = rows.where("pos >= rare").select(*columns, F.lit(True).alias("listed"))
+    return work.put(rare.select(*columns, F.lit(False).alias("listed")).union(listed), "shared")
+
+
+def prefix_pairs(work: Workspace, each: DataFrame, shared: DataFrame, roots: DataFrame, reach: int = 0) -> DataFrame:
+    """u, v: pairs of texts with different roots that may be similar, by the prefix filter. each: prefix_table(); shared: its shared_shingles(); roots: node and root."""
+    rows = shared.join(roots.hint("merge"), "node")
+    frequent = rows.where("listed")
     mixed = frequent.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
     columns = ["node", "root", "size", "pos"]
     cells = grid(frequent.join(mixed, "key"), F.col("key"), F.col("n"), F.col("node"), BUCKET, *columns).select("bucket", "side", *columns)
-    rare = rows.where("pos < rare").select(F.col("key").alias("bucket"), F.lit(-1).alias("side"), *columns)
+    rare = rows.where("not listed").select(F.col("key").alias("bucket"), F.lit(-1).alias("side"), *columns)
     found = work.put(compare_prefixes(rare.union(cells), reach).distinct(), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -663,15 +671,16 @@ def similar_texts(work: Workspace, df: DataFrame, docs: DataFrame) -> DataFrame:
     work.drop(links, found)
     frequent = frequent_shingles(df)
     table = prefix_table(work, prefixes(df, frequent))
+    shared = shared_shingles(work, table)
     for reach in (NEIGHBOURS, 0):
-        pairs = prefix_pairs(work, table, roots, reach)
+        pairs = prefix_pairs(work, table, shared, roots, reach)
         of = [roots.select(F.col("node").alias(e), F.col("root").alias(f"{e}_root")) for e in "uv"]
         apart = pairs.join(of[0].hint("merge"), "u").join(of[1].hint("merge"), "v").select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct()
         found = stars(work, work.put(apart, "apart"))
         wider = work.put(roots.join(found.select(F.col("u").alias("root"), F.col("v").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
         work.drop(pairs, found, roots)
         roots = wider
-    work.drop(table)
+    work.drop(table, shared)
     sizes = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     grouped = attach(roots, work.put(sizes, "sizes"), ["root"], "node")
     candidates = work.put(texts.select("node", "digest", "first").join(grouped.hint("merge"), "node").select("digest", "first", F.array(F.struct("root", "n")).alias("groups")), "candidates")
@@ -694,16 +703,17 @@ def more_links(work: Workspace, sets: DataFrame, edges: DataFrame, frequent: tup
     """edges and links of all pairs of these sets that edges don't connect: the prefix filter's, neighbours first, compared one by one."""
     own = work.put(sets.select("node", F.xxhash64("node").alias("key"), "hashes"), "large-sets")
     table = prefix_table(work, prefixes(own.select(F.col("node").alias("digest"), "hashes"), frequent, sets=True))
+    shared = shared_shingles(work, table)
     for reach in (NEIGHBOURS, 0):
         found = stars(work, edges)
         roots = own.select("node", "key").join(found.select(F.col("u").alias("node"), "v"), "node", "left").select(F.col("key").alias("node"), F.xxhash64(F.coalesce("v", "node")).alias("root"))
-        pairs = prefix_pairs(work, table, roots, reach)
+        pairs = prefix_pairs(work, table, shared, roots, reach)
         placed = pairs.select(F.xxhash64("u", "v").alias("by"), F.explode(F.array("u", "v")).alias("key")).join(own.hint("merge"), "key")
         links = compare_sets(placed.select(F.col("by").alias("bucket"), "by", F.lit(False).alias("part"), "node", "hashes"))
         out = work.put(edges.union(links.select("u", "v")).distinct(), "edges")
         work.drop(found, pairs, edges)
         edges = out
-    work.drop(own, table)
+    work.drop(own, table, shared)
     return edges
 
 

@@ -247,10 +247,11 @@ def test_prefixes_meet_at_the_least_similarity(spark, monkeypatch, bucket):
     digests = {simhash.text_digest(t.encode()): k for k, t in enumerate(texts)}
     work = Workspace(spark, "test")
     table = simhash.prefix_table(work, simhash.prefixes(df, simhash.frequent_shingles(df)))
+    shared = simhash.shared_shingles(work, table)
     number = {r["node"]: digests[r["digest"]] for r in table.select("node", "digest").collect()}
     roots = spark.createDataFrame([(n, k) for n, k in number.items()], "node long, root long")
-    got = {tuple(sorted((number[r["u"]], number[r["v"]]))) for r in simhash.prefix_pairs(work, table, roots).collect()}
-    few = {tuple(sorted((number[r["u"]], number[r["v"]]))) for r in simhash.prefix_pairs(work, table, roots, 1).collect()}
+    got = {tuple(sorted((number[r["u"]], number[r["v"]]))) for r in simhash.prefix_pairs(work, table, shared, roots).collect()}
+    few = {tuple(sorted((number[r["u"]], number[r["v"]]))) for r in simhash.prefix_pairs(work, table, shared, roots, 1).collect()}
     assert few < got
     s = [shingles(t) for t in texts]
     want = {(a, b) for b in range(len(s)) for a in range(b) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])}
