@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, html, huffman, mixing, quality, simhash, tiff, urlfilter, warc
+from quarry.llm import bpe, chat, codes, html, huffman, mixing, quality, runs, simhash, tiff, topk, urlfilter, warc
 from quarry.llm.common import table
 
 #: The public tokenizer that the contracts name.
@@ -57,5 +57,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_tiff, op3_html, op4_warc, op5_bpe, op6_chat, op7_mixing, op8_simhash, op9_urlfilter, op10_quality)}
-SQL = {"op6_chat": chat.sql(), "op7_mixing": mixing.sql(mixing.Mix()), "op9_urlfilter": urlfilter.sql(), "op10_quality": quality.sql()}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(spark, table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_tiff, op3_html, op4_warc, op5_bpe, op6_chat, op7_mixing, op8_simhash, op9_urlfilter, op10_quality, op11_topk, op12_runs, op13_codes)}
+SQL = {"op6_chat": chat.sql(), "op7_mixing": mixing.sql(mixing.Mix()), "op9_urlfilter": urlfilter.sql(), "op10_quality": quality.sql(), "op11_topk": topk.sql(), "op13_codes": codes.sql()}
