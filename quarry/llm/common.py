@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,27 @@ def attach(rows: DataFrame, values: DataFrame, by: list[str], own: str, how: str
     return dealt.join(there, [*by, salt], how).drop(salt)
 
 
+#: Bits of a bitmap at most: 131,072 words of 64 bits, some 2 MB, are sent around whatever the input.
+BITS = 2**23
+
+
+def marked(work: Workspace, rows: DataFrame, key: Column, hashes: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean ``name``: false only where no row of ``hashes`` (a 64-bit ``hash``) equals the key.
+
+    A bitmap of 16 bits a hash, BITS at most, is broadcast. Of other rows one in 16 is marked too, and more where hashes pass BITS / 16: it saves a shuffle of what it clears, and
+    clears less and less of a corpus whose hashes are many more than that. The result of a join after it is the same.
+    """
+    own = work.put(hashes, "hashes")
+    bits = F.lit(min(BITS, max(64, 1 << (16 * own.count()).bit_length())))
+    places = own.select(F.pmod("hash", bits).alias("bit"))
+    words = places.groupBy(F.floor(F.col("bit") / 64).alias(f"{name}_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias(f"{name}_bits"))
+    place = F.pmod(key, bits)
+    met = rows.withColumn(f"{name}_at", place).withColumn(f"{name}_word", F.floor(F.col(f"{name}_at") / 64))
+    met = met.join(F.broadcast(work.put(words, "bitmap")), f"{name}_word", "left")
+    one = F.call_function("shiftright", F.coalesce(f"{name}_bits", F.lit(0).cast("long")), F.pmod(F.col(f"{name}_at"), F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return met.withColumn(name, one == 1).select(*(f"`{c}`" for c in rows.columns), name)
+
+
 class Workspace:
     """Intermediate tables as Parquet in the shared folder: they cut the lineage, and outlive any executor."""
 

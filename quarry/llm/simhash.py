@@ -26,10 +26,10 @@ of 0.8 or more, all of them. Candidates come from two sources, and their shingle
    word hashes mixed differently. Texts within WORD_TAU bits in any kind are of one candidate group.
 2. What these leave apart comes from an exact prefix filter: in any fixed order of all shingles, two sets of that similarity
    share one of their first n - ceil(0.8 n) + 1, and the first that they share leaves enough after it in both. The order is by
-   hash, with shingles that are frequent in a sample of texts last; which those are changes the cost, not the result. Shingles of
-   that list whose texts aren't all of one group are split over the grid. Counts of each set's shingles by their last bits bound
-   what two sets can share, which drops most other pairs. Pairs that pass join the groups of their texts, first those of near
-   neighbours by size, then all that are still apart: so many texts that are alike make as many rows, not pairs.
+   hash, with shingles that are frequent in a sample of texts last; which those are changes the cost, not the result. Shingles
+   whose texts aren't all of one group go on, those of many texts split over the grid. Counts of each set's shingles by their last bits bound
+   what two sets can share; they go along, so pairs that they rule out never leave the task. Of those that pass, a spanning
+   forest of each bucket joins the groups of their texts: so many texts that are alike make as many rows, not pairs.
 
 So texts of the similarity are of one candidate group. A group of at most SETS texts meets in one task, which compares all its
 pairs that share a shingle of their prefixes. A larger one is dealt into chunks of about SETS; of each chunk's linked texts
@@ -56,7 +56,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quarry.llm.common import SALTS, Workspace, attach, text_bytes
+from quarry.llm.common import SALTS, Workspace, attach, marked, text_bytes
 
 SHINGLE, SEED, TAU = 3, 42, 3
 #: Near copies: shingle, similarity, fingerprints of a text's word set, and the bits within which those are candidates.
@@ -318,8 +318,11 @@ def link(work: Workspace, kinds: list[DataFrame], tau: int = TAU) -> DataFrame:
     rows = reduce(DataFrame.union, (probes(fps, tau, k) for k, fps in enumerate(kinds)))
 
     def counted(x: DataFrame) -> DataFrame:
-        sizes = x.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        return work.put(x.join(sizes, "bucket"), "buckets")
+        # As a table of its own, so that Spark sees a hot bucket's rows in the join and splits them.
+        sizes = work.put(x.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        out = work.put(x.join(sizes, "bucket"), "buckets")
+        work.drop(sizes)
+        return out
 
     first = counted(rows)
     small = lambda x: x.where(F.col("n") <= BUCKET).select("bucket", "fp", F.lit(-1).alias("side"))
@@ -436,68 +439,100 @@ def sketch(shingles: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes().ljust(1 << (len(shingles) // 4).bit_length(), b"\0") if len(counts) and counts.max() < 256 else b""
 
 
-def may_reach(a: bytes, b: bytes, sizes: int) -> bool:
-    """Whether sets with these sketches and this sum of sizes can have the least similarity."""
-    if not a or not b:
-        return True
-    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    shared = int(np.minimum(x, y.reshape(-1, len(x)).sum(0, dtype=np.int64)).sum())
-    return shared >= SIMILARITY / (1 + SIMILARITY) * sizes - 1e-9
-
-
 def prefixes(df: DataFrame, frequent: tuple[np.ndarray, np.ndarray], sets: bool = False) -> DataFrame:
-    """digest of each text, the number of its shingles, its sketch, its prefix and how many in that are not frequent.
+    """node (a hash of the digest) of each text, the number of its shingles, its sketch, its prefix and how many in that are not frequent.
 
-    df has the texts; with ``sets`` instead digest and hashes, as ``shingle_sets`` gives them.
+    df has the texts; with ``sets`` instead digest and hashes, as ``shingle_sets`` gives them. Copies in one task are one row; a text has a row for each task that meets it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = partial(shingle_hashes, size=COPY_SHINGLE)
+        of, seen = partial(shingle_hashes, size=COPY_SHINGLE), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cells = batch.column(0).slice(at, 256).to_pylist()
-                if sets:
-                    digests, own = batch.column(1).slice(at, 256), [np.frombuffer(c, np.uint64) for c in cells]
-                else:
-                    digests, own = pa.array(map(text_digest, cells), pa.string()), [np.unique(np.fromiter(of(t), np.uint64)) for t in cells]
+                digests = batch.column(1).slice(at, 256).to_pylist() if sets else [text_digest(c) for c in cells]
+                new = {d: c for d, c in zip(digests, cells, strict=True) if d not in seen}
+                seen.update(new)
+                own = [np.frombuffer(c, np.uint64) if sets else np.unique(np.fromiter(of(c), np.uint64)) for c in new.values()]
                 first = [prefix(x, frequent) for x in own]
                 keys = pa.array([k.view(np.int64) for k, _ in first], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([digests, pa.array(map(len, own), pa.int32()), pa.array([c for _, c in first], pa.int32()), pa.array(map(sketch, own), pa.binary()), keys], ["digest", "size", "rare", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array(map(len, own), pa.int32()), pa.array([c for _, c in first], pa.int32()), pa.array(map(sketch, own), pa.binary()), keys], ["digest", "size", "rare", "sketch", "keys"])
 
     rows = df.select("hashes", "digest") if sets else text_bytes(df)
-    return rows.mapInArrow(run, "digest string, size int, rare int, sketch binary, keys array<long>")
+    return rows.mapInArrow(run, "digest string, size int, rare int, sketch binary, keys array<long>").withColumn("node", F.xxhash64("digest"))
+
+
+def folded(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each width that a pair's narrower sketch may have: the row's place in the matrix, and that matrix of the sketches of this width and of twice that, added up."""
+    width = np.array([len(x) for x in sketches])
+    out = {}
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero((width == w) | (width == 2 * w))
+        place = np.zeros(len(width), np.int64)
+        place[rows] = np.arange(len(rows))
+        own = [np.frombuffer(sketches[r], np.uint8) for r in rows]
+        out[w] = place, np.stack([x if len(x) == w else np.minimum(x.reshape(2, w).sum(0, dtype=np.int64), 65535) for x in own]).astype(np.uint16)
+    return out
 
 
-def prefix_matches(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, reach: int = 0, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket's rows, in order of size, of different roots and with enough left in both from the shared shingle on; with ``reach`` only so near."""
-    left = size - pos
-    for at in range(0, len(node), block):
-        end = min(at + block, len(node))
-        last = int(np.searchsorted(size, size[end - 1] / SIMILARITY + 1e-9, "right"))
-        last = min(last, end + reach) if reach else last
-        a, b = np.arange(at, end)[:, None], np.arange(at, last)[None, :]
-        need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (size[a] + size[b]) - 1e-9)
-        near = (a < b) & (b - a <= (reach or len(node))) & (root[a] != root[b]) & (np.minimum(left[a], left[b]) >= need) & ((side[a] != side[b]) | (side[a] < 0))
-        i, j = np.nonzero(near)
-        yield node[i + at], node[j + at]
+def may_reach(i: np.ndarray, j: np.ndarray, size: np.ndarray, width: np.ndarray, fold: dict[int, tuple[np.ndarray, np.ndarray]], at_once: int = 8192) -> np.ndarray:
+    """Whether the sets i and j can have the least similarity: what each of their sketches' bins may share is the lesser of both counts."""
+    low, high = np.minimum(width[i], width[j]), np.maximum(width[i], width[j])
+    ok = np.ones(len(i), bool)
+    for w, (place, counts) in fold.items():
+        rows = np.flatnonzero((low == w) & (high <= 2 * w))
+        for s in range(0, len(rows), at_once):
+            part = rows[s : s + at_once]
+            shared = np.minimum(counts[place[i[part]]], counts[place[j[part]]]).sum(1, dtype=np.int64)
+            ok[part] = shared >= SIMILARITY / (1 + SIMILARITY) * (size[i[part]] + size[j[part]]) - 1e-9
+    return ok
 
 
-def compare_prefixes(rows: DataFrame, reach: int = 0) -> DataFrame:
-    """rows: bucket, node, root, size, pos and side. Pairs u < v of nodes that may be similar; with ``reach`` only of near neighbours by size."""
+def prefix_matches(root: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, sketches: list[bytes], reach: int = 0, trees: bool = True, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket's rows, in order of size, of different roots, with enough left in both from the shared shingle on and sketches that allow the similarity.
+
+    With ``reach`` only so near. With ``trees`` a spanning forest of the roots: as many pairs at most as rows.
+    """
+    left, label, width, fold = size - pos, root.copy(), np.array([len(x) for x in sketches]), folded(sketches)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(root), block):
+        end = min(at + block, len(root))
+        last = int(np.searchsorted(size, size[end - 1] / SIMILARITY + 1e-9, "right"))
+        last = min(last, end + reach) if reach else last
+        for to in range(at, last, 4096):
+            stop = min(to + 4096, last)
+            a, b = np.arange(at, end)[:, None], np.arange(to, stop)[None, :]
+            need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (size[a] + size[b]) - 1e-9)
+            near = (a < b) & (b - a <= (reach or len(root))) & (label[a] != label[b]) & (np.minimum(left[a], left[b]) >= need) & ((side[a] != side[b]) | (side[a] < 0))
+            i, j = np.nonzero(near)
+            i, j = i + at, j + to
+            ok = may_reach(i, j, size, width, fold)
+            i, j = i[ok], j[ok]
+            if trees:
+                keep = []
+                for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                    if label[x] != label[y]:
+                        label[label == label[y]] = label[x]
+                        keep.append(k)
+                i, j = i[keep], j[keep]
+            if len(i):
+                found.append((i, j))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 2
+
+
+def compare_prefixes(rows: DataFrame, reach: int = 0, trees: bool = True) -> DataFrame:
+    """rows: bucket, node, root, size, pos, side and sketch. Pairs u < v of nodes that may be similar, see ``prefix_matches``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matches(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def matches(bucket: np.ndarray, node: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
             start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            end, root = np.r_[start[1:], len(bucket)], columns[1]
+            end, root = np.r_[start[1:], len(bucket)], columns[0]
             several = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
             found = []
             for s, e in zip(start[several].tolist(), end[several].tolist(), strict=True):
-                for u, v in prefix_matches(*(c[s:e] for c in columns), reach):
-                    if len(u):
-                        found.append((np.minimum(u, v), np.maximum(u, v)))
-                    if sum(len(u) for u, _ in found[-64:]) > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
-                        found = []
+                i, j = prefix_matches(*(c[s:e] for c in columns[:-1]), columns[-1][s:e].tolist(), reach, trees)
+                if len(i):
+                    found.append((np.minimum(node[i + s], node[j + s]), np.maximum(node[i + s], node[j + s])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
 
@@ -515,44 +550,41 @@ def compare_prefixes(rows: DataFrame, reach: int = 0) -> DataFrame:
         if held:
             yield from matches(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    ordered = rows.select("bucket", "node", "root", "size", "pos", "side").repartition("bucket").sortWithinPartitions("bucket", "size")
+    ordered = rows.select("bucket", "node", "root", "size", "pos", "side", "sketch").repartition("bucket").sortWithinPartitions("bucket", "size")
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def prefix_table(work: Workspace, each: DataFrame) -> DataFrame:
-    """A row for each text of prefixes(), with its node."""
-    one = each.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("size", "rare", "sketch", "keys")))  # of one text all alike
-    return work.put(one.withColumn("node", F.xxhash64("digest")), "prefixes")
-
-
 def shared_shingles(work: Workspace, each: DataFrame) -> DataFrame:
-    """key, node, size, pos and listed: shingles of prefixes that another text may share. Most stand in one text alone, and go in the one shuffle of all."""
+    """key, node, size, pos and listed: shingles of prefixes that another text has. Most stand in one text alone, and go in the one shuffle of all."""
     rows = each.select("node", "size", "rare", F.posexplode("keys").alias("pos", "key"))
-    columns = ["key", "node", "size", "pos"]
-    rare = rows.where("pos < rare").select(*columns).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    columns, own = ["key", "node", "size", "pos"], Window.partitionBy("key")
+    rare = rows.where("pos < rare").select(*columns).withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own)}).where("low <> high")
     listed = rows.where("pos >= rare").select(*columns, F.lit(True).alias("listed"))
     return work.put(rare.select(*columns, F.lit(False).alias("listed")).union(listed), "shared")
 
 
-def prefix_pairs(work: Workspace, each: DataFrame, shared: DataFrame, roots: DataFrame, reach: int = 0) -> DataFrame:
-    """u, v: pairs of texts with different roots that may be similar, by the prefix filter. each: prefix_table(); shared: its shared_shingles(); roots: node and root."""
-    rows = shared.join(roots.hint("merge"), "node")
-    frequent = rows.where("listed")
-    mixed = frequent.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
-    columns = ["node", "root", "size", "pos"]
-    cells = grid(frequent.join(mixed, "key"), F.col("key"), F.col("n"), F.col("node"), BUCKET, *columns).select("bucket", "side", *columns)
-    rare = rows.where("not listed").select(F.col("key").alias("bucket"), F.lit(-1).alias("side"), *columns)
-    found = work.put(compare_prefixes(rare.union(cells), reach).distinct(), "pairs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [may_reach(a, b, n) for a, b, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+def prefix_pairs(work: Workspace, each: DataFrame, shared: DataFrame, roots: DataFrame, reach: int = 0, trees: bool = True) -> DataFrame:
+    """u, v: pairs of texts with different roots that may be similar, by the prefix filter. each: prefixes(); shared: its shared_shingles(); roots: node and root.
 
-    u, v = (each.select(F.col("node").alias(e), F.col("sketch").alias(f"{e}_sketch"), F.col("size").alias(f"{e}_size")) for e in "uv")
-    both = found.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "u_sketch", "v_sketch", (F.col("u_size") + F.col("v_size")).alias("sizes"))
-    out = work.put(both.mapInArrow(run, "u long, v long"), "pairs")
-    work.drop(found)
+    Only shingles whose texts have several roots go further. Each is dealt over a grid by the exact number of its rows, and its rows take their sketches along,
+    so a pair that the sketches rule out never leaves the task that compares it.
+    """
+    rows = shared.join(roots.hint("merge"), "node")
+    columns = ["key", "node", "root", "size", "pos"]
+    own = Window.partitionBy("key")
+    counts = {"n": F.count("*").over(own), "low": F.min("root").over(own), "high": F.max("root").over(own), "sizes": F.sum("size").over(own), "places": F.sum("pos").over(own)}
+    # Most such shingles are of two texts, whose sizes and places are all that the first tests need.
+    left, other = F.col("size") - F.col("pos"), F.col("sizes") - F.col("size") - (F.col("places") - F.col("pos"))
+    enough = F.least(left, other) >= F.ceil(SIMILARITY / (1 + SIMILARITY) * F.col("sizes") - 1e-9)
+    rare = rows.where("not listed").select(*columns).withColumns(counts).where((F.col("low") != F.col("high")) & ((F.col("n") > 2) | enough)).select(*columns, "n")
+    frequent = rows.where("listed").select(*columns)
+    several = frequent.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
+    mixed = work.put(rare.union(attach(frequent, work.put(several, "several"), ["key"], "node").select(*columns, "n")), "mixed")
+    # A text's shingles that go further and its sketch meet once; a sketch is a third of a byte for each shingle.
+    met = mixed.join(each.groupBy("node").agg(F.first("sketch").alias("sketch")).hint("merge"), "node")
+    cells = grid(met, F.col("key"), F.col("n"), F.col("node"), BUCKET, "node", "root", "size", "pos", "sketch")
+    out = work.put(compare_prefixes(cells, reach, trees).distinct(), "pairs")
+    work.drop(mixed)
     return out
 
 
@@ -658,43 +690,56 @@ def linked_sets(work: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]
     return out, large
 
 
+def fingerprint_groups(work: Workspace, texts: DataFrame) -> DataFrame:
+    """node and root of each text: texts with fingerprints within WORD_TAU bits in some kind have one root. texts: node and fingerprints of all kinds."""
+    columns = fingerprint_columns(KINDS)
+    links = link(work, [texts.select(F.col(c).alias("fp")).distinct() for c in columns], WORD_TAU)
+    # A text ties its fingerprints of all kinds together. Most texts have no link and share none of theirs: they need no tie.
+    each = texts.select("node", F.explode(F.array_distinct(F.array(*columns))).alias("fp"))
+    linked = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    several = each.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("fp")
+    active = each.join(linked.union(several).distinct().hint("merge"), "fp", "left_semi").select("node").distinct()
+    tied = work.put(texts.select("node", *columns).join(active.hint("merge"), "node"), "tied")
+    ties = tied.select(F.explode(F.array_distinct(F.array(*(F.struct(F.least("fp", c).alias("u"), F.greatest("fp", c).alias("v")) for c in columns[1:])))).alias("t")).select("t.*").where("u <> v")
+    found = stars(work, links.union(ties).distinct())
+    named = tied.select("node", "fp").join(found.select(F.col("u").alias("fp"), F.col("v").alias("to")).hint("merge"), "fp", "left").select("node", F.coalesce("to", "fp").alias("to"))
+    out = work.put(texts.select("node", "fp").join(named.hint("merge"), "node", "left").select("node", F.coalesce("to", "fp").alias("root")).dropDuplicates(["node"]), "roots")
+    work.drop(links, found, tied)
+    return out
+
+
 def similar_texts(work: Workspace, df: DataFrame, docs: DataFrame) -> DataFrame:
     """A row for each distinct text: digest, its smallest doc_id ``first`` and its group. docs: fingerprints of df's word sets."""
     columns = fingerprint_columns(KINDS)
     texts = work.put(docs.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in columns)).withColumn("node", F.xxhash64("digest")), "texts")
-    links = link(work, [texts.select(F.col(c).alias("fp")).distinct() for c in columns], WORD_TAU)
-    # A text ties its fingerprints of all kinds together, so its group is one, by whichever kind it was found.
-    ties = texts.select(F.explode(F.array_distinct(F.array(*(F.struct(F.least("fp", c).alias("u"), F.greatest("fp", c).alias("v")) for c in columns[1:])))).alias("t")).select("t.*").where("u <> v")
-    found = stars(work, links.union(ties))
-    named = texts.select("node", "fp").join(found.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
-    roots = work.put(named.select("node", F.coalesce("root", "fp").alias("root")).dropDuplicates(["node"]), "roots")
-    work.drop(links, found)
+    roots = fingerprint_groups(work, texts)
     frequent = frequent_shingles(df)
-    table = prefix_table(work, prefixes(df, frequent))
-    shared = shared_shingles(work, table)
-    for reach in (NEIGHBOURS, 0):
-        pairs = prefix_pairs(work, table, shared, roots, reach)
+    each = work.put(prefixes(df, frequent), "prefixes")
+    shared = shared_shingles(work, each)
+    pairs = prefix_pairs(work, each, shared, roots)
+    if not pairs.isEmpty():
         of = [roots.select(F.col("node").alias(e), F.col("root").alias(f"{e}_root")) for e in "uv"]
         apart = pairs.join(of[0].hint("merge"), "u").join(of[1].hint("merge"), "v").select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct()
         found = stars(work, work.put(apart, "apart"))
-        wider = work.put(roots.join(found.select(F.col("u").alias("root"), F.col("v").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
-        work.drop(pairs, found, roots)
+        wider = work.put(roots.join(found.select(F.col("u").alias("root"), F.col("v").alias("to")).hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        work.drop(found, roots)
         roots = wider
-    work.drop(table, shared)
+    work.drop(pairs, each, shared)
     sizes = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     grouped = attach(roots, work.put(sizes, "sizes"), ["root"], "node")
     candidates = work.put(texts.select("node", "digest", "first").join(grouped.hint("merge"), "node").select("digest", "first", F.array(F.struct("root", "n")).alias("groups")), "candidates")
     # A candidate's text is that of its first row; where a doc_id is null or repeated, the digest tells the right one.
-    # Candidates grow with the corpus: both sides meet by a sorted shuffle at every size, never by a broadcast.
+    # Candidates grow with the corpus: both sides meet by a sorted shuffle at every size, never by a broadcast. Most rows are none of them, and a bitmap of bounded size says so.
     digested = text_bytes(df, "doc_id").withColumn("own", digest_of(F.col("text")))
-    whole = digested.join(candidates.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("own") == F.col("digest")))
+    likely = marked(work, digested, F.xxhash64("own"), candidates.select(F.xxhash64("digest").alias("hash")), "likely").where("likely")
+    whole = likely.join(candidates.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("own") == F.col("digest")))
     sets = work.put(shingle_sets(whole.select(F.col("digest").alias("node"), "groups", "text")), "sets")
     edges, large = linked_sets(work, sets)
     if not large.isEmpty():
         edges = more_links(work, sets.join(large, "node", "left_semi").dropDuplicates(["node"]), edges, frequent)
     work.drop(candidates, sets, large, roots)
     found = stars(work, edges)
-    out = work.put(texts.join(found.select(F.col("u").alias("digest"), "v"), "digest", "left").select("digest", "first", F.coalesce("v", "digest").alias("group")), "groups")
+    out = work.put(texts.join(found.select(F.col("u").alias("digest"), "v").hint("merge"), "digest", "left").select("digest", "first", F.coalesce("v", "digest").alias("group")), "groups")
     work.drop(texts, edges, found)
     return out
 
@@ -702,18 +747,18 @@ def similar_texts(work: Workspace, df: DataFrame, docs: DataFrame) -> DataFrame:
 def more_links(work: Workspace, sets: DataFrame, edges: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """edges and links of all pairs of these sets that edges don't connect: the prefix filter's, neighbours first, compared one by one."""
     own = work.put(sets.select("node", F.xxhash64("node").alias("key"), "hashes"), "large-sets")
-    table = prefix_table(work, prefixes(own.select(F.col("node").alias("digest"), "hashes"), frequent, sets=True))
-    shared = shared_shingles(work, table)
+    each = work.put(prefixes(own.select(F.col("node").alias("digest"), "hashes"), frequent, sets=True), "prefixes")
+    shared = shared_shingles(work, each)
     for reach in (NEIGHBOURS, 0):
         found = stars(work, edges)
         roots = own.select("node", "key").join(found.select(F.col("u").alias("node"), "v"), "node", "left").select(F.col("key").alias("node"), F.xxhash64(F.coalesce("v", "node")).alias("root"))
-        pairs = prefix_pairs(work, table, shared, roots, reach)
+        pairs = prefix_pairs(work, each, shared, roots, reach, trees=False)
         placed = pairs.select(F.xxhash64("u", "v").alias("by"), F.explode(F.array("u", "v")).alias("key")).join(own.hint("merge"), "key")
         links = compare_sets(placed.select(F.col("by").alias("bucket"), "by", F.lit(False).alias("part"), "node", "hashes"))
         out = work.put(edges.union(links.select("u", "v")).distinct(), "edges")
         work.drop(found, pairs, edges)
         edges = out
-    work.drop(own, table, shared)
+    work.drop(own, each, shared)
     return edges
 
 
@@ -740,8 +785,17 @@ def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
     own = "own_digest"
     while own in df.columns:
         own += "_"
-    rows = df.withColumn(own, digest_of(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("rows")
-    out = rows.join(left.hint("merge").alias("left"), F.col(f"rows.{own}").eqNullSafe(F.col("left.digest")) & F.col("rows.doc_id").eqNullSafe(F.col("left.first")), "left_semi")
+    rows = df.withColumn(own, digest_of(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    # What goes is found from narrow rows. A bitmap of it lets all rows that it clears stay where they are.
+    key = lambda id_, digest: F.xxhash64(F.coalesce(F.col(id_), F.lit(-1)), digest)
+    gone = docs.join(left.hint("merge"), docs["doc_id"].eqNullSafe(left["first"]) & (docs["digest"] == left["digest"]), "left_anti").select(key("doc_id", "digest").alias("hash"))
+    mark = "gone_mark"
+    while mark in rows.columns:
+        mark += "_"
+    flagged = marked(work, rows, key("doc_id", own), gone, mark)
+    doubtful = flagged.where(F.col(f"`{mark}`")).drop(mark).alias("rows")
+    stay = doubtful.join(left.hint("merge").alias("left"), F.col(f"rows.{own}").eqNullSafe(F.col("left.digest")) & F.col("rows.doc_id").eqNullSafe(F.col("left.first")), "left_semi")
+    out = flagged.where(~F.col(f"`{mark}`")).drop(mark).union(stay)
     repeated = not docs.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
     work.drop(groups, docs)
     if repeated:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import queries, simhash
-from quarry.llm.common import Workspace
+from quarry.llm.common import Workspace, marked
 
 
 def brute_fingerprint(text):
@@ -246,13 +246,48 @@ def test_prefixes_meet_at_the_least_similarity(spark, monkeypatch, bucket):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     digests = {simhash.text_digest(t.encode()): k for k, t in enumerate(texts)}
     work = Workspace(spark, "test")
-    table = simhash.prefix_table(work, simhash.prefixes(df, simhash.frequent_shingles(df)))
+    table = work.put(simhash.prefixes(df, simhash.frequent_shingles(df)))
     shared = simhash.shared_shingles(work, table)
     number = {r["node"]: digests[r["digest"]] for r in table.select("node", "digest").collect()}
     roots = spark.createDataFrame([(n, k) for n, k in number.items()], "node long, root long")
-    got = {tuple(sorted((number[r["u"]], number[r["v"]]))) for r in simhash.prefix_pairs(work, table, shared, roots).collect()}
-    few = {tuple(sorted((number[r["u"]], number[r["v"]]))) for r in simhash.prefix_pairs(work, table, shared, roots, 1).collect()}
+    got = {tuple(sorted((number[r["u"]], number[r["v"]]))) for r in simhash.prefix_pairs(work, table, shared, roots, trees=False).collect()}
+    few = {tuple(sorted((number[r["u"]], number[r["v"]]))) for r in simhash.prefix_pairs(work, table, shared, roots, 1, trees=False).collect()}
+    tree = {tuple(sorted((number[r["u"]], number[r["v"]]))) for r in simhash.prefix_pairs(work, table, shared, roots).collect()}
     assert few < got
     s = [shingles(t) for t in texts]
     want = {(a, b) for b in range(len(s)) for a in range(b) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])}
     assert want and want <= got
+    # Trees join what the pairs join, in fewer rows.
+    def joined(pairs):
+        root = {k: k for k in range(len(texts))}
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = {k: x if r == y else r for k, r in root.items()}
+        return {frozenset(k for k, r in root.items() if r == x) for x in root.values()}
+
+    assert tree <= got and joined(tree) == joined(got)
+
+
+def test_template_pages_store_no_pairs(spark):
+    """Texts of 60 of 90 sentences each share shingles with all others, and none is a near copy: what is stored doesn't grow with the pairs."""
+    rng = np.random.default_rng(8)
+    sentences = [" ".join(f"s{k}w{i}" for i in range(9)) for k in range(90)]
+    for n in (150, 300):
+        texts = [" ".join(sentences[k] for k in sorted(rng.permutation(90)[:60])) for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        work = Workspace(spark, "test")
+        table = work.put(simhash.prefixes(df, simhash.frequent_shingles(df)))
+        roots = table.select("node", F.xxhash64("node").alias("root"))
+        pairs = simhash.prefix_pairs(work, table, simhash.shared_shingles(work, table), roots, trees=False).count()
+        s = [shingles(t) for t in texts]
+        true = sum(len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]) for a in range(n) for b in range(a))
+        assert true <= pairs <= n + 2 * true
+
+
+def test_marks_clear_only_what_is_not_there(spark):
+    work = Workspace(spark, "test")
+    rows = spark.range(5000).withColumnRenamed("id", "mark")
+    for n in (0, 40, 3000):
+        got = marked(work, rows, F.xxhash64("mark"), spark.range(n).select(F.xxhash64("id").alias("hash")), "there")
+        assert got.where(f"NOT there AND mark < {n}").count() == 0 and got.count() == 5000
+        assert got.where(f"there AND mark >= {n}").count() < 0.2 * 5000
