@@ -6,28 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.operators.scan import asof_join, counts_within, ntile, positions, sessions
+from quarry.operators.selection import percentiles
 
-def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, take: Sequence[str], tie: str) -> DataFrame:
-    """Each left row with the columns ``take`` of the last right row at or before it with equal keys; null if there is none.
-
-    One sort of both sides together by (keys, time) and a running last value: linear in rows, where an
-    inequality join is quadratic in a key's rows. Rows at one time count as before; of those the last by ``tie``.
-    Right rows with null keys or times match nothing; such left rows are kept with nulls.
-    """
-    own = [c for c in left.columns]
-    a = left.select(*[F.col(c).alias(f"l_{k}") for k, c in enumerate(own)], *[F.col(c).alias(f"k_{k}") for k, c in enumerate(on)], F.col(left_at).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[tie].dataType).alias("tie"), F.lit(None).alias("hit"))
-    hit = F.struct(*[F.col(c).alias(f"r_{k}") for k, c in enumerate(take)])
-    known = right.where(F.col(right_at).isNotNull())
-    for c in on:
-        known = known.where(F.col(c).isNotNull())
-    b = known.select(*[F.lit(None).cast(left.schema[c].dataType).alias(f"l_{k}") for k, c in enumerate(own)], *[F.col(c).alias(f"k_{k}") for k, c in enumerate(on)], F.col(right_at).alias("at"), F.lit(0).alias("side"), F.col(tie).alias("tie"), hit.alias("hit"))
-    both = a.withColumn("hit", F.lit(None).cast(b.schema["hit"].dataType)).unionByName(b)
-    order = Window.partitionBy(*[f"k_{k}" for k in range(len(on))]).orderBy("at", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("hit", F.last("hit", ignorenulls=True).over(order)).where("side = 1")
-    fits = F.col("at").isNotNull()
-    for k in range(len(on)):
-        fits = fits & F.col(f"k_{k}").isNotNull()
-    return got.select(*[F.col(f"l_{k}").alias(c) for k, c in enumerate(own)], *[F.when(fits, F.col(f"hit.r_{k}")).alias(c) for k, c in enumerate(take)])
+__all__ = ["asof_join", "counts_within", "ntile", "percentiles", "positions", "range_join", "salted_distinct", "sessions", "top_k"]
 
 
 def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
@@ -60,13 +42,6 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
     return df.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def sessions(df: DataFrame, by: str, at: str, gap: str) -> DataFrame:
-    """Runs of rows less than ``gap`` apart: key, first and last time, rows."""
-    new = F.coalesce(F.col(at) - F.lag(at).over(Window.partitionBy(by).orderBy(at)) >= F.expr(f"interval {gap}"), F.lit(True))
-    run = F.sum(new.cast("long")).over(Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    return df.select(by, at, run.alias("session_run")).groupBy(by, "session_run").agg(F.min(at).alias("session_start"), F.max(at).alias("session_end"), F.count("*").alias("n")).drop("session_run")
-
-
 def salted_distinct(df: DataFrame, by: Sequence[str], value: Column, salts: int = 64) -> DataFrame:
     """Counts of distinct values and of all where one key may hold most rows: distinct values are spread over salts first."""
     salted = df.select(*by, value.alias("v")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)))
