@@ -6,13 +6,16 @@ appendix proposes. Prices are summed as decimals, null order and ties are writte
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import discounted, dot, json_int, money, trunc
 from quarry.operators import asof_join, counts_within, ntile, percentiles, positions, range_join, salted_distinct, sessions, top_k
-from quarry.sources import table
+from quarry.sources import stream, table
+from quarry.staging import shared_folder
+from quarry.streaming import closed_sessions, with_rocksdb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,6 +160,25 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions(table(spark, d, "events"), "user_id", "ts", "30 minutes")
 
 
+@query("""WITH m AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM m),
+s AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n, count(*) FILTER (event_type = 'view') AS n_views, count(*) FILTER (event_type = 'purchase') AS n_purchases FROM r GROUP BY user_id, run)
+SELECT user_id, session_start, session_end, n, n_views FROM s WHERE n_views > 0 AND n_purchases = 0 AND epoch_ms(session_end) + 1800000 < (SELECT epoch_ms(max(ts)) - 600000 FROM events)""")
+def abandoned_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions with views and no purchase, from the events as a stream: state and timers close each. Those still open at the stream's end aren't told."""
+    folder = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with_rocksdb(spark)
+    try:
+        out = closed_sessions(stream(spark, d, "events")).where("n_views > 0 AND n_purchases = 0")
+        out = out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n", "n_views")
+        query = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
 @query("""SELECT a.vec_id, CAST(round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 4) AS DECIMAL(10,4)) AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = 0""")
 def similarity(spark: SparkSession, d: str) -> DataFrame:
