@@ -6,32 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.operators.intervals import overlap_join, range_join
 from quarry.operators.scan import asof_join, counts_within, ntile, positions, sessions
 from quarry.operators.selection import percentiles
 
-__all__ = ["asof_join", "counts_within", "ntile", "percentiles", "positions", "range_join", "salted_distinct", "sessions", "top_k"]
-
-
-def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
-    """Points in [start, end) of spans: an equality join on buckets of ``width``, then the exact condition.
-
-    A span longer than ``width`` goes to a level of wider buckets, so it's copied to two or three whatever its length; a point probes
-    each level that occurs. A width near the usual length of spans is right. A pair meets in one bucket alone, so nothing comes twice. Null bounds and points match nothing; an empty span neither.
-    """
-    if width <= 0:
-        raise ValueError("width must be positive")
-    # A span of up to width lies in two buckets of level 0 at most, one of up to 16 times that in two of level 1, and so on.
-    x, y = "span_level", "span_bucket"
-    if {x, y} & {*points.columns, *spans.columns}:
-        raise ValueError(f"range_join makes columns {x} and {y}")
-    size = lambda level: F.lit(float(width)) * F.pow(F.lit(16.0), level)
-    bucket = lambda c, level: F.floor(c.cast("double") / size(level))
-    long = F.greatest(F.lit(1.0), (F.col(end).cast("double") - F.col(start).cast("double")) / width)
-    cut = spans.where(F.col(start) < F.col(end)).withColumn(x, F.ceil(F.log2(long) / 4).cast("int"))
-    cut = cut.withColumn(y, F.explode(F.sequence(bucket(F.col(start), F.col(x)), bucket(F.col(end), F.col(x)))))
-    levels = [r[0] for r in cut.select(x).distinct().collect()]  # a few: a double has no more than 512 steps of 16
-    each = points.withColumn(x, F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn(y, bucket(F.col(at), F.col(x)))
-    return each.join(cut, [x, y]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop(x, y)
+__all__ = ["asof_join", "counts_within", "ntile", "overlap_join", "percentiles", "positions", "range_join", "salted_distinct", "sessions", "top_k"]
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import asof_join, range_join, salted_distinct, sessions, top_k
+from quarry.operators import asof_join, overlap_join, range_join, salted_distinct, sessions, top_k
 from quarry.sources import FORMATS, read, table, write
 
 
@@ -32,6 +33,44 @@ def test_range_join_against_brute_force(spark):
     assert got == sorted((p["p"], s["s"]) for p in points.collect() for s in wide.collect() if p["at"] is not None and s["lo"] <= p["at"] < s["hi"])
 
 
+@pytest.mark.parametrize("chunk", [3, 20_000])
+def test_overlap_join_against_brute_force(spark, chunk):
+    """Lengths over five orders of magnitude, hot buckets, equal rows, empty and null intervals; each pair once."""
+    rnd = random.Random(4)
+
+    def spans(n, seed):
+        r = random.Random(seed)
+        out = [(k, x := r.choice([0.0, 1.0, r.uniform(-50, 500)]), x + r.choice([0.0, 0.5, 2.0, 2.0, 3.0, 40.0, 3000.0, 1e5])) for k in range(n)]
+        return [*out, (n, None, 1.0), (n + 1, 1.0, None), (n + 2, 5.0, 4.0)]
+
+    a, b = spans(80, rnd.random()), spans(90, rnd.random())
+    left, right = spark.createDataFrame(a, "i long, af double, at double"), spark.createDataFrame(b, "j long, bf double, bt double")
+    got = sorted((r["i"], r["j"]) for r in overlap_join(left, right, ("af", "at"), ("bf", "bt"), 2, chunk).collect())
+    want = sorted((i, j) for i, s, e in a for j, x, y in b if None not in (s, e, x, y) and s < e and x < y and s < y and x < e)
+    assert got == want and len(want) > 500
+    assert overlap_join(left.limit(0), right, ("af", "at"), ("bf", "bt"), 2).count() == 0
+    with pytest.raises(ValueError):
+        overlap_join(left, right, ("af", "at"), ("bf", "bt"), 0)
+
+
+def test_no_job_runs_while_a_range_join_is_built(spark):
+    points, spans = spark.range(10).selectExpr("id AS p", "double(id) AS at"), spark.range(10).selectExpr("id AS s", "double(id) AS lo", "double(id + 2) AS hi")
+    spark.sparkContext.setJobGroup("building", "")
+    out = range_join(points, spans, "at", "lo", "hi", 2)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    assert out.count() == 19
+
+
+def test_hot_buckets_are_dealt(spark):
+    """All points in one bucket of all spans: each task of the join gets pairs of chunks."""
+    points = spark.range(4000).selectExpr("id AS p", "double(id % 7) / 7 AS at")
+    spans = spark.range(300).selectExpr("id AS s", "-double(id % 5) AS lo", "double(id % 3) + 0.1 AS hi")
+    want = points.crossJoin(spans).where("at >= lo AND at < hi").count()
+    out = range_join(points, spans, "at", "lo", "hi", 100, chunk=100)
+    assert out.count() == want
+    assert out.groupBy("p", "s").count().where("count > 1").count() == 0
+
+
 def test_top_k_sessions_and_salted_distinct(spark):
     at = datetime(2024, 1, 1)
     df = spark.createDataFrame([("a", at + timedelta(minutes=m), m % 3) for m in (0, 10, 50, 55, 200)], "k string, at timestamp_ntz, v int")
