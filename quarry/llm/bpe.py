@@ -48,8 +48,10 @@ STEPS = {
 MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "ignore_merges": False}
 SPECIAL = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 NO_RANK = np.iinfo(np.int32).max
-#: Chunks that a worker's cache holds at most (about 190 bytes each), and rows encoded together.
-CACHE, ROWS = 400_000, 512
+#: Chunks that a worker's cache holds at most (about 190 bytes each), the longest chunk that it holds, and rows encoded together.
+CACHE, CACHED, ROWS = 250_000, 64, 512
+#: Bytes from which a word is merged by windows, not by its lowest rank alone.
+LONG = 256
 
 
 def byte_letters() -> list[str]:
@@ -76,6 +78,17 @@ def library_tokenizer(path: str):
     return tok
 
 
+def window_least(x: np.ndarray, reach: int) -> np.ndarray:
+    """The least of each number and those up to ``reach`` places before and after it."""
+    most, out, have = np.iinfo(x.dtype).max, np.r_[x, np.full(2 * reach, np.iinfo(x.dtype).max, x.dtype)], 1
+    out = np.r_[np.full(reach, most, x.dtype), out[: len(x) + reach]]
+    while have < 2 * reach + 1:  # out[i] is the least of ``have`` numbers from i on
+        step = min(have, 2 * reach + 1 - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
 class BPE:
     """A tokenizer file of kind BPE with word ends, NFC, lower case and byte letters; any other is refused."""
 
@@ -104,6 +117,7 @@ class BPE:
         made = np.full(size, -1, np.int64)
         made[self.merged] = np.arange(len(pairs))
         self.monotone = bool(np.all(np.maximum(made[left], made[right]) < np.arange(len(pairs))))
+        self.reach = max(len(t) for t in vocab)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or r"(?!)")
         self.split = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+")  # of ASCII without white space
         tok = library_tokenizer(path)
@@ -130,6 +144,8 @@ class BPE:
         size = np.array([len(w) for w in words], np.int64)
         if not len(size):
             return np.empty(0, np.int64), size
+        if self.monotone and size.max() >= LONG:
+            return self._with_long(words, size)
         raw = np.frombuffer(b"".join(words), np.uint8)
         sym = self.inner[raw]
         ends = np.cumsum(size) - 1
@@ -165,6 +181,46 @@ class BPE:
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(words))
 
+    def _with_long(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode_words where some words are long: each of those by itself."""
+        long = size >= LONG
+        ids, count = self.encode_words([w for w, far in zip(words, long, strict=True) if not far])
+        parts, ends = [], np.cumsum(count)
+        rest = zip((ends - count).tolist(), ends.tolist(), strict=True)
+        for w, far in zip(words, long.tolist(), strict=True):
+            if far:
+                parts.append(self.encode_long(w))
+            else:
+                a, b = next(rest)
+                parts.append(ids[a:b])
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word by rounds that merge every pair whose rank is the least within ``reach`` symbols on both sides.
+
+        A pair of rank r is merged before its neighbours unless a pair of lower rank takes one of its two symbols. That pair's other symbol may be made by merges yet to come, which all have lower
+        ranks still (``monotone``), and all lie within the bytes of the token that they make: ``reach`` at most. Where no rank there is below r, none of
+        them can happen. So the pairs merged together are merged by the rule of the lowest rank too, and rounds don't grow with the word.
+        """
+        raw = np.frombuffer(word, np.uint8)
+        sym = self.inner[raw]
+        sym[-1] = self.final[raw[-1]]
+        while True:
+            rank = self._rank(sym, np.zeros(len(sym), np.int8))
+            least = rank == window_least(rank, self.reach)
+            least &= rank != NO_RANK
+            if not least.any():
+                return sym
+            # A run such as a a a a merges every second pair from the left, once all of it is least.
+            start = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+            n = np.diff(np.r_[start, len(rank)])
+            whole = np.repeat(np.logical_and.reduceat(least, start), n)
+            hit = np.flatnonzero(whole & ((np.arange(len(rank)) - np.repeat(start, n)) % 2 == 0))
+            sym[hit] = self.merged[rank[hit]]
+            keep = np.ones(len(sym), bool)
+            keep[hit + 1] = False
+            sym = sym[keep]
+
     def _rank(self, sym: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The rank of each symbol's pair with the next one of its word."""
         rank = np.full(len(sym), NO_RANK, np.int32)
@@ -201,7 +257,7 @@ class BPE:
 
 
 def encode_texts(texts: list[bytes], cache: dict[bytes, bytes], encode_chunks: Callable[[list[bytes]], list[bytes]], most: int | None = None) -> Iterator[bytes]:
-    """Ids of each text as bytes, by way of a cache of chunks that never holds much more than ``most`` (CACHE)."""
+    """Ids of each text as bytes, by way of a cache of chunks up to CACHED bytes that never holds much more than ``most`` (CACHE)."""
     most = most or CACHE
     for at in range(0, len(texts), ROWS):
         split = [t.split() for t in texts[at : at + ROWS]]  # of bytes: at ASCII white space only
@@ -212,10 +268,11 @@ def encode_texts(texts: list[bytes], cache: dict[bytes, bytes], encode_chunks: C
             used = {c: ids for chunks, f in zip(split, found, strict=True) for c, ids in zip(chunks, f, strict=True) if ids is not None}
             cache.clear()
             cache.update(used)
-        cache.update(zip(new, encode_chunks(new), strict=True))
+        made = dict(zip(new, encode_chunks(new), strict=True))
+        cache.update((c, ids) for c, ids in made.items() if len(c) <= CACHED)
         for chunks, f, at_ in zip(split, found, holes, strict=True):
             for k in at_:
-                f[k] = cache[chunks[k]]
+                f[k] = made[chunks[k]]
             yield b"".join(f)
 
 

@@ -210,3 +210,35 @@ def test_very_long_text_through_files(spark, library):
     want = [*library.encode(text, add_special_tokens=False).ids, 1]
     assert got[2]["n_tokens"] == len(want) and got[2]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
     assert (got[3]["n_tokens"], got[3]["start"]) == (1, got[1]["n_tokens"] + len(want))
+
+
+def test_long_words_by_windows_are_the_library_s():
+    """Words of random letters, of few letters, of one, of tokens and of parts that repeat, about the bound and far over it."""
+    path = queries.vocabulary()
+    own, library, rnd = bpe.BPE(path), bpe.library_tokenizer(path), random.Random(9)
+    tokens = [t for t in (x.removesuffix("</w>") for x in own.tokens[300:20_000]) if t.isascii() and t.isalpha()]
+    for k in range(250):
+        n = rnd.choice([255, 256, 300, 700, 3000])
+        pick = [lambda: rnd.choice("abcdefghijklmnopqrstuvwxyz"), lambda: rnd.choice("ab"), lambda: "x", lambda: rnd.choice(tokens), lambda: rnd.choice(["the", "a", "aa", "ing", "ss", "sss", "é", "日"])][k % 5]
+        word = "".join(pick() for _ in range(n))
+        words = own.words(word)
+        assert own.encode_words(words)[0].tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_a_long_word_takes_rounds_that_do_not_grow():
+    """80,000 letters in a few seconds at most (some 11 before windows), and each merge round takes many pairs."""
+    own, rnd = bpe.BPE(queries.vocabulary()), random.Random(3)
+    rounds = []
+    rank, own._rank = own._rank, lambda sym, word: rounds.append(len(sym)) or rank(sym, word)
+    counts = []
+    for n in (20_000, 80_000):
+        own.encode_long("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode())
+        counts.append(len(rounds))
+        rounds.clear()
+    assert counts[1] < 1.5 * counts[0]
+
+
+def test_long_chunks_are_not_cached():
+    own, cache = bpe.BPE(queries.vocabulary()), {}
+    list(bpe.encode_texts([b"short " + b"x" * 500 + b" short"], cache, own.encode_chunks))
+    assert set(cache) == {b"short"}
