@@ -11,10 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarry.functions import discounted, dot, json_int, money, trunc
-from quarry.operators import asof_join, counts_within, ntile, overlap_join, percentiles, positions, range_join, salted_distinct, sessions, top_k
+from quarry.functions import discounted, dot, json_int, money, semi, trunc
+from quarry.operators import asof_join, counts_within, distinct_bitmaps, distinct_counts, ntile, overlap_join, percentiles, positions, range_join, salted_distinct, sessions, top_k
 from quarry.sources import stream, table
-from quarry.staging import shared_folder
+from quarry.staging import shared_folder, stage
 from quarry.streaming import closed_sessions, with_rocksdb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,33 @@ def distinct_texts(spark: SparkSession, d: str) -> DataFrame:
     return salted_distinct(table(spark, d, "documents"), ["source"], F.sha2("text", 256))  # digests move, not texts
 
 
+@query("""SELECT grouping(day) + grouping(month) AS level, CAST(day AS DATE) AS day, month, event_type, count(DISTINCT user_id) AS n_distinct
+FROM (SELECT *, CAST(ts AS DATE) AS day, strftime(ts, '%Y-%m') AS month FROM events) GROUP BY GROUPING SETS ((day, month, event_type), (month, event_type), (event_type))""")
+def distinct_users(spark: SparkSession, d: str) -> DataFrame:
+    """Users by type and day, month and all time, all from one stored table of bitmaps by day."""
+    events = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    stored = stage(distinct_bitmaps(events, ["day", "event_type"], "user_id"), "bitmaps")
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    levels = ([F.col("day"), month, "event_type"], [month, "event_type"], ["event_type"])
+    counts = [distinct_counts(stored, by).withColumn("level", F.lit(k).cast("long")) for k, by in enumerate(levels)]
+    columns = ["level", "day", "month", "event_type", "n_distinct"]
+    out = counts[0].unionByName(counts[1], allowMissingColumns=True).unionByName(counts[2], allowMissingColumns=True)
+    return out.select(*columns)
+
+
+@query("""SELECT event_type, count(*) AS n, CAST(count(j) AS BIGINT) AS n_objects, CAST(sum(CAST(json_extract_string(j, '$.k') AS BIGINT)) AS BIGINT) AS k,
+CAST(count(*) FILTER (json_type(j, '$.k') = 'UBIGINT' OR json_type(j, '$.k') = 'BIGINT') AS BIGINT) AS n_whole, CAST(count(*) FILTER (json_type(j, '$.other') IS NOT NULL) AS BIGINT) AS n_other, 'OBJECT<k: BIGINT>' AS schema
+FROM (SELECT event_type, TRY_CAST(props AS JSON) AS j FROM events) GROUP BY event_type""")
+def properties(spark: SparkSession, d: str) -> DataFrame:
+    """The events' properties as variants: values by path and type, and the schema that holds them all."""
+    x = table(spark, d, "events").select("event_type", semi.parsed("props").alias("p"))
+    whole = semi.at("p", "$.k", "long").isNotNull()
+    return x.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count("p").alias("n_objects"), F.sum(semi.at("p", "$.k", "long")).alias("k"), F.count_if(whole).alias("n_whole"),
+        F.count(semi.at("p", "$.other", "string")).alias("n_other"), F.schema_of_variant_agg("p").alias("schema"),
+    )
+
+
 @query("""SELECT c_nationkey, c_custkey, rank FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rank FROM customer) WHERE rank <= 3""")
 def top_customers(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
