@@ -25,8 +25,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+#: Bytes of texts that Python gets at once: rows are whole texts, and ten thousand of them (Spark's measure) may be 64 MB in each of an executor's tasks.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies (five-word shingles, similarity 0.8 or more): the least id, nulls last, then the least digest."""
+    spark.conf.set(*BATCH)
     return simhash.keep(spark, docs)
 
 
@@ -37,6 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text, row by row."""
+    spark.conf.set(*BATCH)
     return bpe.encode_decode(docs, vocabulary())
 
 

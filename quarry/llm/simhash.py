@@ -434,9 +434,10 @@ def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tup
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Numbers of shingles by their last bits, two to four each on average; empty if one doesn't fit a byte."""
-    counts = np.bincount((shingles & np.uint64((1 << (len(shingles) // 4).bit_length()) - 1)).astype(np.int64))
-    return counts.astype(np.uint8).tobytes().ljust(1 << (len(shingles) // 4).bit_length(), b"\0") if len(counts) and counts.max() < 256 else b""
+    """Numbers of shingles by their last bits, four to eight each on average; empty if one doesn't fit a byte."""
+    width = 1 << (len(shingles) // 8).bit_length()
+    counts = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return counts.astype(np.uint8).tobytes() if len(shingles) and counts.max() < 256 else b""
 
 
 def prefixes(df: DataFrame, frequent: tuple[np.ndarray, np.ndarray], sets: bool = False) -> DataFrame:
@@ -580,7 +581,7 @@ def prefix_pairs(work: Workspace, each: DataFrame, shared: DataFrame, roots: Dat
     frequent = rows.where("listed").select(*columns)
     several = frequent.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
     mixed = work.put(rare.union(attach(frequent, work.put(several, "several"), ["key"], "node").select(*columns, "n")), "mixed")
-    # A text's shingles that go further and its sketch meet once; a sketch is a third of a byte for each shingle.
+    # A text's shingles that go further and its sketch meet once; a sketch is a fifth of a byte for each shingle.
     met = mixed.join(each.groupBy("node").agg(F.first("sketch").alias("sketch")).hint("merge"), "node")
     cells = grid(met, F.col("key"), F.col("n"), F.col("node"), BUCKET, "node", "root", "size", "pos", "sketch")
     out = work.put(compare_prefixes(cells, reach, trees).distinct(), "pairs")
@@ -677,12 +678,13 @@ def linked_sets(work: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]
         return rows.select(F.xxhash64("by", chunk, F.lit(k)).alias("bucket"), "by", (of > 1).alias("part"), "node", "hashes")
 
     placed = sets.select("node", "hashes", F.explode("groups").alias("g")).select("node", "hashes", F.col("g.root").alias("by"), F.col("g.n").alias("n"))
-    large = work.put(placed.where(F.col("n") > SETS).select("node").distinct(), "large")
+    more = placed.where(F.col("n") > SETS)
+    large = work.put(more.select("node").distinct(), "large")
     found = [work.put(compare_sets(chunks(placed, 0)), "linked")]
     before, heads = math.inf, found[0].where("v IS NULL").select("by", F.col("u").alias("node")).distinct()
     while (n := heads.count()) and n <= before / 2:
         sizes = heads.groupBy("by").agg(F.count("*").alias("n")).where("n > 1")
-        found.append(work.put(compare_sets(chunks(heads.join(sizes, "by").join(sets.select("node", "hashes"), "node"), len(found))), "linked"))
+        found.append(work.put(compare_sets(chunks(heads.join(sizes, "by").join(more.select("by", "node", "hashes"), ["by", "node"]), len(found))), "linked"))
         before, heads = n, found[-1].where("v IS NULL").select("by", F.col("u").alias("node")).distinct()
     links = reduce(DataFrame.union, (x.where("v IS NOT NULL").select("u", "v") for x in found))
     out = work.put(links.distinct(), "edges")
