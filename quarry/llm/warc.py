@@ -7,9 +7,11 @@ metadata fields, and carry digests of their own. Record ids are UUIDs of the sou
 kind, so a second attempt makes the same records. The conversion's text is the page's visible text, a block a
 line (all blocks: the main text alone is another operator's matter).
 
-Chunked bodies and gzip or deflate encodings are undone before the text is taken; what can't be undone, isn't
-HTML or text, or isn't a response gives no conversion but an ``error``. So does what inflates to more than INFLATED bytes. One
-record's error is its own: only a content that can't be cut into records any further ends. ``page_responses`` makes response
+All transfer codings, then all content codings are undone, the last named first, over repeated headers too; what can't be undone, isn't
+HTML or text, or isn't a response gives no conversion but an ``error``. So does a record whose block, inflated or not, is over INFLATED bytes, or whose
+headers are over HEADERS: its bytes are passed over and the next record is read. One
+record's error is its own: only a content that can't be cut into records any further ends. Text is decoded by its byte-order mark, else the charset
+of the Content-Type header, else that named in its first bytes (meta or XML declaration), else as UTF-8; a charset unknown here counts as none. ``page_responses`` makes response
 records of rows of pages. ``pack`` groups derived records into WARC files of one gzip member a record, files as
 binary cells of a table.
 
@@ -42,7 +44,12 @@ FILE_BYTES = 8 << 20
 INFLATED, HEADERS, STEP = 256 << 20, 1 << 20, 64 << 10
 HEX, BLANK = re.compile(rb"[0-9a-fA-F]{1,15}[ \t]*\Z"), re.compile(rb"\r?\n\r?\n")
 TEXTUAL = re.compile(r"\s*(text/|application/(xhtml\+xml|xml))", re.I)
-CHARSET = re.compile(r"charset\s*=\s*\"?([\w-]+)", re.I)
+CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+#: Where a page names its charset itself, within so many of its first bytes.
+NAMED, AHEAD = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([\w.:-]+)|<\?xml\b[^>]*?\bencoding\s*=\s*[\"']([\w.:-]+)", re.I), 1024
+#: Byte-order marks and their charsets, the longer ones first.
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+LENGTH = re.compile(rb"\r\ncontent-length[ \t]*:[ \t]*([0-9]{1,15})[ \t]*\r\n", re.I)
 
 
 class WarcError(ValueError):
@@ -53,6 +60,7 @@ class WarcError(ValueError):
 class Record:
     headers: list[tuple[str, str]]
     block: bytes
+    problem: str | None = None  # why the block wasn't read
 
     def get(self, name: str) -> str | None:
         return next((v for k, v in self.headers if k.lower() == name.lower()), None)
@@ -132,6 +140,28 @@ class Source:
         self.done += n
         return out
 
+    def skip(self, n: int) -> bool:
+        """Passes over n bytes without holding them; whether there were so many."""
+        while n:
+            if not self.held and not self.has(1):
+                return False
+            n -= len(self.take(min(n, len(self.held), STEP)))
+        return True
+
+    def skip_headers(self) -> int | None:
+        """Passes over headers that are too long, up to their end; the length of the block that they name."""
+        size, kept = None, b""
+        while self.has(1):
+            part = kept + self.take(STEP)
+            end = part.find(b"\r\n\r\n")
+            told = LENGTH.search(part if end < 0 else part[: end + 4])
+            size = int(told[1]) if told and size is None else size
+            if end >= 0:
+                self.held[:0] = part[end + 4 :]
+                return size
+            kept = part[-64:]
+        return None
+
     def find(self, what: bytes) -> int:
         """Where it comes next; negative if not within HEADERS bytes."""
         seen = 0
@@ -151,6 +181,16 @@ def parse_records(raw: bytes) -> Iterator[Record]:
         if not source.has(5) or source.held[:5] != b"WARC/":
             raise WarcError(f"no record at byte {source.done}")
         end = source.find(b"\r\n\r\n")
+        if end < 0 and len(source.held) >= HEADERS:
+            fields = fold(bytes(source.held[:HEADERS]).partition(b"\r\n")[2].rpartition(b"\n")[0])
+            size = source.skip_headers()
+            if size is None:
+                raise WarcError("headers are cut off or name no length")
+            whole = source.skip(size)
+            yield Record([(k, v) for k, v in fields if k.lower() != "content-length"], b"", f"headers of more than {HEADERS} bytes")
+            if not whole:
+                raise WarcError("a block is cut off")
+            continue
         if end < 0:
             raise WarcError("headers are cut off")
         fields = fold(source.take(end + 4)[:-4].partition(b"\r\n")[2])
@@ -159,7 +199,11 @@ def parse_records(raw: bytes) -> Iterator[Record]:
             raise WarcError("no Content-Length")
         size = int(sizes[0])
         if size > INFLATED:
-            raise WarcError(f"a block of more than {INFLATED} bytes")
+            whole = source.skip(size)
+            yield Record([(k, v) for k, v in fields if k.lower() != "content-length"], b"", f"a block of more than {INFLATED} bytes")
+            if not whole:
+                raise WarcError("a block is cut off")
+            continue
         if not source.has(size):
             raise WarcError("a block is cut off")
         yield Record([(k, v) for k, v in fields if k.lower() != "content-length"], source.take(size))
@@ -207,27 +251,48 @@ def payload(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status.rstrip(b"\r").decode("utf-8", "replace"), fold(rest), block[gap.end() :]
 
 
+def codings(http: list[tuple[str, str]], name: str) -> list[str]:
+    """All codings of all headers of this name, in the order in which they were applied."""
+    return [c for k, v in http if k.lower() == name for c in (x.strip().lower() for x in v.split(",")) if c not in ("", "identity")]
+
+
+def decoded(body: bytes, coding: str) -> bytes:
+    if coding == "chunked":
+        return unchunk(body)
+    if coding in ("gzip", "x-gzip"):
+        return inflated(body, 31)
+    if coding == "deflate":
+        return inflated(body, 15 if body[:1] == b"\x78" else -15)
+    raise WarcError(f"coding {coding}")
+
+
+def as_text(kind: str, body: bytes) -> str:
+    """The body as text, see the module's docstring for the order of charsets."""
+    for mark, name in MARKS:
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace")
+    said, own = CHARSET.search(kind), NAMED.search(body[:AHEAD]) if not kind.lower().lstrip().startswith("text/plain") else None
+    names = [said[1]] if said else []
+    if own:
+        name = (own[1] or own[2]).decode("ascii", "replace")
+        names.append("utf-8" if name.lower().startswith("utf-16") else name)  # it was read byte by byte, so it can't be that
+    for name in names:
+        try:
+            return body.decode(name, "replace")
+        except LookupError:  # no such charset
+            continue
+        except ValueError as e:  # one that can't decode this, as idna
+            raise WarcError(f"charset {name}: {e}") from e
+    return body.decode("utf-8", "replace")
+
+
 def text_of(http: list[tuple[str, str]], body: bytes) -> str:
-    of = {k.lower(): v for k, v in http}
-    kind = of.get("content-type", "text/html")
+    kind = next((v for k, v in reversed(http) if k.lower() == "content-type"), "text/html")
     if not TEXTUAL.match(kind):
         raise WarcError(f"no text in {kind.split(';')[0]}")
-    if of.get("transfer-encoding", "").lower() == "chunked":
-        body = unchunk(body)
-    coding = of.get("content-encoding", "").lower()
-    if coding in ("gzip", "x-gzip"):
-        body = inflated(body, 31)
-    elif coding == "deflate":
-        body = inflated(body, 15 if body[:1] == b"\x78" else -15)
-    elif coding not in ("", "identity"):
-        raise WarcError(f"coding {coding}")
-    said = CHARSET.search(kind)
-    try:
-        page = body.decode(said[1] if said else "utf-8", "replace")
-    except LookupError:  # no such charset
-        page = body.decode("utf-8", "replace")
-    except ValueError as e:  # one that can't decode this, as idna
-        raise WarcError(f"charset {said[1]}: {e}") from e
+    for coding in [*reversed(codings(http, "transfer-encoding")), *reversed(codings(http, "content-encoding"))]:
+        body = decoded(body, coding)
+    page = as_text(kind, body)
     return page if kind.lower().lstrip().startswith("text/plain") else "\n".join(b.text for b in blocks(page))
 
 
@@ -235,6 +300,8 @@ def derive(source: Record) -> tuple[list[Record], str | None]:
     """The metadata record, then the conversion record if there is a text; and why there is none."""
     if source.get("WARC-Type") != "response":
         raise WarcError(f"a record of type {source.get('WARC-Type')}")
+    if source.problem:
+        raise WarcError(source.problem)
     own, uri, when = source.get("WARC-Record-ID"), source.get("WARC-Target-URI"), source.get("WARC-Date")
     name = lambda kind: f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}|{own}')}>"
     refers = [("WARC-Date", when or ""), ("WARC-Refers-To", own or "")]
