@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from compare import assert_same, connect
@@ -152,6 +152,31 @@ def test_url_filter_over_time(spark):
     assert urlfilter.evaluate(df, listed.limit(0)).where("blocked").count() == 0
 
 
+def test_keys_hosts_and_paths_have_one_meaning_in_sql_too(spark, tmp_path):
+    """Upper-case and dotted keys, IPv6, many labels, empty segments, marks of LIKE; against the SQL."""
+    deep = ".".join("a" * 140) + ".org"
+    listed = [(k, "2023-01-01", "add", f"c{n}") for n, k in enumerate(["U.org", "h.org/en", "//no-host", "[2001:DB8::1]", deep, "p.org/a_b", "q.org/%", "d.org.", "s.org//x//y/", "low.org/Case"])]
+    urls = ["http://U.ORG/", "http://h.org//en//x", "http://h.org/english", "http://[2001:db8::1]/x", "http://[2001:db8::1]:8080/x", "http://[2001:db8::2]/", f"http://{deep}/", f"http://www.{deep}/", "http://p.org/a_b/c", "http://p.org/axb", "http://q.org/abc", "http://q.org/%/z", "http://D.org./", "http://s.org/x/y/z", "http://s.org/x", "http://low.org/Case", "http://low.org/case", "http://u:p@u.org:1/", "/no-host", None]
+    folder = tmp_path / "sf"
+    pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    pages.write.parquet(str(folder / "pages.parquet"))
+    got = urlfilter.evaluate(urlfilter.fetched(pages), urlfilter.entries(spark, listed))
+    assert_same(spark, got, urlfilter.sql(listed), connect(str(folder)))
+    assert {r["page_id"] for r in got.where("blocked").collect()} == {0, 1, 3, 4, 6, 7, 8, 11, 12, 13, 15, 17}
+
+
+def test_a_key_with_thousands_of_entries_does_not_multiply_captures(spark):
+    """On and off the list daily for ten years: every capture meets one entry."""
+    day = lambda k: datetime(2015, 1, 1) + timedelta(days=k)
+    listed = spark.createDataFrame([("t.org", day(k), "remove" if k % 2 else "add", str(k)) for k in range(3650)], "key string, at timestamp_ntz, action string, category string")
+    df = spark.createDataFrame([(k, f"http://t.org/{k}", day(k * 3) + timedelta(hours=1)) for k in range(1200)], "page_id long, url string, fetched_at timestamp_ntz")
+    got = urlfilter.evaluate(df, listed)
+    assert {r["page_id"]: r["category"] for r in got.collect()} == {k: None if 3 * k % 2 else str(3 * k) for k in range(1200)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "valid_to" not in plan and len(urlfilter.intervals(listed).collect()) == 1825
+
+
 def test_a_hot_suffix_without_broadcast(spark):
     """Two thirds of all captures end in one listed suffix; nothing is sent around. Against a loop over captures and keys."""
     listed = [("com", "2024-02-01", "add", "all"), ("s1.com", "2024-01-01", "add", "spam"), ("s1.com/a/b", "2024-01-01", "add", "deep"), ("s2.com/a", "2024-01-01", "add", "adult"), ("s2.com/a", "2024-03-01", "remove", "adult")] + [(f"x{k}.org/p", "2024-01-01", "add", "spam") for k in range(300)]
