@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.operators.distinct import distinct_bitmaps, distinct_counts, merged
 from quarry.operators.intervals import overlap_join, range_join
+from quarry.operators.nearest import knn_join
 from quarry.operators.scan import asof_join, counts_within, ntile, positions, sessions
 from quarry.operators.selection import percentiles
 
-__all__ = ["asof_join", "counts_within", "distinct_bitmaps", "distinct_counts", "merged", "ntile", "overlap_join", "percentiles", "positions", "range_join", "salted_distinct", "sessions", "top_k"]
+__all__ = ["asof_join", "counts_within", "distinct_bitmaps", "distinct_counts", "knn_join", "merged", "ntile", "overlap_join", "percentiles", "positions", "range_join", "salted_distinct", "sessions", "top_k"]
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import discounted, dot, json_int, money, semi, trunc
-from quarry.operators import asof_join, counts_within, distinct_bitmaps, distinct_counts, ntile, overlap_join, percentiles, positions, range_join, salted_distinct, sessions, top_k
-from quarry.sources import stream, table
+from quarry.functions.patterns import Step, match
+from quarry.operators import asof_join, counts_within, distinct_bitmaps, distinct_counts, knn_join, ntile, overlap_join, percentiles, positions, range_join, salted_distinct, sessions, top_k
+from quarry.sources import logs, stream, table
 from quarry.staging import shared_folder, stage
 from quarry.streaming import closed_sessions, with_rocksdb
 
@@ -217,6 +218,28 @@ def abandoned_sessions(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/rows")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type, row_number() OVER w AS rn, max(CASE WHEN event_type NOT IN ('click', 'error') THEN row_number END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS other
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_number FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT CAST(p.user_id AS VARCHAR) AS user_id, v.event_id AS first_id, p.event_id AS last_id, CAST(p.rn - v.rn + 1 AS INTEGER) AS n_rows FROM e p JOIN e v ON v.user_id = p.user_id AND v.rn = p.other
+WHERE p.event_type = 'purchase' AND v.event_type = 'view' AND p.rn - v.rn >= 2 AND p.ts - v.ts <= INTERVAL 48 HOUR""")
+def hesitant_purchases(spark: SparkSession, d: str) -> DataFrame:
+    """A view, one click or error or more, then a purchase, with nothing between and within two days."""
+    steps = [Step("seen", ("view",)), Step("tried", ("click", "error"), many=True), Step("bought", ("purchase",))]
+    return match(table(spark, d, "events"), steps, "user_id", "ts", "event_id", "event_type", 48 * 3600).withColumnRenamed("k", "user_id")
+
+
+@query("""SELECT event_type, count(*) AS n, min(ts) AS first, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM events WHERE event_type IN ('error', 'purchase') AND ts >= TIMESTAMP '2024-01-10' AND value < 100 GROUP BY event_type""")
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The events as log files of lines, read back in splits; the conditions are the scan's own."""
+    folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    events.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit(logs.NULL)) for c in ("event_id", "ts", "event_type", "value")))).write.text(folder)
+    logs.register(spark)
+    x = spark.read.format(logs.NAME).schema("event_id long, ts timestamp_ntz, event_type string, value double").option("split", 4 << 20).load(folder)
+    x = x.where("event_type IN ('error', 'purchase') AND ts >= TIMESTAMP_NTZ '2024-01-10' AND value < 100")
+    return x.groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.sum(money("value")).cast("decimal(28,2)").alias("total"))
+
+
 @query("""SELECT a.vec_id, CAST(round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 4) AS DECIMAL(10,4)) AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = 0""")
 def similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -226,6 +249,15 @@ def similarity(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("q", one).select("vec_id", F.round(dot("embedding", "q"), 4).cast("decimal(10,4)").alias("similarity"))
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, r.vec_id AS id, CAST(list_sum(list_transform(range(1, 65), lambda i: (q.v[i] - r.v[i]) * (q.v[i] - r.v[i]))) AS BIGINT) AS distance FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 10""")
+def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors to each whose id is divisible by 20, in whole numbers so that ties are ties everywhere."""
+    x = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(1024 * x.cast("double"))).alias("v"))
+    return knn_join(x.where("vec_id % 20 = 0"), x, "vec_id", "v", 10).withColumn("distance", F.col("distance").cast("long"))
+
+
 @query("""SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, md5(lower(text)) AS digest, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS numbers, split_part(source, 'c', 2) AS number FROM documents""")
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(
