@@ -11,9 +11,9 @@ and inside articles under many names. Training takes a bounded number of pages (
 
 Rows: null or empty html gives an empty text. Broken markup is read as far as it goes: tags may stay open,
 end tags may have no partner, scripts and comments without an end reach the end of the page. Repeated rows, ties and
-null ids stay. Pages of any length are labelled whole, in time that grows as they do, at any depth of open elements; batches bound
-memory by blocks. Only the names that go into a block's vector are bounded: those of its EDGE outermost and innermost elements,
-NAMES of each. Other columns are not read. An empty table gives an empty result.
+null ids stay. Pages of any length are labelled whole, in time that grows as they do, at any depth of open elements, whose names all count. A page's open elements
+are nodes that its blocks share, and pages of more than AT_ONCE blocks are read in steps that keep HIDDEN numbers a block; so memory grows as the page's own
+text and tags do. Of one element's names NAMES at most go into a vector. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: HTML's element kinds.
@@ -53,8 +54,8 @@ CLOSES = {
     "option": (("option",), ("select",)),
     "body": (("head",), ()),
 }
-#: Elements, from outside and from inside, whose names a vector takes, and names of each.
-EDGE, NAMES = 200, 64
+#: Names of one element that a vector takes.
+NAMES = 64
 
 #: A tag without ``<`` or ``>`` in its quotes: nearly all. A match never looks past the next ``<``.
 QUICK = re.compile(r"<(/?)([a-z][^\s/>\"'<]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>", re.I)
@@ -66,15 +67,36 @@ PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 PATH, WORD, MEASURES, HIDDEN = 192, 256, 6, 24
 WIDTH = PATH + WORD + MEASURES
 PAGES, EPOCHS, SEED = 3_000, 6, 11
-#: Blocks (padding included) that are labelled at once.
-AT_ONCE = 4_096
+#: Blocks (padding included) that are labelled at once, and bytes of pages that are parsed at once (one page at least).
+AT_ONCE, PARSED = 4_096, 4 << 20
+#: Tokens nearest to the block that weigh more.
+NEAR = 6
+
+
+class Node:
+    """An element that is or was open: its tag and names as tokens, and the element around it."""
+
+    __slots__ = ("heading", "parent", "tokens")
+
+    def __init__(self, parent: Node | None, tag: str, said: tuple[str, ...]):
+        self.parent, self.tokens = parent, (f"<{tag}", *said)
+        self.heading = tag in HEADINGS or bool(parent and parent.heading)
 
 
 class Block:
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("linked", "node", "text")
+
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tokens of all elements around the block, from outside."""
+        out, node = [], self.node
+        while node:
+            out.append(node.tokens)
+            node = node.parent
+        return tuple(t for tokens in reversed(out) for t in tokens)
 
 
 def names(attributes: str) -> tuple[str, ...]:
@@ -145,7 +167,7 @@ def tags(page: str) -> Iterator[tuple[str, str, str | None, str]]:
 def blocks(page: str) -> list[Block]:
     """Blocks in page order: white space inside is one space, references are decoded, empty ones are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Node]] = []
     where: dict[str, list[int]] = {}  # the places in the stack of each open tag, and of all blocks
     places: list[int] = []
     parts: list[str] = []
@@ -156,11 +178,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                path: list[str] = []
-                for tag, said in stack if len(stack) <= 2 * EDGE else stack[:EDGE] + stack[-EDGE:]:
-                    path.append(f"<{tag}")
-                    path.extend(said)
-                out.append(Block(text, tuple(path), linked))
+                out.append(Block(text, stack[-1][1] if stack else None, linked))
             parts = []
         linked = 0
 
@@ -218,7 +236,7 @@ def blocks(page: str) -> list[Block]:
         where.setdefault(tag, []).append(len(stack))
         if tag in BLOCK:
             places.append(len(stack))
-        stack.append((tag, names(said) if "=" in said else ()))
+        stack.append((tag, Node(stack[-1][1] if stack else None, tag, names(said) if "=" in said else ())))
         links += tag == "a"
         silent += tag in SILENT
     flush()
@@ -234,19 +252,53 @@ def hashed(token: str, width: int) -> tuple[int, float]:
     return h % width, 1.0 if h & 0x10000 else -1.0
 
 
-@lru_cache(20_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
+def path_sums(node: Node | None, known: dict[Node | None, np.ndarray]) -> np.ndarray:
+    """Hashes of all tokens around, and of each with the one before it (the outermost: itself again), added up. ``known`` holds and gets those of the elements on the way."""
+    todo = []
+    while node not in known:
+        todo.append(node)
+        node = node.parent
+    out = known[node]
+    for node in reversed(todo):
+        before = node.parent.tokens[-1] if node.parent else None
+        out = out.copy()
+        for token in node.tokens:
+            for form in (token, token if before is None else f"{before}>{token}"):
+                i, sign = hashed(form, PATH)
+                out[i] += sign
+            before = token
+        known[node] = out
+    return out
+
+
+def path_vector(node: Node | None, known: dict[Node | None, np.ndarray]) -> np.ndarray:
     """Elements near the block weigh more; every pair of neighbours counts beside the single ones."""
-    out = np.zeros(PATH, np.float32)
-    for k, token in enumerate(path):
-        for form in (token, f"{path[k - 1]}>{token}" if k else token):
+    out, last = path_sums(node, known) / 2, []
+    while node and len(last) <= NEAR:
+        last = [*node.tokens, *last]
+        node = node.parent
+    for k in range(max(0, len(last) - NEAR), len(last)):
+        for form in (last[k], f"{last[k - 1]}>{last[k]}" if k else last[k]):
             i, sign = hashed(form, PATH)
-            out[i] += sign * (0.5 if k < len(path) - 6 else 1.0)
+            out[i] += sign / 2
     return np.tanh(out)
 
 
-def measures(page: list[Block], words: bool = True) -> np.ndarray:
-    """Hashed words (unless without) and a few measures of each block."""
+def path_vectors(page: list[Block]) -> np.ndarray:
+    known: dict[Node | None, np.ndarray] = {None: np.zeros(PATH, np.float32)}
+    out, seen = np.zeros((len(page), PATH), np.float32), {}
+    for k, b in enumerate(page):
+        if b.node not in seen:
+            seen[b.node] = k
+            out[k] = path_vector(b.node, known)
+        else:
+            out[k] = out[seen[b.node]]
+    return out
+
+
+def measures(page: list[Block], words: bool = True, first: int = 0, total: int | None = None) -> np.ndarray:
+    """Hashed words (unless without) and a few measures of each block; the blocks from ``first`` on of a page of ``total``."""
+    total = len(page) if total is None else total
     out = np.zeros((len(page), WORD + MEASURES), np.float32)
     for k, b in enumerate(page):
         places = np.fromiter(map(zlib.crc32, b.text.lower().encode("utf-8", "surrogatepass").split()), np.uint32)
@@ -256,14 +308,13 @@ def measures(page: list[Block], words: bool = True) -> np.ndarray:
         n = len(b.text)
         out[k, WORD:] = (
             min(1.0, math.log1p(n) / 8), min(1.0, b.linked / n), min(1.0, len(places) / 50), b.text[-1] in ".!?…\"'”»",
-            any(t[1:] in HEADINGS for t in b.path if t[0] == "<"), k / max(1, len(page) - 1),
+            bool(b.node and b.node.heading), (first + k) / max(1, total - 1),
         )
     return out
 
 
 def vectors(page: list[Block], words: bool = True) -> np.ndarray:
-    paths = np.array([path_vector(b.path) for b in page], np.float32).reshape(len(page), PATH)
-    return np.concatenate([paths, measures(page, words)], axis=1)
+    return np.concatenate([path_vectors(page), measures(page, words)], axis=1)
 
 
 # --- model ----------------------------------------------------------------------------------------------------
@@ -284,12 +335,12 @@ class Labeller:
             self.p[f"b{d}"][:HIDDEN] = 1  # forget little at first
         self.p["wo"] = (rng.standard_normal((2 * HIDDEN, 1)) / np.sqrt(2 * HIDDEN)).astype(np.float32)
         self.p["bo"] = np.zeros(1, np.float32)
-        self.training, self.paths = True, {}
+        self.training = True
 
-    def run(self, own: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """own: time x pages x the inputs' part of the gates; padding (mask 0) leaves the state as it is."""
+    def run(self, own: np.ndarray, mask: np.ndarray, d: str, state: list[np.ndarray] | None = None) -> tuple[np.ndarray, list]:
+        """own: time x pages x the inputs' part of the gates; padding (mask 0) leaves the state as it is. ``state`` is what an earlier step left, and gets what this one leaves."""
         t, n, _ = own.shape
-        w, h, c = self.p[f"w{d}"][WIDTH:], np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        w, (h, c) = self.p[f"w{d}"][WIDTH:], state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out, kept = np.zeros((t, n, HIDDEN), np.float32), []
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             z = own[k] + h @ w
@@ -304,6 +355,8 @@ class Labeller:
             c = m * c2 + (1 - m) * c
             h = m * (o * th) + (1 - m) * h
             out[k] = h
+        if state is not None:
+            state[:] = h, c
         return out, kept
 
     def forward(self, own: dict[str, np.ndarray], mask: np.ndarray):
@@ -335,15 +388,26 @@ class Labeller:
             g[f"w{d}"], g[f"b{d}"] = gw, gb
         return g
 
-    def gates(self, page: list[Block]) -> np.ndarray:
-        """The blocks' part of both directions' gates. A path's part is computed once and kept, for a bounded number of paths."""
+    def gates(self, page: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+        """The blocks' part of both directions' gates."""
         w = np.concatenate([self.p["wf"][:WIDTH], self.p["wb"][:WIDTH]], axis=1)
-        if len(self.paths) > 20_000:
-            self.paths.clear()
-        for b in page:
-            if b.path not in self.paths:
-                self.paths[b.path] = path_vector(b.path) @ w[:PATH] + np.r_[self.p["bf"], self.p["bb"]]
-        return measures(page, self.words) @ w[PATH:] + np.array([self.paths[b.path] for b in page])
+        return path_vectors(page) @ w[:PATH] + measures(page, self.words, first, total) @ w[PATH:] + np.r_[self.p["bf"], self.p["bb"]]
+
+    def label_long(self, page: list[Block]) -> np.ndarray:
+        """Chances of one page's blocks in steps of AT_ONCE, forward and then backward; a step's gates are computed for each direction."""
+        steps = [(at, page[at : at + AT_ONCE]) for at in range(0, len(page), AT_ONCE)]
+        ahead, out = np.zeros((len(page), HIDDEN), np.float32), np.zeros(len(page), np.float32)
+        for d in "fb":
+            state = [np.zeros((1, HIDDEN), np.float32) for _ in range(2)]
+            for at, some in steps if d == "f" else reversed(steps):
+                own = self.gates(some, at, len(page))[:, None]
+                got = self.run(own[..., : 4 * HIDDEN] if d == "f" else own[..., 4 * HIDDEN :], np.ones((len(some), 1), np.float32), d, state)[0][:, 0]
+                if d == "f":
+                    ahead[at : at + len(some)] = got
+                else:
+                    both = np.concatenate([ahead[at : at + len(some)], got], axis=1)
+                    out[at : at + len(some)] = sigmoid(both @ self.p["wo"] + self.p["bo"])[:, 0]
+        return out
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Chances of each block of each page, pages of like length together."""
@@ -351,6 +415,10 @@ class Labeller:
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         while order:
             longest = len(pages[order[-1]])
+            if longest > AT_ONCE:
+                k = order.pop()
+                out[k] = self.label_long(pages[k])
+                continue
             some = order[-max(1, AT_ONCE // longest) :]
             del order[-len(some) :]
             own, mask = np.zeros((longest, len(some), 8 * HIDDEN), np.float32), np.zeros((longest, len(some)), np.float32)
@@ -552,10 +620,13 @@ def extract(df: DataFrame, model: Labeller | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            size, at = np.cumsum(np.r_[0, pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)]), 0
+            while at < batch.num_rows:
+                n = min(256, max(1, int(np.searchsorted(size, size[at] + PARSED, "right")) - 1 - at))
+                part = batch.slice(at, n)
                 texts = main_texts(model, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+                at += n
 
     pages = df.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")

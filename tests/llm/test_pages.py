@@ -6,9 +6,12 @@ import gzip
 import hashlib
 import html as entities
 import re
+import subprocess
+import sys
 import uuid
 import zlib
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -138,7 +141,44 @@ def test_time_grows_as_the_page_does(bad):
 def test_depth_never_changes_texts(depth):
     page = "<div>" * depth + "<select><option>LEAK</option></select><p>text<svg><text>LEAK</text></svg> more</p>" + "<font><b>" * depth + "<button>LEAK</button>end" + "</div>" * depth + "after"
     assert texts(page) == ["text more", "end", "after"]
-    assert len(html.blocks(page)[0].path) <= 2 * html.EDGE
+    assert len(html.blocks(page)[0].path) == depth + 1
+
+
+def test_shared_paths_are_the_sum_over_each_block_s_own():
+    page = '<body class="a b"><div id=main><p>one<p class="c d e f g h i">two<ul><li>three<li><b class=x>four</b></ul></div>five<span>six'
+    for b, got in zip(html.blocks(page), html.path_vectors(html.blocks(page)), strict=True):
+        want = np.zeros(html.PATH, np.float32)
+        for k, token in enumerate(b.path):
+            for form in (token, f"{b.path[k - 1]}>{token}" if k else token):
+                i, sign = html.hashed(form, html.PATH)
+                want[i] += sign * (0.5 if k < len(b.path) - html.NEAR else 1)
+        assert np.array_equal(np.tanh(want), got)
+
+
+def test_long_pages_are_labelled_in_steps_alike(monkeypatch):
+    model = html.Labeller(np.random.default_rng(0))
+    model.training = False
+    rng = np.random.default_rng(4)
+    pages = [html.blocks(html.training_page(rng)[0]) for _ in range(20)]
+    whole = model.label(pages)
+    monkeypatch.setattr(html, "AT_ONCE", 5)
+    for a, b in zip(whole, model.label(pages), strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+
+
+@pytest.mark.parametrize(("page", "most"), [("".join(f'<div class="a{k} b c d e f g h{k}">t{k}' for k in range(20_000)), 150), ("<p>a b</p>" * 100_000, 100)])
+def test_memory_of_deep_and_of_long_pages(page, most):
+    """In a process of its own: MB beyond what the modules take."""
+    code = "import sys, resource, numpy as np; from quarry.llm import html; m = html.Labeller(np.random.default_rng(0)); m.training = False; page = sys.stdin.read(); size = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1e3; before = size(); m.label([html.blocks(page)]); print(size() - before)"
+    said = subprocess.run([sys.executable, "-c", code], input=page, capture_output=True, text=True, timeout=300, cwd=Path(__file__).resolve().parents[2])
+    assert float(said.stdout) < most, said.stderr
+
+
+def test_repeated_rows_stay(spark):
+    page = "<body><article><p>Some text of an article. It has two sentences.</p></article></body>"
+    df = spark.createDataFrame([(1, "u", page)] * 3 + [(None, None, None)] * 2, "page_id long, url string, html string")
+    got = html.extract(df).collect()
+    assert len(got) == 5 and len({(r["page_id"], r["text"]) for r in got}) == 2
 
 
 def test_only_what_is_never_shown_is_silent():
