@@ -348,24 +348,29 @@ def with_least(rows: DataFrame, by: str, value: str, name: str, own: str) -> Dat
     return salted.join(least.select(by, name, F.explode("salts").alias("salt")), [by, "salt"]).drop("salt")
 
 
+def starred(edges: DataFrame) -> bool:
+    """Whether each node has one edge up, to a node that has none: then all components are stars."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def stars(work: Workspace, links: DataFrame) -> DataFrame:
-    """u, v: each node but the smallest of its component, and that smallest."""
-    edges, state = links, None
+    """u, v: each node but the smallest of its component, and that smallest. Links have u <> v."""
+    edges = links
     while True:
         # Large star: neighbours above u go to the smallest of u and its neighbours.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         around = with_least(both, "u", "v", "m", "v")
-        large = around.select(F.col("v").alias("u"), F.least("u", "m").alias("v"), F.col("u").alias("of")).where("u > of").select("u", "v").distinct()
+        large = around.select(F.col("v").alias("u"), F.least("u", "m").alias("v"), F.col("u").alias("of")).where("u > of").select("u", "v")
         # Small star: u and its neighbours below go to the smallest of those.
         low = with_least(large, "u", "v", "m", "v")
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         following = work.put(small, "stars")
-        seen = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state is not None:
+        if edges is not links:
             work.drop(edges)
-        if seen == state:
+        if starred(following):  # every edge goes to a smaller node, so the middle of a star is its smallest
             return following
-        edges, state = following, seen
+        edges = following
 
 
 def components(spark: SparkSession, df: DataFrame, tau: int = TAU) -> DataFrame:
@@ -634,17 +639,20 @@ def similar_pairs(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[li
 
 
 def compare_sets(rows: DataFrame) -> DataFrame:
-    """rows: bucket, by, part, node, hashes; each bucket of bounded size. Links u, v; for buckets that are a part of ``by``, also a node of each component (v null)."""
+    """rows: bucket, by, part, node, hashes; each bucket of bounded size. u, v and part: each near copy and the smallest of those linked to it in the bucket, as a tree; for buckets that are a part of ``by``, also a node of each component (v null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, by, part, nodes, sets = None, 0, False, [], []
 
         def links() -> pa.RecordBatch:
-            pairs, root = similar_pairs(sets)
-            out = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in pairs]
+            root = similar_pairs(sets)[1]
+            least: dict[int, str] = {}
+            for node, r in zip(nodes, root.tolist(), strict=True):
+                least[r] = min(node, least.get(r, node))
+            out = [(node, least[r]) for node, r in zip(nodes, root.tolist(), strict=True) if node != least[r]]
             if part:
-                out += [(nodes[k], None) for k in np.unique(root).tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([by] * len(out), pa.int64()), *(pa.array([p[k] for p in out], pa.string()) for k in (0, 1))], ["by", "u", "v"])
+                out += [(node, None) for node in least.values()]
+            return pa.RecordBatch.from_arrays([pa.array([by] * len(out), pa.int64()), *(pa.array([p[k] for p in out], pa.string()) for k in (0, 1)), pa.array([part] * len(out), pa.bool_())], ["by", "u", "v", "part"])
 
         for batch in batches:
             for b, of, p, node, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -658,7 +666,7 @@ def compare_sets(rows: DataFrame) -> DataFrame:
         yield links()
 
     ordered = rows.select("bucket", "by", "part", "node", "hashes").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return ordered.mapInArrow(run, "by long, u string, v string")
+    return ordered.mapInArrow(run, "by long, u string, v string, part boolean")
 
 
 def grid(rows: DataFrame, by: Column, n: Column, node: Column, chunk: int, *keep: str) -> DataFrame:
@@ -669,27 +677,30 @@ def grid(rows: DataFrame, by: Column, n: Column, node: Column, chunk: int, *keep
     return x.select(F.xxhash64("by", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("bucket"), side.alias("side"), *keep)
 
 
-def linked_sets(work: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """sets: node, hashes and groups (structs of root and size n). Links that connect all near copies of groups up to SETS, and most of larger ones; and the nodes of those."""
+def linked_sets(work: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sets: node, hashes and groups (structs of root and size n).
+
+    The stars of groups up to SETS, which meet whole; links that connect most near copies of larger ones; and the nodes of those.
+    """
 
     def chunks(rows: DataFrame, k: int) -> DataFrame:
         of = F.ceil(F.col("n") / SETS)
         chunk = F.pmod(F.xxhash64("node", F.lit(k)), of)
-        return rows.select(F.xxhash64("by", chunk, F.lit(k)).alias("bucket"), "by", (of > 1).alias("part"), "node", "hashes")
+        return rows.select(F.xxhash64("by", chunk, F.lit(k)).alias("bucket"), "by", (F.col("n") > SETS).alias("part"), "node", "hashes")
 
     placed = sets.select("node", "hashes", F.explode("groups").alias("g")).select("node", "hashes", F.col("g.root").alias("by"), F.col("g.n").alias("n"))
     more = placed.where(F.col("n") > SETS)
     large = work.put(more.select("node").distinct(), "large")
-    found = [work.put(compare_sets(chunks(placed, 0)), "linked")]
-    before, heads = math.inf, found[0].where("v IS NULL").select("by", F.col("u").alias("node")).distinct()
+    first = work.put(compare_sets(chunks(placed, 0)), "linked")
+    found, before, heads = [first.where("part")], math.inf, first.where("v IS NULL").select("by", F.col("u").alias("node"))
     while (n := heads.count()) and n <= before / 2:
         sizes = heads.groupBy("by").agg(F.count("*").alias("n")).where("n > 1")
-        found.append(work.put(compare_sets(chunks(heads.join(sizes, "by").join(more.select("by", "node", "hashes"), ["by", "node"]), len(found))), "linked"))
-        before, heads = n, found[-1].where("v IS NULL").select("by", F.col("u").alias("node")).distinct()
-    links = reduce(DataFrame.union, (x.where("v IS NOT NULL").select("u", "v") for x in found))
-    out = work.put(links.distinct(), "edges")
-    work.drop(*found)
-    return out, large
+        rows = heads.join(sizes, "by").join(more.select("by", "node", "hashes"), ["by", "node"])
+        linked = work.put(compare_sets(chunks(rows, len(found)).withColumn("part", F.lit(True))), "linked")
+        found.append(linked)
+        before, heads = n, linked.where("v IS NULL").select("by", F.col("u").alias("node"))
+    edges = work.put(reduce(DataFrame.union, (x.where("v IS NOT NULL").select("u", "v") for x in found)), "edges")
+    return first.where("NOT part").select("u", "v"), edges, large
 
 
 def fingerprint_groups(work: Workspace, texts: DataFrame) -> DataFrame:
@@ -736,32 +747,40 @@ def similar_texts(work: Workspace, df: DataFrame, docs: DataFrame) -> DataFrame:
     likely = marked(work, digested, F.xxhash64("own"), candidates.select(F.xxhash64("digest").alias("hash")), "likely").where("likely")
     whole = likely.join(candidates.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("own") == F.col("digest")))
     sets = work.put(shingle_sets(whole.select(F.col("digest").alias("node"), "groups", "text")), "sets")
-    edges, large = linked_sets(work, sets)
+    found, edges, large = linked_sets(work, sets)
     if not large.isEmpty():
-        edges = more_links(work, sets.join(large, "node", "left_semi").dropDuplicates(["node"]), edges, frequent)
-    work.drop(candidates, sets, large, roots)
-    found = stars(work, edges)
+        found = found.union(large_groups(work, sets.join(large, "node", "left_semi").dropDuplicates(["node"]), edges, frequent))
+    work.drop(candidates, large, roots)
     out = work.put(texts.join(found.select(F.col("u").alias("digest"), "v").hint("merge"), "digest", "left").select("digest", "first", F.coalesce("v", "digest").alias("group")), "groups")
-    work.drop(texts, edges, found)
+    work.drop(texts, edges, sets)
     return out
 
 
-def more_links(work: Workspace, sets: DataFrame, edges: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """edges and links of all pairs of these sets that edges don't connect: the prefix filter's, neighbours first, compared one by one."""
+def large_groups(work: Workspace, sets: DataFrame, edges: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """u, v: each of these sets' nodes but the smallest of its group, and that. All pairs that edges don't connect are found by the prefix filter, neighbours first, and compared one by one."""
     own = work.put(sets.select("node", F.xxhash64("node").alias("key"), "hashes"), "large-sets")
     each = work.put(prefixes(own.select(F.col("node").alias("digest"), "hashes"), frequent, sets=True), "prefixes")
     shared = shared_shingles(work, each)
+    found = stars(work, edges)
+    tops = work.put(own.select("node", "key").join(found.select(F.col("u").alias("node"), "v").hint("merge"), "node", "left").select("node", "key", F.coalesce("v", "node").alias("top")), "tops")
+    work.drop(found)
     for reach in (NEIGHBOURS, 0):
-        found = stars(work, edges)
-        roots = own.select("node", "key").join(found.select(F.col("u").alias("node"), "v"), "node", "left").select(F.col("key").alias("node"), F.xxhash64(F.coalesce("v", "node")).alias("root"))
-        pairs = prefix_pairs(work, each, shared, roots, reach, trees=False)
+        pairs = prefix_pairs(work, each, shared, tops.select(F.col("key").alias("node"), F.xxhash64("top").alias("root")), reach, trees=False)
+        if pairs.isEmpty():
+            continue
         placed = pairs.select(F.xxhash64("u", "v").alias("by"), F.explode(F.array("u", "v")).alias("key")).join(own.hint("merge"), "key")
         links = compare_sets(placed.select(F.col("by").alias("bucket"), "by", F.lit(False).alias("part"), "node", "hashes"))
-        out = work.put(edges.union(links.select("u", "v")).distinct(), "edges")
-        work.drop(found, pairs, edges)
-        edges = out
+        of = [tops.select(F.col("node").alias(e), F.col("top").alias(f"{e}_top")) for e in "uv"]
+        apart = links.join(of[0].hint("merge"), "u").join(of[1].hint("merge"), "v").select(F.greatest("u_top", "v_top").alias("u"), F.least("u_top", "v_top").alias("v")).where("u <> v").distinct()
+        between = work.put(apart, "between")
+        if not between.isEmpty():
+            found = stars(work, between)
+            wider = work.put(tops.join(found.select(F.col("u").alias("top"), "v").hint("merge"), "top", "left").select("node", "key", F.coalesce("v", "top").alias("top")), "tops")
+            work.drop(found, tops)
+            tops = wider
+        work.drop(pairs, between)
     work.drop(own, each, shared)
-    return edges
+    return tops.where("node <> top").select(F.col("node").alias("u"), F.col("top").alias("v"))
 
 
 def similar_groups(spark: SparkSession, df: DataFrame) -> DataFrame:
