@@ -154,7 +154,10 @@ def test_stages_on_odd_rows(spark, data):
     # Nulls and empty texts fail the rules; one of the three copies stays, that with an id; then a prefix within nine tenths.
     assert Counter(r["doc_id"] for r in got[1].collect()) == Counter([1, 1, None, None, 3])
     assert sorted(r["doc_id"] or 0 for r in got[2].collect()) == [0, 1, 3]
-    assert {r["doc_id"] for r in got[3].collect()} <= {None, 1, 3}
+    # The leaf of the null source gets its 60 tokens whole; the other a prefix of 180,030, which 200,000 don't fit.
+    seed = corpus_pipeline.MIX.seed
+    first = min((1, 3), key=lambda i: hashlib.md5(f"{seed}|0|{i}".encode()).hexdigest())
+    assert [r["doc_id"] for r in got[3].orderBy("doc_id").collect()] == [None, *([1] if first == 1 else [])]
     assert sorted(r["doc_id"] or 0 for r in got[4].collect()) == sorted(r["doc_id"] or 0 for r in got[3].collect())
 
 
