@@ -284,16 +284,22 @@ def path_vector(node: Node | None, known: dict[Node | None, np.ndarray]) -> np.n
     return np.tanh(out)
 
 
-def path_vectors(page: list[Block]) -> np.ndarray:
+def distinct_paths(page: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """A vector for each path that occurs, and each block's place among them."""
     known: dict[Node | None, np.ndarray] = {None: np.zeros(PATH, np.float32)}
-    out, seen = np.zeros((len(page), PATH), np.float32), {}
+    seen, out, place = {}, [], np.zeros(len(page), np.int64)
     for k, b in enumerate(page):
-        if b.node not in seen:
-            seen[b.node] = k
-            out[k] = path_vector(b.node, known)
-        else:
-            out[k] = out[seen[b.node]]
-    return out
+        alike = b.node and (b.node.parent, b.node.tokens)  # elements of one name within one element have one path
+        if alike not in seen:
+            seen[alike] = len(out)
+            out.append(path_vector(b.node, known))
+        place[k] = seen[alike]
+    return np.array(out, np.float32).reshape(len(out), PATH), place
+
+
+def path_vectors(page: list[Block]) -> np.ndarray:
+    each, place = distinct_paths(page)
+    return each[place]
 
 
 def measures(page: list[Block], words: bool = True, first: int = 0, total: int | None = None) -> np.ndarray:
@@ -391,7 +397,8 @@ class Labeller:
     def gates(self, page: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
         """The blocks' part of both directions' gates."""
         w = np.concatenate([self.p["wf"][:WIDTH], self.p["wb"][:WIDTH]], axis=1)
-        return path_vectors(page) @ w[:PATH] + measures(page, self.words, first, total) @ w[PATH:] + np.r_[self.p["bf"], self.p["bb"]]
+        paths, place = distinct_paths(page)
+        return (paths @ w[:PATH])[place] + measures(page, self.words, first, total) @ w[PATH:] + np.r_[self.p["bf"], self.p["bb"]]
 
     def label_long(self, page: list[Block]) -> np.ndarray:
         """Chances of one page's blocks in steps of AT_ONCE, forward and then backward; a step's gates are computed for each direction."""
