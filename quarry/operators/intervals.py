@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Levels are this factor apart. Rows of a bucket's chunk.
 FACTOR, CHUNK = 16, 20_000
-MADE = ("span_level", "span_bucket", "span_chunk", "span_other")
+MADE = ("span_level", "span_bucket", "span_chunk", "span_other", "own_from", "own_to", "own_level", "from_a", "from_b", "level_a", "level_b")
 
 
 def position(df: DataFrame, c: str) -> Column:
@@ -74,27 +74,32 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: st
     return met.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("span_level", "span_bucket")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], width: float, chunk: int = CHUNK) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], width: float, chunk: int = CHUNK, compared: bool = False) -> DataFrame:
     """Pairs of intervals [start, end) that overlap, each once, all columns of both, whose names must differ. A width near the usual length of the shorter ones is right.
 
     Two intervals meet on the longer one's level. They share one bucket or more there; the pair is emitted in the one where the later of their starts lies.
-    Empty intervals and null bounds match nothing.
+    Null bounds match nothing. Empty intervals neither, unless ``compared``: then pairs are those of the two comparisons alone, start < other's end both ways, as in
+    SQL without a condition on either side. So an interval whose end isn't after its start matches what holds both its bounds inside; it is placed from the lesser to the greater.
     """
     checked(width, left, right)
     (low_a, high_a), (low_b, high_b) = a, b
 
     def own(df: DataFrame, low: str, high: str) -> DataFrame:
-        return df.where(F.col(low) < F.col(high)).withColumn("own_level", level(position(df, high) - position(df, low), width))
+        there = F.col(low).isNotNull() & F.col(high).isNotNull() if compared else F.col(low) < F.col(high)
+        least, most = position(df, low), position(df, high)
+        ends = {"own_from": F.least(least, most), "own_to": F.greatest(least, most)} if compared else {"own_from": least, "own_to": most}
+        return df.where(there).withColumns(ends).withColumn("own_level", level(F.col("own_to") - F.col("own_from"), width))
 
     x, y = own(left, low_a, high_a), own(right, low_b, high_b)
     levels = x.select("own_level").union(y.select("own_level")).agg(F.collect_set("own_level")).scalar()
 
-    def placed(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
-        # On its own level and on each longer one that occurs.
-        up = df.withColumn("levels", levels).withColumn("span_level", F.explode(F.filter("levels", lambda k: k >= F.col("own_level")))).drop("levels").withColumnRenamed("own_level", name)
-        return up.withColumn("span_bucket", F.explode(F.sequence(bucket(position(df, low), F.col("span_level"), width), bucket(position(df, high), F.col("span_level"), width))))
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        # On its own level and on each longer one that occurs. Positions are worked out once a row: candidates, many times as many, only compare them.
+        up = df.withColumn("levels", levels).withColumn("span_level", F.explode(F.filter("levels", lambda k: k >= F.col("own_level")))).drop("levels")
+        up = up.withColumn("span_bucket", F.explode(F.sequence(bucket(F.col("own_from"), F.col("span_level"), width), bucket(F.col("own_to"), F.col("span_level"), width))))
+        return up.drop("own_to").withColumnsRenamed({"own_level": f"level_{side}", "own_from": f"from_{side}"})
 
-    met = dealt_join(placed(x, low_a, high_a, "level_a"), placed(y, low_b, high_b, "level_b"), ["span_level", "span_bucket"], chunk)
-    there = (F.col("span_level") == F.greatest("level_a", "level_b")) & (F.col("span_bucket") == bucket(F.greatest(position(left, low_a), position(right, low_b)), F.col("span_level"), width))
+    met = dealt_join(placed(x, "a"), placed(y, "b"), ["span_level", "span_bucket"], chunk)
+    there = (F.col("span_level") == F.greatest("level_a", "level_b")) & (F.col("span_bucket") == bucket(F.greatest("from_a", "from_b"), F.col("span_level"), width))
     fits = (F.col(low_a) < F.col(high_b)) & (F.col(low_b) < F.col(high_a))
-    return met.where(there & fits).select(*(F.col(f"`{c}`") for c in (*left.columns, *right.columns)))
+    return met.where(fits & there).select(*(F.col(f"`{c}`") for c in (*left.columns, *right.columns)))

@@ -4,8 +4,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from compare import assert_same, connect
 from pyspark.sql import functions as F
 
+from quarry import plans
 from quarry.operators import asof_join, overlap_join, range_join, salted_distinct, sessions, top_k
 from quarry.sources import FORMATS, read, table, write
 
@@ -53,6 +55,26 @@ def test_overlap_join_against_brute_force(spark, chunk):
         overlap_join(left, right, ("af", "at"), ("bf", "bt"), 0)
 
 
+def test_overlaps_compared_alone_against_brute_force(spark):
+    """Empty and turned intervals by the two comparisons of SQL."""
+    rnd = random.Random(8)
+    spans = lambda n: [*((k, x := rnd.choice([0.0, 1.0, rnd.uniform(-50, 500)]), x + rnd.choice([0.0, 0.0, -1.0, -60.0, 2.0, 40.0, 3000.0])) for k in range(n)), (n, None, 1.0), (n + 1, 1.0, None)]
+    a, b = spans(80), spans(90)
+    left, right = spark.createDataFrame(a, "i long, af double, at double"), spark.createDataFrame(b, "j long, bf double, bt double")
+    got = sorted((r["i"], r["j"]) for r in overlap_join(left, right, ("af", "at"), ("bf", "bt"), 2, compared=True).collect())
+    want = sorted((i, j) for i, s, e in a for j, x, y in b if None not in (s, e, x, y) and s < y and x < e)
+    assert got == want and any(x >= y for i, j in got for _, x, y in b[j : j + 1])
+
+
+def test_overlaps_of_an_error_without_length(spark, tmp_path):
+    """Errors worth under a minute's part last no second; the query's SQL counts them inside a purchase's 40 minutes."""
+    at = datetime(2024, 1, 1)
+    rows = [(1, at, 1, "purchase", 5.0, "{}"), (2, at + timedelta(minutes=9), 1, "error", 0.01, "{}"), (3, at, 1, "error", 0.01, "{}"), (4, at + timedelta(minutes=50), 2, "error", 0.0, "{}"), (5, at + timedelta(minutes=20), 2, "error", -0.5, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert_same(spark, plans.overlaps(spark, str(tmp_path)), plans.SQL["overlaps"], connect(str(tmp_path)))
+    assert plans.overlaps(spark, str(tmp_path)).count() == 2
+
+
 def test_no_job_runs_while_a_range_join_is_built(spark):
     points, spans = spark.range(10).selectExpr("id AS p", "double(id) AS at"), spark.range(10).selectExpr("id AS s", "double(id) AS lo", "double(id + 2) AS hi")
     spark.sparkContext.setJobGroup("building", "")
