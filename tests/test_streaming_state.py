@@ -141,3 +141,60 @@ def test_a_replayed_batch_leaves_no_repeats(spark, tmp_path):
     (tmp_path / "out" / "batch_id=1" / "_SUCCESS").unlink()
     assert streaming.committed(spark, path, events.schema).select("batch_id").distinct().count() == len(batches) - 1
     assert streaming.committed(spark, str(tmp_path / "nothing"), events.schema).count() == 0
+
+
+class Calls:
+    """A handle that keeps a key's state in memory and counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.timers, self.held = 0, set(), {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.n += 1
+            if name in ("getValueState", "getMapState"):
+                return self
+            if name == "registerTimer":
+                self.timers.add(args[0])
+            if name == "deleteTimer":
+                self.timers.discard(args[0])
+            if name == "update":
+                self.held["v"] = args[0]
+            if name == "clear":
+                self.held.clear()
+            if name == "updateValue":
+                self.held[args[0]] = args[1]
+            if name == "removeKey":
+                self.held.pop(args[0])
+            return {"get": self.held.get("v"), "listTimers": iter(sorted(self.timers)), "iterator": iter(list(self.held.items()))}.get(name)
+
+        return call
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_a_key_asks_little_of_its_state(spark):
+    """A batch of 2,000 sessions of a key is a handful of calls and one timer, not some for each event; timers close what is over."""
+    import pandas as pd
+
+    from quarry.streaming.state import OpenSessions
+
+    state, minute = Calls(), 60_000_000
+    state.now = 0
+    sessions_ = OpenSessions(30 * minute)
+    sessions_.init(state)
+    at = [k // 2 * 100 * minute + k % 2 * minute for k in range(4000)]
+    rows = pd.DataFrame({"event_id": range(4000), "at": at, "event_type": ["view", "purchase"] * 2000})
+    assert all(p.empty for p in sessions_.handleInputRows((7,), iter([rows.sample(frac=1, random_state=1), rows[:10]]), state))
+    assert state.n < 10 and state.timers == {31 * minute // 1000}
+    state.now, fired = 250 * minute // 1000, state.timers.pop()
+    (got,) = sessions_.handleExpiredTimer((7,), state, fired)
+    assert list(got.itertuples(index=False, name=None)) == [(7, k * 100 * minute, (k * 100 + 1) * minute, 2, 1, 1) for k in range(3)]
+    assert state.timers == {331 * minute // 1000} and state.n < 20
+    extra = pd.DataFrame({"event_id": [9000, 9001], "at": [260 * minute, 3], "event_type": ["click", "view"]})  # an earlier session, and one too late
+    list(sessions_.handleInputRows((7,), iter([extra]), state))
+    assert state.timers == {290 * minute // 1000}
+    state.now = 10**11
+    (got,) = sessions_.handleExpiredTimer((7,), state, state.timers.pop())
+    assert len(got) == 1998 and got["n"].sum() == 4000 - 6 + 1 and not state.held and not state.timers
