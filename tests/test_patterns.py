@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from quarry.functions.patterns import Step, advance, match
+from quarry.functions.patterns import Step, advance, match, matcher
 
 START = datetime(2024, 1, 1)
 STEPS = [Step("seen", ("view",)), Step("tried", ("click", "error"), many=True), Step("bought", ("purchase",))]
@@ -47,3 +47,33 @@ def test_steps_and_odd_input(spark):
     assert match(df, STEPS, "k", "at", "id", "kind", 60).count() == 0
     with pytest.raises(ValueError):
         match(df, [], "k", "at", "id", "kind", 60)
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 5000])
+def test_batches_cut_anywhere(size):
+    """The scan itself on Arrow batches of any size, as sorted rows come: open starts go on in the next batch, and not in the next group. Ids may be null."""
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    rows = sorted((rnd.choice("aab"), 0, rnd.randrange(10**6), k, rnd.choice(["view", "click", "click", "error", "purchase", "x"])) for k in range(1500))
+    rows = [(k, s, t, None if i == rows[700][3] else i, kind) for k, s, t, i, kind in rows]
+    fresh = [rnd.random() < 0.8 for _ in rows]
+    columns = [pa.array([r[c] for r in rows]) for c in range(5)] + [pa.array(fresh)]
+    whole = pa.RecordBatch.from_arrays(columns, ["k", "slice", "at", "id", "kind", "fresh"])
+    got = [tuple(r.values()) for b in matcher(STEPS, 3000)(whole.slice(k, size) for k in range(0, len(rows), size)) for r in b.to_pylist()]
+    want = []
+    for a in range(len(rows)):
+        states = {-1} if fresh[a] else set()
+        for b in range(a, len(rows)):
+            states = set().union(*(advance(STEPS, s, rows[b][4]) for s in states)) if rows[b][0] == rows[a][0] and rows[b][2] - rows[a][2] <= 3000 else set()
+            if not states or 2 in states:
+                break
+        if 2 in states:
+            want.append((rows[a][0], rows[a][3], rows[b][3], b - a + 1))
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 15
+
+
+def test_no_call_of_python_for_each_row(spark):
+    """Rows go to Python as batches of many keys, not one by one and key by key."""
+    plan = match(spark.range(10).selectExpr("id", "id AS k", "timestamp_ntz '2024-01-01' AS at", "'view' AS kind"), STEPS, "k", "at", "id", "kind", 60)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "UDTF" not in plan
