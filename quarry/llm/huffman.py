@@ -15,7 +15,8 @@ blocks of a file at once. Files are binary cells of a Parquet table in the share
 whose commit protocol keeps a lost executor or a second attempt from leaving half a file. Everything that ``read_files``
 returns comes from the content; the path gives the order.
 
-The ids are those of the tokenizers library, which is given each whole text, one at a time.
+The ids are those of the tokenizers library for the whole text; ``pieces`` asks it once for each distinct piece, where
+the tokenizer file lets pieces be told apart, and else gives it whole texts.
 
 Rows: a null text counts as empty and yields the end id alone. Rows with a null doc_id come first; rows with
 one doc_id are in the order of a hash of their ids, and equal rows are dealt over tasks like any others. Texts of any length stay whole: a file
@@ -31,11 +32,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarry.llm.bpe import ROWS, library_tokenizer
 from quarry.llm.common import Workspace, text_bytes
+from quarry.llm.pieces import PART, Encoder
 
 MAGIC, HEAD = b"QHF2", "<4s5I2Q"
 #: Longest code in bits, symbols of a block, ids of a file (a document is never split), and ids that a writing task takes at most, about.
@@ -166,32 +168,40 @@ def read_file(raw: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray, np.n
 
 
 @lru_cache(2)
+def load(path: str) -> Encoder:
+    """Once for each Python worker: the library and the cache of its ids."""
+    return Encoder(path)
+
+
 def library(path: str) -> tuple[Callable[[str], np.ndarray], int]:
-    """Once for each Python worker: the library's encoding of a whole text, and its number of ids."""
-    tok = library_tokenizer(path)
+    """The library's encoding of a whole text in one call, and its number of ids."""
+    return load(path).whole, load(path).size
 
-    def encode(text: str) -> np.ndarray:
-        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    return encode, tok.get_vocab_size(with_added_tokens=True)
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows up to PART bytes, or of one longer text."""
+    ends, at = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+        yield at, to
+        at = to
 
 
 def encode(df: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids (with the end id; packed) and counts: null, but for each task's last row (ids null), its counts of all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, size = library(vocabulary)
-        zip_, end, total = zstandard.ZstdCompressor(1), END_ID.to_bytes(4, "little"), np.zeros(size, np.int64)
+        known = load(vocabulary)
+        zip_, end, total = zstandard.ZstdCompressor(1), END_ID.to_bytes(4, "little"), np.zeros(known.size, np.int64)
 
         def rows(doc_ids: pa.Array, packed: list[bytes | None], counts: bytes | None = None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([doc_ids, pa.array(packed, pa.binary()), pa.array([counts] * len(packed), pa.binary())], ["doc_id", "ids", "counts"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                texts = batch.column(1).slice(at, ROWS).to_pylist()
-                raw = [whole(t.decode()).tobytes() + end for t in texts]
-                total += np.bincount(np.frombuffer(b"".join(raw), "<u4"), minlength=size)
-                yield rows(batch.column(0).slice(at, ROWS), [zip_.compress(halves(r)) for r in raw])
+            for at, to in slices(batch.column(1)):
+                raw = [ids + end for ids in known.encode(batch.column(1)[at:to].to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(raw), "<u4"), minlength=known.size)
+                yield rows(batch.column(0)[at:to], [zip_.compress(halves(r)) for r in raw])
         yield rows(pa.nulls(1, pa.int64()), [None], total.tobytes())
 
     return text_bytes(df, "doc_id").mapInArrow(run, "doc_id long, ids binary, counts binary")
@@ -234,6 +244,7 @@ def write_files(encoded: DataFrame, lengths: np.ndarray, partitions: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        load.cache_clear()  # a reused worker's: all ids are known when files are written
         part, k = TaskContext.get().partitionId(), 0
         sizes = np.frombuffer(size, np.uint8)
         codes = canonical(sizes)
