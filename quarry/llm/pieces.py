@@ -32,7 +32,7 @@ ODD = re.compile(rb"['<\xc2\xca-\xff]|" + b"|".join(EXCEPT)).search
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 SPACE = re.compile(rb"[ \t\n\v\f\r]")
 #: Bytes split at once (about: up to the next white space), pieces in a worker's cache at about 190 bytes, the longest that it holds, and pieces in one call of the library.
-PART, CACHE, CACHED, JOINED = 1 << 20, 250_000, 64, 1024
+PART, CACHE, CACHED, JOINED = 1 << 21, 500_000, 64, 1024
 
 
 def split(part: bytes) -> tuple[np.ndarray, pa.DictionaryArray]:
