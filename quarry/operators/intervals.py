@@ -8,10 +8,15 @@ A bucket with more rows than a task should have is dealt: each side's rows into
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from quarry.operators.scan import SLICES, sliced
+from quarry.staging import stage
 
 #: Levels are this factor apart. Rows of a bucket's chunk.
 FACTOR, CHUNK = 16, 20_000
+#: Starts in order that are one row. Pairs, and rows of either side, that are one task's, about. Tasks at most; beyond, each has more.
+RUN, PAIRS, ROWS, TASKS = 1024, 4_000_000, 100_000, 10_000
 MADE = ("span_level", "span_bucket", "span_chunk", "span_other", "own_from", "own_to", "own_level", "from_a", "from_b", "level_a", "level_b")
 
 
@@ -74,32 +79,75 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: st
     return met.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("span_level", "span_bucket")
 
 
+def numbered(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """Each interval of either side (0 left, 1 right), its columns as l_0 or r_0 and on; number: that of its start among its side's, from 0; low, high: which of the other side's starts lie in it.
+
+    Those are the numbers from low up to high, without high. Starts at one place: a left interval holds a right one's, not the reverse. An interval whose end isn't after its start holds none.
+    All bounds are sorted together within slices of their places and counted; the counts of whole slices are carried. So bounds of one place share a task, nothing more.
+    """
+    names = [[f"{side}_{k}" for k in range(len(df.columns))] for side, df in (("l", left), ("r", right))]
+
+    def bounds(df: DataFrame, low: str, high: str, side: int) -> DataFrame:
+        # At one place ends come first, then left starts, then right ones.
+        both = F.array(F.struct(F.col(low).alias("place"), F.lit(1 + side).alias("kind")), F.struct(F.col(high).alias("place"), F.lit(0).alias("kind")))
+        one = df.select(F.lit(side).alias("side"), F.monotonically_increasing_id().alias("id"), both.alias("bounds"), *(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names[side], strict=True)))
+        return one.select("side", "id", F.inline("bounds"), *names[side]).withColumns({n: F.when(F.col("kind") > 0, F.col(n)) for n in names[side]})
+
+    rows = sliced(bounds(left, *a, 0).unionByName(bounds(right, *b, 1), allowMissingColumns=True), "place")
+    order = Window.partitionBy("slice").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"lefts": F.sum((F.col("kind") == 1).cast("long")).over(order), "rights": F.sum((F.col("kind") == 2).cast("long")).over(order)})
+    starts, own, others = F.col("kind") > 0, F.when(F.col("side") == 0, F.col("lefts")).otherwise(F.col("rights")), F.when(F.col("side") == 0, F.col("rights")).otherwise(F.col("lefts"))
+    at = {"from_slice": F.when(starts, F.col("slice")), "to_slice": F.when(~starts, F.col("slice")), "number": F.when(starts, own - 1), "low": F.when(starts, others), "high": F.when(~starts, others)}
+    held = stage(rows.groupBy("side", "id").agg(*(F.max(c).alias(n) for n, c in at.items()), *(F.first(n, True).alias(n) for n in names[0] + names[1])), "intervals")
+    # Starts in the slices before each.
+    first = left.sparkSession.range(SLICES).join(held.groupBy(F.col("from_slice").cast("long").alias("id")).agg(F.count_if(F.col("side") == 0).alias("lefts"), F.count_if(F.col("side") == 1).alias("rights")), "id", "left")
+    before = Window.partitionBy(F.lit(0)).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.select("id", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in ("lefts", "rights")))
+    carried = lambda c: first.select(F.col("id").cast("int").alias(f"{c}_slice"), F.col("lefts").alias(f"{c}_lefts"), F.col("rights").alias(f"{c}_rights"))
+    out = held.join(F.broadcast(carried("from")), "from_slice").join(F.broadcast(carried("to")), "to_slice")
+    of = lambda x, y: F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y))
+    return out.select("side", F.col("number") + of("from_lefts", "from_rights"), F.col("low") + of("from_rights", "from_lefts"), F.col("high") + of("to_rights", "to_lefts"), *names[0], *names[1]).toDF("side", "number", "low", "high", *names[0], *names[1])
+
+
+def met_in_runs(spans: DataFrame, points: DataFrame, own: list[str], theirs: list[str], parts: int, chunk: int) -> DataFrame:
+    """Each span with each point numbered from its low up to its high: ``own`` of the one and ``theirs`` of the other.
+
+    RUN points in their order are one row. A span meets each run that it touches, once, and reads off by number what it holds of it: no candidate fails. A run that over ``chunk`` spans
+    touch is dealt with them. The number of partitions is given, as that of the pairs doesn't show in the rows that go in.
+    """
+    run = lambda c: F.floor(c / RUN)
+    number = (F.col("number") % RUN).cast("int")
+    runs = points.groupBy(run(F.col("number")).alias("run")).agg(F.array_sort(F.collect_list(F.struct(number.alias("k"), F.struct(*theirs).alias("point"))), lambda x, y: x["k"] - y["k"]).alias("points"))
+    runs = runs.select("run", F.transform("points", lambda x: x["point"]).alias("points"))
+    cut = spans.where("low < high").select("low", "high", *own, F.explode(F.sequence(run(F.col("low")), run(F.col("high") - 1))).alias("run"))
+    cut = cut.withColumns({"low": F.greatest(F.col("low") - F.col("run") * RUN, F.lit(0)).cast("int"), "high": F.least(F.col("high") - F.col("run") * RUN, F.lit(RUN)).cast("int") - 1})
+    hot = F.broadcast(cut.groupBy("run").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"))
+    dealt = lambda df, chunk: df.join(hot, "run", "left").withColumn("chunk", chunk(F.coalesce("chunks", F.lit(1)))).drop("chunks").repartition(parts, "run", "chunk")
+    met = dealt(cut, lambda n: F.floor(F.rand(7) * n).cast("int")).join(dealt(runs, lambda n: F.explode(F.sequence(F.lit(0), n - 1))), ["run", "chunk"])
+    met = met.select(*own, "points", F.explode(F.sequence("low", "high")).alias("k"))
+    return met.select(*own, *(F.get("points", F.col("k"))[n].alias(n) for n in theirs))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], width: float, chunk: int = CHUNK, compared: bool = False) -> DataFrame:
-    """Pairs of intervals [start, end) that overlap, each once, all columns of both, whose names must differ. A width near the usual length of the shorter ones is right.
+    """Pairs of intervals [start, end) that overlap, each once, all columns of both, whose names must differ. Nothing depends on ``width`` any more; callers still give it.
 
-    Two intervals meet on the longer one's level. They share one bucket or more there; the pair is emitted in the one where the later of their starts lies.
+    The later start of two that overlap lies in the other one. Starts are numbered, so those that an interval holds are a stretch of numbers, and work grows with rows and pairs alone.
     Null bounds match nothing. Empty intervals neither, unless ``compared``: then pairs are those of the two comparisons alone, start < other's end both ways, as in
-    SQL without a condition on either side. So an interval whose end isn't after its start matches what holds both its bounds inside; it is placed from the lesser to the greater.
+    SQL without a condition on either side. So an interval whose end isn't after its start matches what holds both its bounds inside; it is met by its start.
+
+    The numbers are stored and the pairs counted while the query is built. Long columns are better joined on afterwards: RUN rows of a side are one.
     """
     checked(width, left, right)
     (low_a, high_a), (low_b, high_b) = a, b
-
-    def own(df: DataFrame, low: str, high: str) -> DataFrame:
-        there = F.col(low).isNotNull() & F.col(high).isNotNull() if compared else F.col(low) < F.col(high)
-        least, most = position(df, low), position(df, high)
-        ends = {"own_from": F.least(least, most), "own_to": F.greatest(least, most)} if compared else {"own_from": least, "own_to": most}
-        return df.where(there).withColumns(ends).withColumn("own_level", level(F.col("own_to") - F.col("own_from"), width))
-
-    x, y = own(left, low_a, high_a), own(right, low_b, high_b)
-    levels = x.select("own_level").union(y.select("own_level")).agg(F.collect_set("own_level")).scalar()
-
-    def placed(df: DataFrame, side: str) -> DataFrame:
-        # On its own level and on each longer one that occurs. Positions are worked out once a row: candidates, many times as many, only compare them.
-        up = df.withColumn("levels", levels).withColumn("span_level", F.explode(F.filter("levels", lambda k: k >= F.col("own_level")))).drop("levels")
-        up = up.withColumn("span_bucket", F.explode(F.sequence(bucket(F.col("own_from"), F.col("span_level"), width), bucket(F.col("own_to"), F.col("span_level"), width))))
-        return up.drop("own_to").withColumnsRenamed({"own_level": f"level_{side}", "own_from": f"from_{side}"})
-
-    met = dealt_join(placed(x, "a"), placed(y, "b"), ["span_level", "span_bucket"], chunk)
-    there = (F.col("span_level") == F.greatest("level_a", "level_b")) & (F.col("span_bucket") == bucket(F.greatest("from_a", "from_b"), F.col("span_level"), width))
-    fits = (F.col(low_a) < F.col(high_b)) & (F.col(low_b) < F.col(high_a))
-    return met.where(fits & there).select(*(F.col(f"`{c}`") for c in (*left.columns, *right.columns)))
+    there = lambda low, high: F.col(low).isNotNull() & F.col(high).isNotNull() if compared else F.col(low) < F.col(high)
+    rows = numbered(left.where(there(*a)), right.where(there(*b)), a, b)
+    sides = {r["side"]: r for r in rows.groupBy("side").agg(F.count("*").alias("rows"), F.sum(F.greatest(F.col("high") - F.col("low"), F.lit(0))).alias("pairs")).collect()}
+    parts = lambda side: min(TASKS, 1 + sum(r["rows"] for r in sides.values()) // ROWS + (sides[side]["pairs"] // PAIRS if side in sides else 0))
+    lefts, rights = ([c for c in rows.columns if c.startswith(side)] for side in ("l_", "r_"))
+    x, y = rows.where("side = 0"), rows.where("side = 1")
+    out = [met_in_runs(x, y, lefts, rights, parts(0), chunk), met_in_runs(y, x, rights, lefts, parts(1), chunk)]
+    columns = [*left.columns, *right.columns]
+    named = [df.select(*(F.col(n).alias(c) for n, c in zip(lefts + rights, columns, strict=True))) for df in out]
+    if compared:
+        named = [df.where((F.col(low_a) < F.col(high_b)) & (F.col(low_b) < F.col(high_a))) for df in named]
+    return named[0].union(named[1])

@@ -8,7 +8,7 @@ from compare import assert_same, connect
 from pyspark.sql import functions as F
 
 from quarry import plans
-from quarry.operators import asof_join, overlap_join, range_join, salted_distinct, sessions, top_k
+from quarry.operators import asof_join, intervals, overlap_join, range_join, salted_distinct, sessions, top_k
 from quarry.sources import FORMATS, read, table, write
 
 
@@ -75,6 +75,33 @@ def test_overlaps_of_an_error_without_length(spark, tmp_path):
     assert plans.overlaps(spark, str(tmp_path)).count() == 2
 
 
+def test_overlaps_are_dealt_by_pairs(spark, monkeypatch):
+    """Few rows of one bucket with many pairs: no task makes most of them."""
+    monkeypatch.setattr(intervals, "RUN", 64, raising=False)
+    monkeypatch.setattr(intervals, "PAIRS", 20_000, raising=False)
+    left = spark.range(800).selectExpr("id AS i", "double(id % 7) AS af", "double(id % 7) + 5 AS at")
+    right = spark.range(900).selectExpr("id AS j", "double(id % 5) AS bf", "double(id % 5) + 6 AS bt")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as tables of any size don't fit
+    try:
+        out = overlap_join(left, right, ("af", "at"), ("bf", "bt"), 100)
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = left.crossJoin(right).where("af < bt AND bf < at")
+    assert sum(tasks) == want.count() and max(tasks) < sum(tasks) / 4
+    assert out.exceptAll(want).count() == 0
+
+
+def test_overlaps_without_bounds(spark):
+    """Infinite bounds, NaN, which is above all numbers, and zeros of both signs."""
+    inf, nan = float("inf"), float("nan")
+    spans = [(k, x, y) for k, (x, y) in enumerate((x, y) for x in (-inf, -1.0, -0.0, 0.0, 2.0, inf, nan) for y in (-inf, -0.0, 0.0, 3.0, inf, nan))]
+    left, right = spark.createDataFrame(spans, "i long, af double, at double"), spark.createDataFrame(spans, "j long, bf double, bt double")
+    pairs = left.crossJoin(right).where("af < bt AND bf < at")
+    got = [sorted((r["i"], r["j"]) for r in df.collect()) for df in (overlap_join(left, right, ("af", "at"), ("bf", "bt"), 2, compared=True), overlap_join(left, right, ("af", "at"), ("bf", "bt"), 2))]
+    assert got == [sorted((r["i"], r["j"]) for r in df.collect()) for df in (pairs, pairs.where("af < at AND bf < bt"))]
+
+
 def test_no_job_runs_while_a_range_join_is_built(spark):
     points, spans = spark.range(10).selectExpr("id AS p", "double(id) AS at"), spark.range(10).selectExpr("id AS s", "double(id) AS lo", "double(id + 2) AS hi")
     spark.sparkContext.setJobGroup("building", "")
