@@ -8,6 +8,8 @@ A bucket with more rows than a task should have is dealt: each side's rows into
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.operators.scan import SLICES, sliced
@@ -99,14 +101,13 @@ def numbered(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str
     starts, own, others = F.col("kind") > 0, F.when(F.col("side") == 0, F.col("lefts")).otherwise(F.col("rights")), F.when(F.col("side") == 0, F.col("rights")).otherwise(F.col("lefts"))
     at = {"from_slice": F.when(starts, F.col("slice")), "to_slice": F.when(~starts, F.col("slice")), "number": F.when(starts, own - 1), "low": F.when(starts, others), "high": F.when(~starts, others)}
     held = stage(rows.groupBy("side", "id").agg(*(F.max(c).alias(n) for n, c in at.items()), *(F.first(n, True).alias(n) for n in names[0] + names[1])), "intervals")
-    # Starts in the slices before each.
-    first = left.sparkSession.range(SLICES).join(held.groupBy(F.col("from_slice").cast("long").alias("id")).agg(F.count_if(F.col("side") == 0).alias("lefts"), F.count_if(F.col("side") == 1).alias("rights")), "id", "left")
-    before = Window.partitionBy(F.lit(0)).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    first = first.select("id", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in ("lefts", "rights")))
-    carried = lambda c: first.select(F.col("id").cast("int").alias(f"{c}_slice"), F.col("lefts").alias(f"{c}_lefts"), F.col("rights").alias(f"{c}_rights"))
-    out = held.join(F.broadcast(carried("from")), "from_slice").join(F.broadcast(carried("to")), "to_slice")
-    of = lambda x, y: F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y))
-    return out.select("side", F.col("number") + of("from_lefts", "from_rights"), F.col("low") + of("from_rights", "from_lefts"), F.col("high") + of("to_rights", "to_lefts"), *names[0], *names[1]).toDF("side", "number", "low", "high", *names[0], *names[1])
+    # Starts in the slices before each: one count a slice and side, so they are constants.
+    starts = {r["slice"]: r for r in held.groupBy(F.col("from_slice").alias("slice")).agg(F.count_if(F.col("side") == 0).alias("lefts"), F.count_if(F.col("side") == 1).alias("rights")).collect()}
+    sums = lambda n: accumulate((starts[k][n] if k in starts else 0 for k in range(SLICES - 1)), initial=0)
+    lefts, rights = (F.split(F.lit(",".join(map(str, sums(n)))), ",").cast("array<bigint>") for n in ("lefts", "rights"))
+    before = lambda c, x, y: F.when(F.col("side") == 0, F.get(x, F.col(c))).otherwise(F.get(y, F.col(c)))
+    out = {"number": before("from_slice", lefts, rights), "low": before("from_slice", rights, lefts), "high": before("to_slice", rights, lefts)}
+    return held.select("side", *((F.col(n) + c).alias(n) for n, c in out.items()), *names[0], *names[1])
 
 
 def met_in_runs(spans: DataFrame, points: DataFrame, own: list[str], theirs: list[str], parts: int, chunk: int) -> DataFrame:
